@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlake.llm import bpe, language, mixing, pii, quality, sharding
+from cohortlake.llm import bpe, jaccard, language, mixing, pii, quality, sharding
 from cohortlake.llm.work import read
 
 
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.selectExpr("doc_id", "cast(octet_length(ids) div 4 as long) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(read(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -34,5 +38,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op8_quality, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op7_jaccard, op8_quality, op9_mixing)}
 SQL = {"op9_mixing": mixing.MIX_SQL}
