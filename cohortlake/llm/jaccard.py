@@ -3,7 +3,7 @@
 A document's set holds the hashes of its distinct 5-word shingles, in one global order: classes of frequency (from a
 count sketch over all documents, of fixed size), then the hash. Equal sets are one class. Two sets of similarity 0.75
 share a token among the first quarter of each, so classes meet on those tokens only. First every class is compared with
-the least class it meets; pairs that meet but are not yet connected are then bounded by their common prefix tokens and
+the most central class it meets; pairs that meet but are not yet connected are then bounded by their common prefix tokens and
 compared as well, so no link between different components is lost. A comparison puts the sets that meet one pivot into
 a prefix tree and walks it once: partial overlaps are shared by all sets below a node, and a subtree is left when even
 its remaining length cannot reach the overlap needed.
@@ -196,7 +196,9 @@ def compared(docs: DataFrame, pairs: DataFrame, classes, scratch: Scratch, membe
         hits = PrefixTree([tokens[k] for k in others]).linked(own) if others else []
         return pa.table({"a": pa.array([a] * len(hits), pa.int64()), "b": pa.array([node[others[k]] for k in hits], pa.int64())})
 
-    return scratch.save(left.union(right).groupBy("a", "part").applyInArrow(walk, "a long, b long"))
+    out = scratch.save(left.union(right).groupBy("a", "part").applyInArrow(walk, "a long, b long"))
+    scratch.free(sets)
+    return out
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -212,25 +214,31 @@ def linked(docs: DataFrame) -> DataFrame:
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = scratch.save(nodes)
     tokens = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    by = Window.partitionBy("token").orderBy("node")
-    met = tokens.withColumn("pivot", F.first("node").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("node").over(by))
-    met = scratch.save(met.filter((F.col("pivot") != F.col("node")) | F.col("next").isNotNull()).drop("next"))
+    alive = met = scratch.save(tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1"))
 
-    # the least class that a class meets often
-    stars = met.filter("pivot <> node").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    # of the classes that hold a token, the one that meets others most: an original rather than one of its copies
+    weight = met.groupBy("node").agg(F.sum("df").alias("weight"))
+    pivots = met.join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
+    stars = met.join(pivots, "token").filter("pivot <> node").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     stars = scratch.save(stars.filter("5 * c >= 2 * (n - ceil(3 * n / 4) + 1)").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     links = compared(docs, stars, classes, scratch)
     roots = components(links, scratch)
 
     # what meets and is not connected yet
-    met = met.drop("pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    met = met.join(mixed, "token", "left_semi")
-    a, b = (met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root"))) for x in "ab")
+    ends = nodes.select("node", F.element_at("prefix", -1).alias("last"))
+    met = met.join(mixed, "token", "left_semi").join(ends, "node")
+    a, b = (met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", "last"))) for x in "ab")
     near = a.join(b, "token").filter("node_a < node_b AND root_a <> root_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
     near = near.filter("7 * (1 + least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) - 1) >= 3 * (n_a + n_b)")
-    pairs = near.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    pairs = scratch.save(pairs.filter("7 * (c + least(n_a - i, n_b - j) - 1) >= 3 * (n_a + n_b)").select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    first = [F.first(c).alias(c) for c in ("n_a", "n_b", "last_a", "last_b")]
+    pairs = near.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"), *first)
+    # beyond the c common tokens, all that are left in the set whose prefix ends first, or after the other's last of them
+    left_a, left_b = (F.when(F.col(f"last_{x}") <= F.col(f"last_{y}"), F.floor(3 * F.col(f"n_{x}") / 4.0)).otherwise(F.col(f"n_{x}") - F.col(k) - 1) for x, y, k in (("a", "b", "i"), ("b", "a", "j")))
+    pairs = pairs.filter(7 * (F.col("c") + F.least(left_a, left_b)) >= 3 * (F.col("n_a") + F.col("n_b")))
+    pairs = scratch.save(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    scratch.free(alive, stars)
     if not pairs.isEmpty():
         more = compared(docs, pairs, classes, scratch)
         if not more.isEmpty():
