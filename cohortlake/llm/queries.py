@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, jaccard, language, mixing, pii, quality, sharding
+from cohortlake.llm import bpe, jaccard, language, mixing, neardup, neighbours, pii, quality, sharding
 from cohortlake.llm.work import read
 
 
@@ -26,6 +27,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.selectExpr("doc_id", "cast(octet_length(ids) div 4 as long) AS n_tokens", "sha2(ids, 256) AS ids_sha256", "sha2(decoded, 256) AS decoded_sha256")
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(read(spark, sf_dir, "documents"))
 
@@ -38,5 +47,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op7_jaccard, op8_quality, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op5_neighbours, op6_near_duplicates, op7_jaccard, op8_quality, op9_mixing)}
 SQL = {"op9_mixing": mixing.MIX_SQL}
