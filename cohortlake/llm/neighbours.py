@@ -124,7 +124,7 @@ def descend(graph: DataFrame, nodes: DataFrame, k: int, most: int = 6) -> DataFr
     return best(graph.union(met.mapInArrow(lambda b: _meet(b, most), "u long, v long, s float")), k)
 
 
-def build(nodes: DataFrame, scratch: Scratch, k: int = 20, tables: int = 6, rounds: int = 4) -> DataFrame:
+def build(nodes: DataFrame, scratch: Scratch, k: int = 20, tables: int = 4, rounds: int = 3) -> DataFrame:
     """(u, v, s): the neighbour graph of ``nodes`` (node, code, dim)."""
     n, dim = nodes.agg(F.count(F.lit(1)), F.max(F.octet_length("code"))).first()
     graph = scratch.save(best(first_graph(nodes, n, dim or 1, k, tables), k))
@@ -196,7 +196,7 @@ def cosine(a: str, b: str) -> F.Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def search(rows: DataFrame, is_query, top: int = 5, k: int = 20, tables: int = 6, rounds: int = 4, beam: int = 160, opened: int = 16, hops: int = 40) -> DataFrame:
+def search(rows: DataFrame, is_query, top: int = 5, k: int = 20, tables: int = 4, rounds: int = 3, beam: int = 480, opened: int = 40, hops: int = 40) -> DataFrame:
     """query_id, rank, vec_id, score: the ``top`` nearest found of each row of ``rows`` (vec_id, embedding) that
     ``is_query`` (a Column) selects, among all other rows, ties to the smaller vec_id.
 
