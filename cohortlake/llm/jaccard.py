@@ -213,22 +213,23 @@ def linked(docs: DataFrame) -> DataFrame:
     rows = scratch.save(described(docs, classes).withColumn("node", F.expr("cast(conv(hex(substring(class, 1, 8)), 16, -10) as long)")))
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = scratch.save(nodes)
-    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    tokens = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     alive = met = scratch.save(tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1"))
 
     # of the classes that hold a token, the one that meets others most: an original rather than one of its copies
     weight = met.groupBy("node").agg(F.sum("df").alias("weight"))
-    pivots = met.join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node"))["node"].alias("pivot"))
-    stars = met.join(pivots, "token").filter("pivot <> node").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    pivot = F.max(F.struct("weight", "node")).over(Window.partitionBy("token"))["node"]
+    stars = met.drop("pos", "df").join(weight, "node").withColumn("pivot", pivot)
+    stars = stars.filter("pivot <> node").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
     stars = scratch.save(stars.filter("5 * c >= 2 * (n - ceil(3 * n / 4) + 1)").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
     links = compared(docs, stars, classes, scratch)
     roots = components(links, scratch)
 
     # what meets and is not connected yet
-    met = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
-    ends = nodes.select("node", F.element_at("prefix", -1).alias("last"))
-    met = met.join(mixed, "token", "left_semi").join(ends, "node")
+    about = nodes.select("node", F.element_at("prefix", -1).alias("last")).join(roots, "node", "left").select("node", "last", F.coalesce("root", "node").alias("root"))
+    met = met.drop("df").join(about, "node")
+    whole = Window.partitionBy("token")
+    met = met.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).filter("lo < hi")
     a, b = (met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", "last"))) for x in "ab")
     near = a.join(b, "token").filter("node_a < node_b AND root_a <> root_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
     near = near.filter("7 * (1 + least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) - 1) >= 3 * (n_a + n_b)")
