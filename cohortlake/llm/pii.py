@@ -207,7 +207,7 @@ def detect(docs: DataFrame) -> DataFrame:
     accepted = F.array(*[F.lit(c) for c in decisions(found)]).cast("array<int>")
     base = F.filter("found", lambda s: s["base"])
     every = F.filter("found", lambda s: s["base"] | F.array_contains(accepted, s["kind"] * 100 + s["votes"]))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.expr(f"cast(size(filter(found, s -> s.base and s.kind = {k})) as long) AS n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(every).alias("spans"))
 
 
