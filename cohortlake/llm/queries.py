@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, jaccard, language, mixing, neardup, neighbours, pii, quality, sharding
+from cohortlake.llm import bpe, jaccard, language, licences, mixing, neardup, neighbours, pii, quality, sharding
 from cohortlake.llm.work import read
 
 
@@ -47,5 +47,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op5_neighbours, op6_near_duplicates, op7_jaccard, op8_quality, op9_mixing)}
-SQL = {"op9_mixing": mixing.MIX_SQL}
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op5_neighbours, op6_near_duplicates, op7_jaccard, op8_quality, op9_mixing, op10_licences)}
+SQL = {"op9_mixing": mixing.MIX_SQL, "op10_licences": licences.LICENCE_SQL}
