@@ -66,3 +66,46 @@ def t_two_sided(t: float, df: float) -> float:
 
 def f_sf(f: float, d1: float, d2: float) -> float:
     return beta_p(d2 / 2, d1 / 2, d2 / (d2 + d1 * f)) if f > 0 else 1.0
+
+
+def fisher_two_sided(a: int, b: int, c: int, d: int) -> float | None:
+    """Exact p of a 2 x 2 table: the tables with its margins that are no likelier than it."""
+    if None in (a, b, c, d) or a + b + c + d == 0:
+        return None
+    row, col, n = a + b, a + c, a + b + c + d
+    pick = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
+    chance = lambda k: math.exp(pick(row, k) + pick(n - row, col - k) - pick(n, col))
+    own = chance(a) * (1 + 1e-7)
+    return min(1.0, sum(p for k in range(max(0, col - (n - row)), min(row, col) + 1) if (p := chance(k)) <= own))
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The t that two-sided p leaves outside, by bisection."""
+    low, high = 0.0, 1.0
+    while t_two_sided(high, df) > p:
+        high *= 2
+    for _ in range(80):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_two_sided(mid, df) > p else (low, mid)
+    return high
+
+
+def noncentral_t_sf(t: float, df: float, shift: float) -> float:
+    """P(T > t): Simpson's rule over the chi that divides the shifted normal."""
+    spread = 9 / math.sqrt(2 * df)
+    low, high, steps = max(1e-9, 1 - spread), 1 + spread, 400
+    log_c = math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2)
+    total = 0.0
+    for i in range(steps + 1):
+        s = low + (high - low) * i / steps
+        total += (1 if i in (0, steps) else 4 if i % 2 else 2) * math.exp(log_c + (df - 1) * math.log(s) - df * s * s / 2) * normal_sf(t * s - shift)
+    return total * (high - low) / steps / 3
+
+
+def t_test_power(d: float | None, n1: float, n2: float, alpha: float = 0.05) -> float | None:
+    """Power of a two-sided two-sample t test for a standardised effect d."""
+    if d is None or n1 is None or n2 is None or d != d or n1 != n1 or n2 != n2 or min(n1, n2) < 2:
+        return None
+    df, shift = n1 + n2 - 2, abs(d) * math.sqrt(n1 * n2 / (n1 + n2))
+    edge = t_quantile(alpha, df)
+    return min(1.0, noncentral_t_sf(edge, df, shift) + noncentral_t_sf(edge, df, -shift))

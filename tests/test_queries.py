@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from cohortlake.plans import studies  # noqa: F401 - adds its queries
 from cohortlake.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
