@@ -111,7 +111,8 @@ def described(docs: DataFrame, classes) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes) -> DataFrame:
-    """(node, tokens) of the classes in ``wanted`` (node). A bitmap of fixed size spares the others the shuffle."""
+    """(node, tokens) of at least the classes in ``wanted`` (node), each once. A bitmap of fixed size spares most others the
+    shuffle; a join by node leaves out the rest."""
     spot = f"pmod(node, {BITMAP}L)"
     words_ = wanted.groupBy(F.expr(f"cast({spot} div 64 as int) AS word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({spot} % 64 as int))) AS bits"))
     bits = words_.collect()  # BITMAP / 64 rows at most
@@ -133,8 +134,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes) -> DataFrame:
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
 
-    found = docs.select("text").mapInArrow(run, "node long, tokens binary")
-    return found.dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    return docs.select("text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
 
 
 class PrefixTree:
@@ -182,11 +182,11 @@ class PrefixTree:
 def compared(docs: DataFrame, pairs: DataFrame, classes, scratch: Scratch, members: int = 256) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that link. b's that meet one a are compared ``members`` at a time."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = scratch.save(sets_of(docs, wanted, classes))
     deal = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
     pairs = pairs.join(deal, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / members)).alias("part"))
-    right = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "part", F.col("b").alias("node"), "tokens")
-    left = pairs.select("a", "part").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "part", F.col("a").alias("node"), "tokens")
+    # the pivot goes to all its parts, so that one join of the sets, dealt by node already, serves both sides
+    places = pairs.select("a", "part", F.col("b").alias("node")).union(pairs.select("a", "part", F.col("a").alias("node")).distinct())
+    placed = sets_of(docs, wanted, classes).join(places, "node").select("a", "part", "node", "tokens")
 
     def walk(table: pa.Table) -> pa.Table:
         node, tokens = table["node"].to_pylist(), [np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()]
@@ -196,9 +196,7 @@ def compared(docs: DataFrame, pairs: DataFrame, classes, scratch: Scratch, membe
         hits = PrefixTree([tokens[k] for k in others]).linked(own) if others else []
         return pa.table({"a": pa.array([a] * len(hits), pa.int64()), "b": pa.array([node[others[k]] for k in hits], pa.int64())})
 
-    out = scratch.save(left.union(right).groupBy("a", "part").applyInArrow(walk, "a long, b long"))
-    scratch.free(sets)
-    return out
+    return scratch.save(placed.groupBy("a", "part").applyInArrow(walk, "a long, b long"))
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -233,10 +231,11 @@ def linked(docs: DataFrame) -> DataFrame:
     a, b = (met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", "last"))) for x in "ab")
     near = a.join(b, "token").filter("node_a < node_b AND root_a <> root_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
     near = near.filter("7 * (1 + least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) - 1) >= 3 * (n_a + n_b)")
-    first = [F.first(c).alias(c) for c in ("n_a", "n_b", "last_a", "last_b")]
+    near = near.withColumn("ends_a", F.col("last_a") <= F.col("last_b")).withColumn("ends_b", F.col("last_b") <= F.col("last_a"))
+    first = [F.first(c).alias(c) for c in ("n_a", "n_b", "ends_a", "ends_b")]
     pairs = near.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"), *first)
     # beyond the c common tokens, all that are left in the set whose prefix ends first, or after the other's last of them
-    left_a, left_b = (F.when(F.col(f"last_{x}") <= F.col(f"last_{y}"), F.floor(3 * F.col(f"n_{x}") / 4.0)).otherwise(F.col(f"n_{x}") - F.col(k) - 1) for x, y, k in (("a", "b", "i"), ("b", "a", "j")))
+    left_a, left_b = (F.when(F.col(f"ends_{x}"), F.floor(3 * F.col(f"n_{x}") / 4.0)).otherwise(F.col(f"n_{x}") - F.col(k) - 1) for x, k in (("a", "i"), ("b", "j")))
     pairs = pairs.filter(7 * (F.col("c") + F.least(left_a, left_b)) >= 3 * (F.col("n_a") + F.col("n_b")))
     pairs = scratch.save(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     scratch.free(alive, stars)
