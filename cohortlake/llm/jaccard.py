@@ -92,7 +92,8 @@ def prefix_length(n: int) -> int:
 
 
 def described(docs: DataFrame, classes) -> DataFrame:
-    """doc_id, n, class (null if the set is empty), prefix."""
+    """doc_id, n, class (null if the set is empty), prefix, and all columns of ``docs`` beyond doc_id and text."""
+    rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,10 +105,12 @@ def described(docs: DataFrame, classes) -> DataFrame:
                 n.append(len(tokens))
                 names.append(_class(tokens) if len(tokens) else None)
                 prefixes.append(tokens[: prefix_length(len(tokens))].astype(np.int64) if len(tokens) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "class", "prefix"])
+            own = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *own, *batch.columns[2:]], ["doc_id", "n", "class", "prefix", *batch.schema.names[2:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, class binary, prefix array<long>")
+    more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest)
+    return docs.select("doc_id", "text", *(f.name for f in rest)).mapInArrow(run, f"doc_id {kind}, n long, class binary, prefix array<long>{more}")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, classes) -> DataFrame:
@@ -199,17 +202,13 @@ def compared(docs: DataFrame, pairs: DataFrame, classes, scratch: Scratch, membe
     return scratch.save(placed.groupBy("a", "part").applyInArrow(walk, "a long, b long"))
 
 
-def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
-
-    Null, empty and all-blank texts have 0 shingles and are alone. Repeated rows share a class. A null doc_id gets the
-    least id of its component, or null if there is none. An empty table gives no rows. Other columns are not read.
-    """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+def grouped(docs: DataFrame, mark: F.Column, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` as ``described``, with node; (node, root) of each class; and (root, component) of each
+    component, with the least ``mark`` of its rows."""
+    spark = docs.sparkSession
     classes = spark.sparkContext.broadcast(frequencies(docs))  # 1 MB, whatever the corpus
     rows = scratch.save(described(docs, classes).withColumn("node", F.expr("cast(conv(hex(substring(class, 1, 8)), 16, -10) as long)")))
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(mark).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     nodes = scratch.save(nodes)
     tokens = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     alive = met = scratch.save(tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1"))
@@ -245,14 +244,33 @@ def linked(docs: DataFrame) -> DataFrame:
             roots = components(links.union(more), scratch)
 
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = named.groupBy("root").agg(F.min("least").alias("component"))
+    return rows, named.select("node", "root"), named.groupBy("root").agg(F.min("least").alias("component"))
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
+
+    Null, empty and all-blank texts have 0 shingles and are alone. Repeated rows share a class. A null doc_id gets the
+    least id of its component, or null if there is none. An empty table gives no rows. Other columns are not read.
+    """
+    rows, named, ids = grouped(docs.select("doc_id", "text"), F.col("doc_id"), Scratch(docs.sparkSession))
     named = named.join(ids, "root").select("node", "component")
     out = rows.select("doc_id", "n", "node").join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that carry their component's least id, once each."""
+    """One row of each component of ``docs``: the least by doc_id, nulls last, and then by a hash of the text.
+
+    A row is known by a hash of id and text, so that neither a null id nor one with several texts stands for another
+    row. Null, empty and all-blank texts are alone: each stays, except that a repeated row with an id stays once.
+    """
     scratch = Scratch(docs.sparkSession)
-    kept = scratch.save(linked(docs).filter("doc_id = component_id").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull().cast("string"), F.coalesce("text", F.lit("")), F.col("text").isNull().cast("string")))
+    docs_ = docs.withColumn("_row", key)
+    mark = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
+    rows, _, ids = grouped(docs_.select("doc_id", "text", "_row"), mark, scratch)
+    kept = scratch.save(ids.select("component._row").union(rows.filter("n = 0").select("_row")).distinct())
+    # nothing tells rows without id and words apart
+    bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return docs_.filter(~bare).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").union(docs.filter(bare))

@@ -207,6 +207,20 @@ def test_jaccard(spark, docs, none):
     assert sorted(kept) == sorted({*root.values()})
 
 
+def test_one_of_each_component_stays_whatever_its_ids(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(60))
+    table = [
+        (None, text("a")), (None, text("b")), (None, text("b") + " more"), (7, text("c")), (None, text("c")),
+        (1, text("d")), (2, text("d") + " more"), (2, text("e")), (3, text("e") + " more"), (4, text("f")), (4, text("g")), (4, text("g")),
+        (None, None), (None, ""), (None, " "), (None, " "), (5, None), (5, ""), (5, ""),
+    ]
+    got = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    b = {t for i, t in got if i is None and t and t.startswith("b0")}
+    assert len(b) == 1 and b < {text("b"), text("b") + " more"}
+    want = [(None, text("a")), (None, *b), (7, text("c")), (1, text("d")), (2, text("e")), (4, text("f")), (4, text("g")), (None, None), (None, ""), (None, " "), (None, " "), (5, None), (5, "")]
+    assert got == sorted(want, key=repr)
+
+
 def test_quality(spark, docs, none):
     labels = spark.createDataFrame([(i, int(i % 2)) for i in range(24)] + [(100, None), (None, 1)], "doc_id long, quality int")
     got = quality.score(docs, labels).collect()
