@@ -7,6 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,22 +122,68 @@ def dagostino(df: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("k2", k2).withColumn("p", F.exp(-F.col("k2") / 2))
 
 
-def bootstrap_difference(df: DataFrame, key: str, value: str, arm: str, a, b, replicates: int = 1000, most: int = 3000) -> DataFrame:
+def normality(df: DataFrame, columns: list[str], most: int = 5000) -> DataFrame:
+    """variable, n, test, w, k2, p of every column: Shapiro-Wilk up to ``most`` values, D'Agostino's K2 beyond. With
+    fewer than 3 values, or K2 of a constant, nothing is tested and the results are null."""
+    sizes = long(df, columns).groupBy("variable").agg(F.count("value").alias("n"))
+    w = shapiro(df, columns, most).select("variable", "w", F.col("p").alias("pw"))
+    k = dagostino(df, columns).filter(F.col("n") > most).select("variable", "k2", F.col("p").alias("pk"))
+    test = F.when(F.col("n") > most, "dagostino").when(F.col("n") >= 3, "shapiro")
+    return sizes.join(w, "variable", "left").join(k, "variable", "left").select("variable", "n", test.alias("test"), "w", "k2", F.coalesce("pw", "pk").alias("p"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Finaliser of a 64-bit hash."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _drawn_sums(batches, replicates: int):
+    """(side, r, n, s, q) of a partition: for each arm and replicate, the sums of weights, weighted values and squares."""
+    cuts = (np.cumsum([math.exp(-1) / math.factorial(i) for i in range(13)]) * 2.0**32).astype(np.uint32)
+    # the weight by the first 16 bits, but where a cut falls within them
+    low = np.searchsorted(cuts, np.arange(1 << 16, dtype=np.uint32) << np.uint32(16), "right").astype(np.uint8)
+    high = np.searchsorted(cuts, (np.arange(1 << 16, dtype=np.uint32) << np.uint32(16)) | np.uint32(0xFFFF), "right").astype(np.uint8)
+    steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sums = np.zeros((2, replicates, 3))
+    for batch in batches:
+        first, h, v = np.asarray(batch.column(0).to_numpy(zero_copy_only=False), bool), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+        for side in (0, 1):
+            own = np.flatnonzero(first == (side == 0))
+            for i in range(0, len(own), 1024):
+                at = own[i : i + 1024]
+                u = (_mixed(h[at][None, :] + steps[:, None]) >> np.uint64(32)).astype(np.uint32)
+                top = u >> np.uint32(16)
+                weight = low[top]
+                split = np.nonzero(weight != high[top])
+                weight[split] = np.searchsorted(cuts, u[split], "right")
+                sums[side] += weight.astype(float) @ np.stack([np.ones(len(at)), v[at], v[at] ** 2], 1)
+    side, r = np.repeat([0, 1], replicates), np.tile(np.arange(1, replicates + 1), 2)
+    yield pa.RecordBatch.from_arrays([pa.array(side, pa.int32()), pa.array(r, pa.int32()), *(pa.array(sums[:, :, k].ravel()) for k in range(3))], ["side", "r", "n", "s", "q"])
+
+
+def bootstrap_difference(df: DataFrame, key: str, value: str, arm: str, a, b, replicates: int = 1000, most: int | None = None) -> DataFrame:
     """n, d (standardised difference a - b), low, high: 95 % percentile interval of a Poisson bootstrap, whose weights are
-    a hash of key and replicate, so reruns agree. Beyond ``most`` rows the interval is null, as its cost would be
-    ``replicates`` times the table."""
+    a hash of key and replicate, so reruns agree. One pass sums all replicates within each partition. Beyond ``most``
+    rows, if given, the interval is null; d never is for that."""
     rows = df.filter(F.col(arm).isin(a, b) & F.col(value).isNotNull()).select(F.col(key).alias("k"), (F.col(arm) == a).alias("first"), F.col(value).cast("double").alias("v"))
-    whole = rows.agg(F.count(F.lit(1)).alias("n"))
-    small = rows.crossJoin(F.broadcast(whole)).filter(F.col("n") <= most)  # whole is one row
-    u = F.pmod(F.xxhash64("k", "r"), F.lit(1 << 30)) / float(1 << 30)
-    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])
-    weight = sum(((u >= float(c)).cast("int") for c in cuts), F.lit(0))
-    drawn = small.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("w", F.when(F.col("r") == 0, 1).otherwise(weight))
-    part = lambda c, name: [F.sum(F.when(c, F.col("w"))).alias(f"n{name}"), F.sum(F.when(c, F.col("w") * F.col("v"))).alias(f"s{name}"), F.sum(F.when(c, F.col("w") * F.col("v") ** 2)).alias(f"q{name}")]
-    sums = drawn.groupBy("r").agg(*part(F.col("first"), "a"), *part(~F.col("first"), "b"))
-    within = F.col("qa") - F.col("sa") ** 2 / F.col("na") + F.col("qb") - F.col("sb") ** 2 / F.col("nb")
-    d = (F.col("sa") / F.col("na") - F.col("sb") / F.col("nb")) / F.sqrt(within / (F.col("na") + F.col("nb") - 2))
-    ends = sums.withColumn("d", d).agg(F.max(F.when(F.col("r") == 0, F.col("d"))).alias("d"), F.percentile(F.when(F.col("r") > 0, F.col("d")), [0.025, 0.975]).alias("e"))
+    part = lambda c, name: [F.count_if(c).alias(f"n{name}"), F.avg(F.when(c, F.col("v"))).alias(f"m{name}"), F.coalesce(F.var_pop(F.when(c, F.col("v"))) * F.count_if(c), F.lit(0.0)).alias(f"w{name}")]
+    m = rows.agg(F.count(F.lit(1)).alias("n"), *part(F.col("first"), "a"), *part(~F.col("first"), "b"))
+    standard = lambda gap, within, free: gap / F.nullif(F.sqrt(within / F.nullif(free, F.lit(0))), F.lit(0.0))
+    whole = m.select("n", standard(F.col("ma") - F.col("mb"), F.col("wa") + F.col("wb"), F.col("na") + F.col("nb") - 2).alias("d"))
+    # about the mean, so that squares do not cancel
+    centre = rows.agg(F.avg("v").alias("c"), F.count(F.lit(1)).alias("n"))
+    moved = rows.crossJoin(F.broadcast(centre))  # centre is one row
+    moved = moved if most is None else moved.filter(F.col("n") <= most)
+    moved = moved.select("first", F.xxhash64("k").alias("h"), (F.col("v") - F.col("c")).alias("v"))
+    sums = moved.mapInArrow(lambda batches: _drawn_sums(batches, replicates), "side int, r int, n double, s double, q double")
+    of = lambda c, side: F.sum(F.when(F.col("side") == side, F.col(c))).alias(f"{c}{side}")
+    sums = sums.groupBy("r").agg(*(of(c, side) for c in "nsq" for side in (0, 1)))
+    n0, n1 = (F.nullif(F.col(f"n{side}"), F.lit(0.0)) for side in (0, 1))
+    within = F.col("q0") - F.col("s0") ** 2 / n0 + F.col("q1") - F.col("s1") ** 2 / n1
+    drawn = sums.select(standard(F.col("s0") / n0 - F.col("s1") / n1, F.greatest(within, F.lit(0.0)), n0 + n1 - 2).alias("d"))
+    ends = drawn.agg(F.percentile("d", [0.025, 0.975]).alias("e"))  # one value a replicate
     return whole.crossJoin(ends).select("n", "d", F.col("e")[0].alias("low"), F.col("e")[1].alias("high"))  # one row each
 
 

@@ -32,7 +32,7 @@ def normality_large(spark, sf_dir):
 
 @query("normality_small")
 def normality_small(spark, sf_dir):
-    return rounded(inference.shapiro(table(spark, sf_dir, "customer"), ["c_acctbal"]))
+    return rounded(inference.normality(table(spark, sf_dir, "customer"), ["c_acctbal"]))
 
 
 @query("bootstrap_difference")

@@ -44,6 +44,24 @@ def test_bootstrap_interval_is_near_the_analytic_one_and_reruns_agree(spark):
     assert inference.bootstrap_difference(df, "k", "v", "arm", 0, 1, 10, most=100).first()["low"] is None
 
 
+def test_bootstrap_and_normality_do_their_work_on_large_tables(spark):
+    rng = np.random.default_rng(4)
+    v = 1000 + rng.normal(size=8000) + 0.4 * (np.arange(8000) % 2 == 0)
+    df = spark.createDataFrame([(i, float(x), i % 2, float(rng.exponential()) if i < 300 else None, 1.0, None) for i, x in enumerate(v)], "k long, v double, arm long, few double, same double, none double")
+    x, y = v[::2], v[1::2]
+    d = (x.mean() - y.mean()) / math.sqrt((x.var() + y.var()) * 4000 / 7998)
+    row = inference.bootstrap_difference(df, "k", "v", "arm", 0, 1, 400).first()
+    assert row["n"] == 8000 and row["d"] == pytest.approx(d)
+    assert row["low"] < d < row["high"] and row["high"] - row["low"] == pytest.approx(4 * math.sqrt(2 / 4000), rel=0.2)
+    row = inference.bootstrap_difference(df, "k", "v", "arm", 0, 1, 10, most=100).first()
+    assert row["d"] == pytest.approx(d) and row["low"] is None
+    got = {r["variable"]: r for r in inference.normality(df, ["v", "few", "same", "none"]).collect()}
+    k2, w = inference.dagostino(df, ["v"]).first(), inference.shapiro(df, ["few"]).first()
+    assert (got["v"]["test"], got["v"]["n"], got["v"]["w"]) == ("dagostino", 8000, None) and (got["v"]["k2"], got["v"]["p"]) == pytest.approx((k2["k2"], k2["p"]))
+    assert (got["few"]["test"], got["few"]["n"], got["few"]["k2"]) == ("shapiro", 300, None) and (got["few"]["w"], got["few"]["p"]) == pytest.approx((w["w"], w["p"]))
+    assert (got["same"]["n"], got["same"]["p"]) == (8000, None) and (got["none"]["n"], got["none"]["test"], got["none"]["p"]) == (0, None, None)
+
+
 def _cox_brute(t, e, x, beta):
     like = 0.0
     for s in np.unique(t[e == 1]):
