@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import heapq
+from collections import deque
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cohortlake.operators.evidence import terms
 from cohortlake.operators.longform import need
@@ -95,28 +101,109 @@ def verdict_counts(claims: DataFrame) -> DataFrame:
     return claims.agg(F.count(F.lit(1)).alias("claims"), *(of(v).alias(v) for v in names), (of("verified") / F.nullif(checked, F.lit(0))).alias("verified_rate"))
 
 
-def pair(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, on: str, least: float = 0.28, rounds: int = 50) -> DataFrame:
+class _Topic:
+    """The right rows of a topic by token set; rows of a set differ in their keys only."""
+
+    def __init__(self, sets: dict):
+        self.rows, self.sizes, self.alive = list(sets.values()), np.array([max(1, len(s)) for s in sets]), np.ones(len(sets), bool)
+        where: dict = {}
+        for c, words in enumerate(sets):
+            for w in words:
+                where.setdefault(w, []).append(c)
+        self.where = {w: np.array(c) for w, c in where.items()}
+
+    def best(self, words: frozenset, used: set, least: float):
+        """(score, key) of the best row left for a set of tokens, ties to the smaller key; or None."""
+        common = np.zeros(len(self.rows))
+        for w in words:
+            if w in self.where:
+                common[self.where[w]] += 1
+        score = np.floor((0.5 + 0.5 * (common / np.maximum(self.sizes, len(words)))) * 1e6 + 0.5) / 1e6
+        while True:
+            score[~self.alive] = -1
+            top = float(score.max())
+            if top < max(least, 0):
+                return None
+            heads = []
+            for c in np.flatnonzero(score == top):
+                while self.rows[c] and self.rows[c][0] in used:
+                    self.rows[c].popleft()
+                if self.rows[c]:
+                    heads.append(self.rows[c][0])
+                else:
+                    self.alive[c] = False
+            if heads:
+                return top, min(heads)
+
+
+def _sets(table: pa.Table, key: str, on: str, words: str) -> dict:
+    """topic: {token set: its keys in order}."""
+    out: dict = {}
+    for r in sorted(table.to_pylist(), key=lambda r: r[key]):
+        out.setdefault(r[on], {}).setdefault(frozenset(r[words]), deque()).append(r[key])
+    return out
+
+
+def _assign(left: dict, right: dict, least: float) -> list:
+    """(l, r, score), best first. The heap holds the best pair of each token set on the left as last seen; rows are only
+    used up, so one whose rows are both free is the best of all."""
+    topics = {t: _Topic(sets) for t, sets in right.items()}
+    sets = [(t, words, rows) for t, own in left.items() if t in topics for words, rows in own.items()]
+    used_l, used_r, out, heap = set(), set(), [], []
+
+    def push(c: int) -> None:
+        t, words, rows = sets[c]
+        while rows and rows[0] in used_l:
+            rows.popleft()
+        found = topics[t].best(words, used_r, least) if rows else None
+        if found:
+            heapq.heappush(heap, (-found[0], rows[0], found[1], c))
+
+    for c in range(len(sets)):
+        push(c)
+    while heap:
+        score, l, r, c = heapq.heappop(heap)
+        if l not in used_l and r not in used_r:
+            out.append((l, r, -score))
+            used_l.add(l), used_r.add(r)
+        push(c)
+    return out
+
+
+def _pooled(a: DataFrame, b: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Adds pool: the topic, or the least of those that keys of several topics connect."""
+    ties = a.select(F.concat(F.lit("l"), F.col("l").cast("string")).alias("k"), on).union(b.select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("k"), on)).distinct()
+    several = ties.groupBy("k").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("k")
+    ties = ties.join(several, "k").localCheckpoint()
+    if ties.isEmpty():
+        return a.withColumn("pool", F.col(on)), b.withColumn("pool", F.col(on))
+    pools = ties.select(on, F.col(on).alias("pool")).distinct()
+    while True:
+        low = ties.join(pools, on).groupBy("k").agg(F.min("pool").alias("pool"))
+        new = ties.join(low, "k").groupBy(on).agg(F.min("pool").alias("pool")).localCheckpoint()
+        if new.join(pools, [on, "pool"], "left_anti").isEmpty():
+            return tuple(d.join(new, on, "left").withColumn("pool", F.coalesce("pool", on)) for d in (a, b))
+        pools = new
+
+
+def pair(left: DataFrame, lkey: str, ltext: str, right: DataFrame, rkey: str, rtext: str, on: str, least: float = 0.28) -> DataFrame:
     """lkey, rkey, score: one-to-one pairs of rows that agree in ``on``, highest score first (0.5 and half the share of
-    common tokens), ties by keys.
+    common tokens), ties by keys. Rows without key, topic or text take no part.
 
-    Pairs come from an equi-join; each round keeps those that are the best of both sides and drops what they use. Every
-    round takes each group's best pair, and ends when none is left; an unfinished assignment is an error.
+    A topic is assigned in one task, which holds its rows but not its pairs; topics that share a key go together. Rows
+    of equal tokens are compared once.
     """
-    a = left.select(F.col(lkey).alias("l"), on, F.array_distinct(terms(F.col(ltext))).alias("lt"))
-    b = right.select(F.col(rkey).alias("r"), on, F.array_distinct(terms(F.col(rtext))).alias("rt"))
-    share = F.size(F.array_intersect("lt", "rt")) / F.greatest(F.size("lt"), F.size("rt"), F.lit(1))
-    rest = a.join(b, on).select("l", "r", F.round(0.5 + 0.5 * share, 6).alias("score")).filter(F.col("score") >= least).persist()
-    best = lambda k, o: F.row_number().over(Window.partitionBy(k).orderBy(F.desc("score"), "l", "r"))
-    done = None
-    for _ in range(rounds):
-        won = rest.withColumn("_l", best("l", "r")).withColumn("_r", best("r", "l")).filter("_l = 1 AND _r = 1").select("l", "r", "score").persist()
-        if won.isEmpty():
-            break
-        done = won if done is None else done.union(won)
-        rest = rest.join(won.select("l"), "l", "left_anti").join(won.select("r"), "r", "left_anti").select("l", "r", "score").persist()
-    else:
-        raise ValueError("pairs were left after the last round")
-    return (rest if done is None else done).select(F.col("l").alias(lkey), F.col("r").alias(rkey), "score")
+    a = left.select(F.col(lkey).alias("l"), on, F.array_distinct(terms(F.col(ltext))).alias("lt")).dropna()
+    b = right.select(F.col(rkey).alias("r"), on, F.array_distinct(terms(F.col(rtext))).alias("rt")).dropna()
+    a, b = _pooled(a, b, on)
+
+    def assign(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = _assign(_sets(x, "l", on, "lt"), _sets(y, "r", on, "rt"), least) if x.num_rows and y.num_rows else []
+        ls, rs, scores = zip(*out) if out else ((), (), ())
+        return pa.table({lkey: pa.array(ls, x.schema.field("l").type), rkey: pa.array(rs, y.schema.field("r").type), "score": pa.array(scores, pa.float64())})
+
+    kind = T.StructType([T.StructField(lkey, a.schema["l"].dataType), T.StructField(rkey, b.schema["r"].dataType), T.StructField("score", T.DoubleType())])
+    return a.groupBy("pool").cogroup(b.groupBy("pool")).applyInArrow(assign, kind)
 
 
 def evidence_strength(articles: DataFrame, text: str, year: str, now: int) -> DataFrame:

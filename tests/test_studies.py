@@ -161,6 +161,16 @@ def test_pairs_are_greedy_and_one_to_one(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_pairs_end_on_large_ties_and_on_keys_of_several_topics(spark):
+    kind = lambda k: f"{k} long, g int, s string"
+    left, right = [(i, 1, "same words") for i in range(70)] + [(None, 1, "same words"), (900, None, "same"), (901, 1, None), (902, 3, "x1")], [(i, 1, "same words") for i in range(1000, 1090)]
+    got = claims.pair(spark.createDataFrame(left, kind("a")), "a", "s", spark.createDataFrame(right, kind("b")), "b", "s", "g")
+    assert {tuple(r) for r in got.collect()} == {(i, 1000 + i, 1.0) for i in range(70)}
+    left, right = [(1, 1, "aa bb"), (1, 2, "cc dd"), (2, 2, "cc ee"), (2, 3, "gg hh")], [(5, 1, "aa zz"), (6, 2, "cc dd"), (7, 3, "qq rr")]
+    got = claims.pair(spark.createDataFrame(left, kind("a")), "a", "s", spark.createDataFrame(right, kind("b")), "b", "s", "g")
+    assert {tuple(r) for r in got.collect()} == {(1, 6, 1.0), (2, 7, 0.5)}
+
+
 def test_stratified_sample_holds_every_stratum(spark):
     df = spark.range(1000).withColumn("s", F.when(F.col("id") < 5, "rare").when(F.col("id") < 8, None).otherwise("common"))
     got = {r["s"]: r["count"] for r in guardrails.stratified_sample(df, "id", "s", 100).groupBy("s").count().collect()}
