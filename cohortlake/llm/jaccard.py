@@ -1,25 +1,28 @@
 """N-gram Jaccard join with prefix trees.
 
-A document's set holds the hashes of its distinct 5-word shingles, in one global order: classes of frequency (from a
-count sketch over all documents, of fixed size), then the hash. Equal sets are one class. Two sets of similarity 0.75
-share a token among the first quarter of each, so classes meet on those tokens only. First every class is compared with
-the most central class it meets; pairs that meet but are not yet connected are then bounded by their common prefix tokens and
-compared as well, so no link between different components is lost. A comparison puts the sets that meet one pivot into
-a prefix tree and walks it once: partial overlaps are shared by all sets below a node, and a subtree is left when even
-its remaining length cannot reach the overlap needed.
-
-Hashes have 60 bits; sets that differ are taken for equal only if 128 bits collide.
+A document's set holds the hashes of its distinct 5-word shingles; equal sets are one class. Sets of similarity 3/4
+share at least 3/4 of either one's tokens, so a class of which less is found in any other class links with nothing. This
+is settled first: every token goes once to the partition of its hash (packed, and joined within a task before), which
+tells each class which of its tokens live elsewhere too. The few classes left get one global order, rare tokens first, and meet
+on the tokens of their prefixes: of n tokens, ``living`` of them shared, the first ``living - ceil(3 n / 4) + 1`` shared ones.
+
+Comparisons are walks through prefix trees of at most ``members`` sets. First every class goes to the cell of the most
+central class it meets; the tree of a cell finds the links among its members. What still meets across components is
+found by token and leaf (a part of a component, bounded by its largest remaining lengths), not by pair: the classes of
+the smaller component walk the tree of each leaf they meet. No link between different components is lost, and no group
+of copies, however large, is expanded into pairs.
+
+Tokens have 54 bits; classes are named by 64 bits of a cryptographic hash of the set.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.llm.batches import chunks, mix64, shingles, words
@@ -27,8 +30,9 @@ from cohortlake.llm.components import components
 from cohortlake.llm.work import Scratch
 
 SIZE = 5
-SKETCH, PARTS = 1 << 20, 64
-BITMAP = 1 << 23
+BITS = 54
+#: Stands for "several classes of one task" where the token went no further with their names.
+SEVERAL = np.int64(-(2**63))
 
 
 def _runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -49,101 +53,160 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield i + k, own
 
 
-def frequencies(docs: DataFrame) -> np.ndarray:
-    """Frequency class (0 to 7) of each of SKETCH hash buckets: 0 up to four times the mean, then one a doubling."""
+def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, int | None]]:
+    """(sorted tokens, name of the class or None if there are none) of each row."""
+    for _, runs in _runs(column):
+        tokens = np.unique(runs >> np.uint64(64 - BITS)).astype(np.int64)
+        name = hashlib.blake2b(tokens.tobytes(), digest_size=8).digest() if len(tokens) else None
+        yield tokens, int.from_bytes(name, "big", signed=True) if name else None
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for _, runs in _runs(batch.column(0)):
-                if len(runs):
-                    np.add.at(total, (runs >> np.uint64(44)).astype(np.int64), 1)
-        parts = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(total, PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "counts"])
-
-    def add(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH // PARTS, np.int64)
-        for table in tables:
-            for x in table.column(table.schema.get_field_index("counts")):
-                total += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "counts"])
-
-    kind = "part int, counts binary"
-    rows = docs.select("text").mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).collect()  # PARTS rows of 128 KB
-    total = np.zeros(SKETCH, np.int64)
-    for r in rows:
-        total[r.part * (SKETCH // PARTS) : (r.part + 1) * (SKETCH // PARTS)] = np.frombuffer(r.counts, np.int64)
-    common = 4 * total.mean() + 16
-    return np.clip(np.ceil(np.log2(np.maximum(total, 1) / common)), 0, 7).astype(np.uint8)
-
-
-def _ordered(runs: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """The set as sorted tokens: frequency class, then 60 bits of the hash."""
-    return np.unique((classes[(runs >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(60)) | (runs >> np.uint64(4)))
-
-
-def _class(tokens: np.ndarray) -> bytes:
-    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
-
-def prefix_length(n: int) -> int:
-    """So many first tokens of n hold a common one with any set of similarity 3/4."""
-    return n + 1 - -(-3 * n // 4)
-
-
-def described(docs: DataFrame, classes) -> DataFrame:
-    """doc_id, n, class (null if the set is empty), prefix, and all columns of ``docs`` beyond doc_id and text."""
+def described(docs: DataFrame) -> DataFrame:
+    """doc_id, n, node (the class; null if the set is empty), and all columns of ``docs`` beyond doc_id and text."""
     rest = [f for f in docs.schema if f.name not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            n, names, prefixes = [], [], []
-            for _, runs in _runs(batch.column(1)):
-                tokens = _ordered(runs, classes.value)
-                n.append(len(tokens))
-                names.append(_class(tokens) if len(tokens) else None)
-                prefixes.append(tokens[: prefix_length(len(tokens))].astype(np.int64) if len(tokens) else None)
-            own = [pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *own, *batch.columns[2:]], ["doc_id", "n", "class", "prefix", *batch.schema.names[2:]])
+            if batch.num_rows:
+                n, nodes = zip(*((len(tokens), node) for tokens, node in _sets(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), *batch.columns[2:]], ["doc_id", "n", "node", *batch.schema.names[2:]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "".join(f", {f.name} {f.dataType.simpleString()}" for f in rest)
-    return docs.select("doc_id", "text", *(f.name for f in rest)).mapInArrow(run, f"doc_id {kind}, n long, class binary, prefix array<long>{more}")
-
-
-def sets_of(docs: DataFrame, wanted: DataFrame, classes) -> DataFrame:
-    """(node, tokens) of at least the classes in ``wanted`` (node), each once. A bitmap of fixed size spares most others the
-    shuffle; a join by node leaves out the rest."""
-    spot = f"pmod(node, {BITMAP}L)"
-    words_ = wanted.groupBy(F.expr(f"cast({spot} div 64 as int) AS word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({spot} % 64 as int))) AS bits"))
-    bits = words_.collect()  # BITMAP / 64 rows at most
-    table = np.zeros(BITMAP // 64, np.int64)
-    for r in bits:
-        table[r.word] = r.bits
-    shared = docs.sparkSession.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select("doc_id", "text", *(f.name for f in rest)).mapInArrow(run, f"doc_id {kind}, n long, node long{more}")
+
+
+def _packed(part: np.ndarray, node: np.ndarray, token: np.ndarray, width: int) -> pa.RecordBatch | None:
+    """A row for each part: its nodes, the number of tokens of each, and ``width`` bytes a token."""
+    if not len(part):
+        return None
+    order = np.lexsort((token, node, part))
+    part, node, token = part[order], node[order], token[order]
+    raw = np.ascontiguousarray(token.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width])
+    heads = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (node[1:] != node[:-1])])
+    sizes = np.diff(np.r_[heads, len(part)]).astype("<u4")
+    first = np.flatnonzero(np.r_[True, np.diff(part[heads]) != 0])
+    last = np.r_[first[1:], len(heads)]
+    at = np.r_[heads, len(part)]
+    names = node[heads].astype("<i8")
+    columns = [
+        pa.array(part[heads[first]], pa.int32()),
+        pa.array([names[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
+        pa.array([sizes[a:b].tobytes() for a, b in zip(first, last)], pa.binary()),
+        pa.array([raw[at[a] : at[b]].tobytes() for a, b in zip(first, last)], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["part", "nodes", "sizes", "tokens"])
+
+
+def _unpacked(table: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(node, token) of every entry."""
+    column = lambda name: b"".join(table.column(table.schema.get_field_index(name)).to_pylist())
+    raw = np.frombuffer(column("tokens"), np.uint8).reshape(-1, width)
+    full = np.zeros((len(raw), 8), np.uint8)
+    full[:, :width] = raw
+    return np.repeat(np.frombuffer(column("nodes"), "<i8"), np.frombuffer(column("sizes"), "<u4")), full.view("<i8").ravel()
+
+
+def _distinct(node: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries by token and node, each once."""
+    order = np.lexsort((node, token))
+    node, token = node[order], token[order]
+    new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])] if len(node) else np.zeros(0, bool)
+    return node[new], token[new]
+
+
+def _lists(node: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
+    """(node, tokens) of each node."""
+    order = np.argsort(node, kind="stable")
+    node, token = node[order], token[order]
+    heads = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
+    offsets = pa.array(np.r_[heads, len(node)].astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(node[heads], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(token, pa.int64()))], ["node", "tokens"])
+
+
+def living_tokens(docs: DataFrame, total: int, buffer: int = 1 << 21, group: int = 1 << 23) -> DataFrame:
+    """(node, tokens): for every class those of its tokens that another class has as well, in several rows of which two may
+    hold the same token. ``total``: number of tokens of the corpus; a partition gets about ``group`` of them.
+
+    A task reads ``buffer`` tokens at a time. A token that several of its classes hold is known to live: they keep it,
+    and one entry without their names goes on to the token's partition, so that a token of all documents sends one
+    entry for each buffer.
+    """
+    spark = docs.sparkSession
+    parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group))
+    bits = (parts - 1).bit_length()
+    parts, width = 1 << bits, -(-(BITS - bits) // 8)
+
+    def send(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        names = np.fromiter(sets, np.int64, len(sets))
+        node = np.repeat(names, [len(s) for s in sets.values()])
+        token = np.concatenate(list(sets.values()))
+        order = np.argsort(token, kind="stable")
+        node, token = node[order], token[order]
+        heads = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        times = np.diff(np.r_[heads, len(token)])
+        lives = np.repeat(times > 1, times)
+        once = np.r_[token[~lives], token[heads[times > 1]]]
+        owner = np.r_[node[~lives], np.full(int((times > 1).sum()), SEVERAL)]
+        yield _packed((once & (parts - 1)).astype(np.int32), owner, once >> bits, width)
+        yield _packed((parts + (node[lives] & (parts - 1))).astype(np.int32), node[lives], token[lives], 8)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = {}, 0
         for batch in batches:
-            nodes, sets = [], []
-            for _, runs in _runs(batch.column(0)):
-                if len(runs):
-                    tokens = _ordered(runs, classes.value)
-                    node = int.from_bytes(_class(tokens)[:8], "big", signed=True)
-                    if shared.value[node % BITMAP]:
-                        nodes.append(node)
-                        sets.append(tokens.tobytes())
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "tokens"])
-
-    return docs.select("text").mapInArrow(run, "node long, tokens binary").dropDuplicates(["node"])
+            for tokens, node in _sets(batch.column(0)):
+                if node is not None and node not in sets:
+                    sets[node] = tokens
+                    size += len(tokens)
+                if size >= buffer:
+                    yield from filter(None, send(sets))
+                    sets, size = {}, 0
+        if sets:
+            yield from filter(None, send(sets))
+
+    def meet(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = key[0].as_py()
+        known, todo, size = (np.zeros(0, np.int64),) * 2, [], 0
+        for table in tables:
+            node, token = _unpacked(table, width if part < parts else 8)
+            todo.append((node, token))
+            size += len(node)
+            if size > buffer:  # copies of a class come once for each task; they do not pile up
+                known = _distinct(*(np.concatenate(x) for x in zip(known, *todo)))
+                todo, size = [], 0
+        node, token = _distinct(*(np.concatenate(x) for x in zip(known, *todo)))
+        if part < parts:
+            heads = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[heads, len(token)])
+            lives = np.repeat((times > 1) | (node[heads] == SEVERAL), times) & (node != SEVERAL)  # SEVERAL is the least name
+            node, token = node[lives], (token[lives] << bits) | part
+        yield _lists(node, token)
+
+    dealt = docs.select("text").mapInArrow(deal, "part int, nodes binary, sizes binary, tokens binary")
+    return dealt.groupBy("part").applyInArrow(meet, "node long, tokens array<long>")
+
+
+def survivors(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, n, tokens): the classes that may link, with their shared tokens in the global order: classes of frequency
+    (four to a doubling) in the upper bits, then the hash."""
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = living_tokens(docs, total).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    found = scratch.save(found.join(nodes.select("node", "n"), "node").filter("4 * size(tokens) >= 3 * n"))
+    each = found.select("node", "n", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    code = F.shiftleft(F.least(F.floor(4 * F.log2("c")), F.lit(255)).cast("long"), BITS).bitwiseOR(F.col("token"))
+    kept = each.join(counts, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(code)).alias("tokens"))
+    kept = scratch.save(kept.filter("4 * size(tokens) >= 3 * n"))
+    scratch.free(found)
+    return kept
 
 
 class PrefixTree:
-    """Sets in one global order; a node holds the tokens its sets share beyond its parent."""
+    """Sets in one global order; a node holds the tokens its sets share beyond its parent. A set is given by its tokens
+    and its size, as tokens that no other set has may be left out."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], sizes: list[int]):
+        self.sizes = sizes
         order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
         self.root = self._node([(k, sets[k]) for k in order], 0)
 
@@ -161,88 +224,121 @@ class PrefixTree:
                 j += 1
             below.append(self._node(rest[i:j], end))
             i = j
-        sizes = [len(s) for _, s in members]
-        return first[depth:end], end, ended, below, min(sizes), max(sizes)
+        return first[depth:end], end, ended, below, max(len(s) for _, s in members), min(self.sizes[k] for k, _ in members)
 
-    def linked(self, own: np.ndarray) -> list[int]:
-        """Sets that have similarity 3/4 with ``own``: 7 * overlap >= 3 * (sum of sizes)."""
-        out, n = [], len(own)
+    def linked(self, own: np.ndarray, size: int) -> Iterator[int]:
+        """Sets that have similarity 3/4 with ``own`` of ``size``: 7 * overlap >= 3 * (sum of sizes)."""
+        n = len(own)
         todo = [(self.root, 0)]
         while todo:
-            (tokens, depth, ended, below, least, most), overlap = todo.pop()
+            (tokens, depth, ended, below, most, least), overlap = todo.pop()
+            passed = 0
             if len(tokens):
                 overlap += int(np.count_nonzero(own[np.minimum(np.searchsorted(own, tokens), n - 1)] == tokens))
                 passed = int(np.searchsorted(own, tokens[-1], "right"))
-            else:
-                passed = 0
-            if 7 * overlap >= 3 * (n + depth):
-                out += ended
-            if below and 7 * (overlap + min(most - depth, n - passed)) >= 3 * (n + least):
+            yield from (k for k in ended if 7 * overlap >= 3 * (size + self.sizes[k]))
+            if below and 7 * (overlap + min(most - depth, n - passed)) >= 3 * (size + least):
                 todo += [(b, overlap) for b in below]
-        return out
-
 
-def compared(docs: DataFrame, pairs: DataFrame, classes, scratch: Scratch, members: int = 256) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` that link. b's that meet one a are compared ``members`` at a time."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    deal = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("m"))
-    pairs = pairs.join(deal, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / members)).alias("part"))
-    # the pivot goes to all its parts, so that one join of the sets, dealt by node already, serves both sides
-    places = pairs.select("a", "part", F.col("b").alias("node")).union(pairs.select("a", "part", F.col("a").alias("node")).distinct())
-    placed = sets_of(docs, wanted, classes).join(places, "node").select("a", "part", "node", "tokens")
 
-    def walk(table: pa.Table) -> pa.Table:
-        node, tokens = table["node"].to_pylist(), [np.frombuffer(t, np.uint64) for t in table["tokens"].to_pylist()]
-        a = table["a"][0].as_py()
-        others = [k for k, x in enumerate(node) if x != a]
-        own = tokens[node.index(a)]
-        hits = PrefixTree([tokens[k] for k in others]).linked(own) if others else []
-        return pa.table({"a": pa.array([a] * len(hits), pa.int64()), "b": pa.array([node[others[k]] for k in hits], pa.int64())})
-
-    return scratch.save(placed.groupBy("a", "part").applyInArrow(walk, "a long, b long"))
-
-
-def grouped(docs: DataFrame, mark: F.Column, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows of ``docs`` as ``described``, with node; (node, root) of each class; and (root, component) of each
-    component, with the least ``mark`` of its rows."""
-    spark = docs.sparkSession
-    classes = spark.sparkContext.broadcast(frequencies(docs))  # 1 MB, whatever the corpus
-    rows = scratch.save(described(docs, classes).withColumn("node", F.expr("cast(conv(hex(substring(class, 1, 8)), 16, -10) as long)")))
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min(mark).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    nodes = scratch.save(nodes)
-    tokens = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    alive = met = scratch.save(tokens.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("token"))).filter("df > 1"))
-
-    # of the classes that hold a token, the one that meets others most: an original rather than one of its copies
-    weight = met.groupBy("node").agg(F.sum("df").alias("weight"))
-    pivot = F.max(F.struct("weight", "node")).over(Window.partitionBy("token"))["node"]
-    stars = met.drop("pos", "df").join(weight, "node").withColumn("pivot", pivot)
-    stars = stars.filter("pivot <> node").groupBy("pivot", "node").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    stars = scratch.save(stars.filter("5 * c >= 2 * (n - ceil(3 * n / 4) + 1)").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
-    links = compared(docs, stars, classes, scratch)
+def _read(table: pa.Table) -> tuple[list[int], list[np.ndarray], list[int]]:
+    lists = table["tokens"].combine_chunks()
+    at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+    return table["node"].to_pylist(), [flat[a:b] for a, b in zip(at[:-1], at[1:])], table["n"].to_pylist()
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.Table:
+    a, b = zip(*found) if found else ((), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _cell(table: pa.Table) -> pa.Table:
+    """A forest of the links among the members of a cell."""
+    node, tokens, sizes = _read(table)
+    tree, group, out = PrefixTree(tokens, sizes), list(range(len(node))), []
+    central = node.index(table["cell"][0].as_py())
+
+    def top(k: int) -> int:
+        while group[k] != k:
+            group[k] = k = group[group[k]]
+        return k
+
+    for k in [central, *(i for i in range(len(node)) if i != central)]:
+        if k != central and top(k) == top(central):
+            continue  # part of the central class's component: others come to it
+        for hit in tree.linked(tokens[k], sizes[k]):
+            if top(hit) != top(k):
+                group[top(hit)] = top(k)
+                out.append((node[k], node[hit]))
+    return _edges(out)
+
+
+def _leaf(table: pa.Table) -> pa.Table:
+    """A link of each class that comes to a leaf with one of its members, if there is any."""
+    asks = np.asarray(table["asks"])
+    if asks.all() or not asks.any():
+        return _edges([])
+    members, tokens, sizes = _read(table.filter(pa.array(~asks)))
+    tree, out = PrefixTree(tokens, sizes), []
+    for node, own, size in zip(*_read(table.filter(pa.array(asks)))):
+        hit = next(tree.linked(own, size), None)
+        if hit is not None:
+            out.append((node, members[hit]))
+    return _edges(out)
+
+
+def in_cells(kept: DataFrame, entries: DataFrame, scratch: Scratch, members: int) -> DataFrame:
+    """Links (a, b) of classes within the cell of the most central class they meet."""
+    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    met = scratch.save(entries.select("token", "node").join(counts, "token"))
+    weight = met.groupBy("node").agg(F.sum("c").alias("weight"))
+    # an original meets others on more tokens than its copies do
+    central = met.join(weight, "node").groupBy("token").agg(F.max(F.struct("weight", "node"))["node"].alias("cell"))
+    choice = met.join(central, "token").groupBy("node", "cell").agg(F.count(F.lit(1)).alias("times"))
+    choice = choice.groupBy("node").agg(F.max(F.struct((F.col("cell") != F.col("node")).alias("other"), "times", "cell"))["cell"].alias("cell"))
+    choice = scratch.save(choice.filter("cell <> node"))
+    deal = choice.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("parts"))
+    own = choice.join(deal, "cell").select("node", "cell", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
+    heads = deal.select(F.col("cell").alias("node"), "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    links = scratch.save(own.union(heads).join(kept, "node").groupBy("cell", "part").applyInArrow(_cell, "a long, b long"))
+    scratch.free(met, choice)
+    return links
+
+
+def across(kept: DataFrame, entries: DataFrame, roots: DataFrame, scratch: Scratch, members: int) -> DataFrame:
+    """Links (a, b) between the components ``roots`` (node, root)."""
+    entries = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    contested = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
+    met = scratch.save(entries.join(contested, "token"))
+    of = met.select("root", "node").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("m"))
+    met = met.join(of, "root").withColumn("leaf", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / members)).cast("int"))
+    met = scratch.save(met.withColumn("rank", F.struct("m", "root")))
+    leaves = met.groupBy("token", "rank", "leaf").agg(F.min("n").alias("least"), F.max("pos").alias("before"), F.max("left").alias("after"))
+    leaves = leaves.select("token", F.col("rank").alias("theirs"), F.col("leaf").alias("into"), "least", "before", "after")
+    fits = (F.col("rank") < F.col("theirs")) & (7 * (F.least("pos", "before") + F.least("left", "after")) >= 3 * (F.col("n") + F.col("least")))
+    asks = met.join(leaves, "token").filter(fits).select("node", F.col("theirs.root").alias("root"), F.col("into").alias("leaf")).distinct()
+    asks = scratch.save(asks)
+    deal = asks.groupBy("root", "leaf").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("parts"))
+    come = asks.join(deal, ["root", "leaf"]).select("node", "root", "leaf", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"))
+    there = met.select("node", "root", "leaf").distinct().join(deal, ["root", "leaf"])
+    there = there.select("node", "root", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
+    return scratch.save(come.union(there).join(kept, "node").groupBy("root", "leaf", "part").applyInArrow(_leaf, "a long, b long"))
+
+
+def grouped(docs: DataFrame, mark: F.Column, scratch: Scratch, members: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of ``docs`` as ``described``; (node, root) of each class; and (root, component) of each component, with the
+    least ``mark`` of its rows."""
+    rows = scratch.save(described(docs))
+    nodes = scratch.save(rows.filter("n > 0").groupBy("node").agg(F.min(mark).alias("least"), F.first("n").alias("n")))
+    kept = survivors(docs, nodes, scratch)
+    prefix = F.slice("tokens", 1, F.size("tokens") - F.ceil(3 * F.col("n") / 4).cast("int") + 1)
+    entries = kept.select("node", "n", F.size("tokens").alias("living"), F.posexplode(prefix).alias("pos", "token"))
+    entries = scratch.save(entries.withColumn("left", F.col("living") - F.col("pos")).drop("living"))
+    links = in_cells(kept, entries, scratch, members)
     roots = components(links, scratch)
-
-    # what meets and is not connected yet
-    about = nodes.select("node", F.element_at("prefix", -1).alias("last")).join(roots, "node", "left").select("node", "last", F.coalesce("root", "node").alias("root"))
-    met = met.drop("df").join(about, "node")
-    whole = Window.partitionBy("token")
-    met = met.withColumn("lo", F.min("root").over(whole)).withColumn("hi", F.max("root").over(whole)).filter("lo < hi")
-    a, b = (met.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "pos", "root", "last"))) for x in "ab")
-    near = a.join(b, "token").filter("node_a < node_b AND root_a <> root_b AND 4 * n_a >= 3 * n_b AND 4 * n_b >= 3 * n_a")
-    near = near.filter("7 * (1 + least(pos_a, pos_b) + least(n_a - pos_a, n_b - pos_b) - 1) >= 3 * (n_a + n_b)")
-    near = near.withColumn("ends_a", F.col("last_a") <= F.col("last_b")).withColumn("ends_b", F.col("last_b") <= F.col("last_a"))
-    first = [F.first(c).alias(c) for c in ("n_a", "n_b", "ends_a", "ends_b")]
-    pairs = near.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("c"), F.max("pos_a").alias("i"), F.max("pos_b").alias("j"), *first)
-    # beyond the c common tokens, all that are left in the set whose prefix ends first, or after the other's last of them
-    left_a, left_b = (F.when(F.col(f"ends_{x}"), F.floor(3 * F.col(f"n_{x}") / 4.0)).otherwise(F.col(f"n_{x}") - F.col(k) - 1) for x, k in (("a", "i"), ("b", "j")))
-    pairs = pairs.filter(7 * (F.col("c") + F.least(left_a, left_b)) >= 3 * (F.col("n_a") + F.col("n_b")))
-    pairs = scratch.save(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    scratch.free(alive, stars)
-    if not pairs.isEmpty():
-        more = compared(docs, pairs, classes, scratch)
-        if not more.isEmpty():
-            roots = components(links.union(more), scratch)
-
+    more = across(kept, entries, roots, scratch, members)
+    if not more.isEmpty():
+        roots = components(links.union(more), scratch)
     named = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return rows, named.select("node", "root"), named.groupBy("root").agg(F.min("least").alias("component"))
 
