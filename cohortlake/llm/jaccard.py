@@ -124,7 +124,7 @@ def _lists(node: np.ndarray, token: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[heads], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(token, pa.int64()))], ["node", "tokens"])
 
 
-def living_tokens(docs: DataFrame, total: int, buffer: int = 1 << 21, group: int = 1 << 23) -> DataFrame:
+def living_tokens(docs: DataFrame, total: int, buffer: int = 1 << 20, group: int = 1 << 23) -> DataFrame:
     """(node, tokens): for every class those of its tokens that another class has as well, in several rows of which two may
     hold the same token. ``total``: number of tokens of the corpus; a partition gets about ``group`` of them.
 
