@@ -2,8 +2,8 @@
 
 Pieces are those of a fixed public vocabulary. Each language has a probability for each piece; the probability of a
 word is the sum over all its segmentations into pieces (a forward algorithm), and that of a text the product over its
-words, since no piece spans a word's begin. Probabilities come from expectation-maximisation over the words of a bounded
-sample of texts with known language, counted by Spark.
+words, since no piece spans a word's begin. Probabilities come from expectation-maximisation over all words of a sample of texts
+with known language, counted by Spark.
 """
 
 from __future__ import annotations
@@ -18,9 +18,16 @@ from pyspark.sql import functions as F
 
 from cohortlake.llm.work import Scratch, held_out
 
-#: Runs of letters; longer ones are read in parts, so that no product of probabilities underflows.
-WORDS = re.compile(r"[^\W\d_]{1,40}")
-MARK = "▁"  # the vocabulary's word begin
+#: Runs of letters and, as ``re`` knows no category, numerals like a superscript, which ``letters`` takes out.
+RUNS = re.compile(r"[^\W\d_]+")
+MARK, LONGEST = "▁", 40  # the vocabulary's word begin; longer words are read in parts, so that no product underflows
+
+
+def letters(text: str) -> Iterator[str]:
+    """The words of a text: runs of letters (Unicode category L), LONGEST at most."""
+    for run in RUNS.findall(text):
+        for word in [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split():
+            yield from [word] if len(word) <= LONGEST else (word[i : i + LONGEST] for i in range(0, len(word), LONGEST))
 
 
 def vocabulary(path: str) -> list[str]:
@@ -107,7 +114,7 @@ class Unigrams:
         """Expectation-maximisation over (word, language, count)."""
         weight: dict[str, np.ndarray] = {}
         for word, lang, n in counts:
-            for part in WORDS.findall(word):
+            for part in letters(word):
                 weight.setdefault(part, np.zeros(len(self.langs)))[lang] += n
         runs = [(run, self.edges(run), np.stack([weight[w] for w in run])) for run in self.runs(weight)]
         for _ in range(rounds):
@@ -138,7 +145,7 @@ class Unigrams:
         return order, np.vstack(logs)
 
     def score(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        found = [WORDS.findall((t or "").lower()) for t in texts]
+        found = [list(letters((t or "").lower())) for t in texts]
         new = set().union(*found) - self.seen.keys() if self.langs else set()
         if new and len(self.seen) + len(new) > self.most:
             self.clear()
@@ -161,36 +168,47 @@ class Unigrams:
         return langs, scores
 
 
-def word_counts(docs: DataFrame, texts: int, words: int) -> DataFrame:
-    """(lang, word, n): counts of the ``words`` most frequent words of each language in at most ``texts`` texts of it,
-    the first by a hash of the id."""
-    first = Window.partitionBy("lang").orderBy("order", "doc_id")
-    few = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("order"))
-    share = few.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # thinned by the hash before it is ranked, so that no task ranks a whole language
-    few = few.join(share, "lang").filter(F.pmod("order", F.lit(1 << 20)) < (F.lit(4.0 * texts) / F.col("n") * (1 << 20)) + 1)
-    few = few.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= texts)
+def word_counts(docs: DataFrame, texts: int) -> DataFrame:
+    """(lang, word, n): counts of all words of the ``texts`` texts of each language that come first by a hash of the id.
+
+    The driver learns how many texts each language has and where its sample ends, a number for each language, as it does the model;
+    texts go through no shuffle.
+    """
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    known = known.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)).alias("order"))
+    sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def up_to(ends: dict[str, int]) -> F.Column:
+        table = F.create_map(*[F.lit(x) for pair in ends.items() for x in pair])
+        return F.col("order") <= F.try_element_at(table, F.col("lang"))
+
+    if not sizes:
+        return known.select("lang", F.col("text").alias("word"), F.lit(0).alias("n")).limit(0)
+    near = {lang: (1 << 40) * min(1.0, (2 * texts + 100) / n) for lang, n in sizes.items()}
+    ranked = known.filter(up_to(near)).select("lang", "order").withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
+    ends = {r.lang: r.end for r in ranked.filter(F.col("rank") <= texts).groupBy("lang").agg(F.max("order").alias("end")).collect()}
     split = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    counts = few.select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= words).drop("rank")
+    return known.filter(up_to(ends)).select("lang", split.alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit(docs: DataFrame, pieces: str, texts: int = 1000, words: int = 5000) -> Unigrams:
-    rows = word_counts(docs, texts, words).collect()  # languages * words rows at most
+def fit(docs: DataFrame, pieces: str, texts: int = 1000) -> Unigrams:
+    rows = word_counts(docs, texts).collect()  # the words of ``texts`` texts a language
     langs = sorted({r.lang for r in rows})
     model = Unigrams(vocabulary(pieces), langs)
     model.learn([(r.word, langs.index(r.lang), r.n) for r in sorted(rows)])
     return model
 
 
-def identify(docs: DataFrame, pieces: str, texts: int = 1000, words: int = 5000) -> DataFrame:
+def identify(docs: DataFrame, pieces: str, texts: int = 1000) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang); ``pieces``: a public piece model.
 
-    A text that is null or has no letter is 'und' with score 0; repeated rows score alike; a null lang is not learned
-    from; with nothing to learn from all are 'und'; an empty table gives no rows. Other columns are not read.
+    Learns from ``texts`` texts of each language, whole and with all their words. A text that is null or has no letter (Unicode
+    category L) is 'und' with score 0; very long texts are read whole, word by word; repeated rows score alike; of equally
+    likely languages the first by name is taken; a null lang is not learned from; a null doc_id counts as an empty one;
+    with nothing to learn from all are 'und'; an empty table gives no rows. Other columns are not read.
     """
     Scratch(docs.sparkSession)
-    model = fit(docs, pieces, texts, words)
+    model = fit(docs, pieces, texts)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # the fixed vocabulary times the languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
