@@ -53,18 +53,18 @@ def text_statistics(column: pa.Array) -> np.ndarray:
     return out
 
 
-def statistics(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``columns`` and STATS of every row of ``docs``; clashing names are not carried."""
+def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` but ``text``, whose names do not begin with stat_, and STATS of every row."""
+    kept = [f for f in docs.schema if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                stats = text_statistics(batch.column(len(columns)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *(pa.array(x) for x in stats.T.copy())], [*columns, *(f"stat_{s}" for s in STATS)])
+                stats = text_statistics(batch.column(len(kept)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *(pa.array(x) for x in stats.T.copy())], [*(f.name for f in kept), *(f"stat_{s}" for s in STATS)])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    text = F.col("text").alias("text_to_read") if "text" in columns else F.col("text")
-    return docs.select(*columns, text).mapInArrow(run, kinds + "".join(f", stat_{s} double" for s in STATS))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"stat_{s} double" for s in STATS]
+    return docs.select(*(f.name for f in kept), text).mapInArrow(run, ", ".join(kinds))
 
 
 def _tree(x: np.ndarray, edges: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, depth: int, least: int):
@@ -166,30 +166,40 @@ class RuleModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def train(stats: DataFrame, labels: DataFrame, most: int = 20_000) -> RuleModel:
-    """Fits on at most ``most`` labelled rows whose id is not held out, the first by a hash of the id."""
-    votes = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, most: int = 20_000) -> RuleModel:
+    """Fits on ``most`` labelled ids at most that are not held out, the first by a hash of the id; of several rows with one id, on
+    one of them. Several labels of one id count as their mean."""
+    votes = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out()).groupBy("doc_id").agg(F.avg("quality").alias("y"))
+    votes = votes.withColumn("order", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    share = min(1.0, (1.5 * most + 100) / max(1, votes.count()))
+    # thinned by the hash first, so that no more than about 1.5 * most rows meet for the exact cut
+    sample = scratch.save(votes.filter(F.col("order") <= share * (1 << 40)).orderBy("order", "doc_id").limit(most).select("doc_id", "y"))
     names = [f"stat_{s}" for s in STATS]
-    rows = stats.filter(~held_out()).select("doc_id", *names).join(votes, "doc_id")
-    sample = rows.orderBy(F.xxhash64("doc_id"), *names).limit(most).toPandas()
-    return RuleModel.fit(sample[names].to_numpy(float), sample["y"].to_numpy(float), names)
+    few = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # ``most`` rows of an id and a number
+    rows = statistics(few).groupBy("doc_id").agg(F.min(F.struct(*names, "y")).alias("x")).select("x.*")
+    x = rows.toPandas()[[*names, "y"]].sort_values([*names, "y"]).to_numpy(float)
+    return RuleModel.fit(x[:, :-1], x[:, -1], names)
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text).
 
-    Null and empty texts score by zero statistics; repeated rows score alike; a null doc_id counts as an empty id and
-    is never learned from; an empty table gives no rows. Other columns are not read.
+    Null and empty texts score by zero statistics; very long texts are read whole; repeated rows score alike; a null doc_id counts as an
+    empty id and is never learned from; without labels every score is 0.5; an empty table gives no rows. Other columns
+    are not read.
     """
-    scratch = Scratch(docs.sparkSession)
-    stats = scratch.save(statistics(docs, ["doc_id"]))
-    p = train(stats, labels, most).column()
-    return stats.select("doc_id", held_out().alias("held_out"), p.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    p = train(docs, labels, Scratch(docs.sparkSession), most).column()
+    rows = statistics(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), p.alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = 20_000) -> DataFrame:
-    """The rows of ``docs`` that score at least ``threshold``."""
-    scratch = Scratch(docs.sparkSession)
-    trained = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")  # statistics of labelled rows only
-    p = train(scratch.save(statistics(trained, ["doc_id"])), labels, most).column()
-    return statistics(docs, docs.columns).filter(p >= threshold).select(*docs.columns)
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns, whatever their names.
+
+    Nulls, empty and very long texts, repeated rows and empty tables are as in ``score``; a row stays or goes by its own text, so
+    repeated rows share their fate.
+    """
+    p = train(docs, labels, Scratch(docs.sparkSession), most).column()
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name of a column clashes with a statistic's
+    rows = statistics(plain.withColumn("text", F.col(f"c{docs.columns.index('text')}")))
+    return rows.filter(p >= threshold).select(*plain.columns).toDF(*docs.columns)
