@@ -21,7 +21,8 @@ def random_key(doc_id: str = "doc_id", seed: str = "mix") -> F.Column:
 def source_targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """``sizes`` (source, source_size), one row a source -> adds target.
 
-    The budget is ``share`` of all sizes, dealt by weight; a target stops at ``cap`` times its source and the excess is
+    A table of one row a source goes through windows over all sources, as the targets depend on each other: sources are named
+    collections, few whatever the number of documents. The budget is ``share`` of all sizes, dealt by weight; a target stops at ``cap`` times its source and the excess is
     dealt again. Equivalent closed form: sort by cap over weight; the level is that of the first source it does not fill.
     """
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -82,8 +83,9 @@ def copies(df: DataFrame, cuts: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of ``docs`` (doc_id, text, source).
 
-    Null text counts no words; a null source is a source of its own, the last; a null doc_id is an empty id; repeated
-    rows are all counted; an empty table gives no rows. Other columns are not read.
+    Null text counts no words; very long texts are counted whole; a null source is a source of its own, the last; a null
+    doc_id is an empty id; repeated rows are all counted, and rows alike in source, id and size are taken or left together; an empty table gives
+    no rows. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession)
     sized = scratch.save(docs.select("doc_id", "source", random_key().alias("key"), count_words(F.col("text")).alias("size")))
@@ -92,14 +94,19 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0
 
 
 def mixed_documents(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it."""
+    """The rows of ``docs``, each as often as the mix takes it, with all their columns, whatever their names.
+
+    Nulls, empty and very long texts, ties and empty tables are as in ``mix``: a text without words takes nothing of the budget and
+    stays once for each epoch that its key is within; repeated rows are taken alike.
+    """
     scratch = Scratch(docs.sparkSession)
-    cols = docs.columns
-    sized = scratch.save(docs.select("source", random_key().alias("key"), count_words(F.col("text")).alias("size")))
-    cuts = source_cuts(sized, scratch, weights, share, cap)
-    keyed = docs.select(*cols, random_key().alias("key"), count_words(F.col("text")).alias("size"))
+    sized = docs.select("source", random_key().alias("key"), count_words(F.col("text")).alias("size"))
+    cuts = source_cuts(scratch.save(sized), scratch, weights, share, cap)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own = {name: F.col(f"c{docs.columns.index(name)}") for name in ("doc_id", "text", "source")}
+    keyed = plain.select("*", own["source"].alias("source"), own["doc_id"].alias("doc_id"), count_words(own["text"]).alias("size")).withColumn("key", random_key())
     out = copies(keyed, cuts).filter("copies > 0")
-    return out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cols)
+    return out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*plain.columns).toDF(*docs.columns)
 
 
 #: The same mix in DuckDB's SQL.

@@ -105,11 +105,22 @@ def test_sharding(docs, none):
 
 def test_packing_fits_and_is_tight():
     sizes = sorted((rng.randint(1, 100) for _ in range(400)), reverse=True)
-    bins = sharding.best_fit_decreasing(sizes, 200)
+    free, want = [], []  # one group at a time, bins tried one by one
+    for s in sizes:
+        fits = [(room, b) for b, room in enumerate(free) if room >= s]
+        b = min(fits)[1] if fits else len(free)
+        free[b:] = free[b:] or [200]
+        free[b] -= s
+        want.append((s, b))
+    got = [(s, b) for s, n, b in sharding.best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), 200) for _ in range(n)]
+    assert Counter(got) == Counter(want) and len(free) <= -(-sum(sizes) // 200) + 1
+    assert sharding.best_fit_decreasing([(5, 1), (2, 3)], 4) == [(5, 1, 0), (2, 2, 1), (2, 1, 2)]  # above the capacity: alone
+    assert sharding.best_fit_decreasing([(3, 4)], 4, 3) is None
+    placed = sharding.pack(sorted(Counter(sizes).items(), reverse=True), 7)
     load = Counter()
-    for s, b in zip(sizes, bins):
-        load[b] += s
-    assert max(load.values()) <= 200 and len(load) <= -(-sum(sizes) // 200) + 1
+    for s, n, b in placed:
+        load[b] += s * n
+    assert sum(load.values()) == sum(sizes) and max(load.values()) <= 1.05 * sum(sizes) / 7
 
 
 def test_bpe(docs, none):
