@@ -6,13 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cohortlake.functions import distributions as dist
-from cohortlake.operators.longform import moments, need, ranks
-
-two_sided_t = F.udf(lambda t, df: None if t is None or not df else dist.t_two_sided(t, df), T.DoubleType())
-chi_square_sf = F.udf(lambda x, df: None if x is None or not df else dist.chi2_sf(x, df), T.DoubleType())
+from cohortlake.functions.columns import chi_square_sf, two_sided_normal, two_sided_t
+from cohortlake.operators.longform import moments, need, ranged, ranks, ranks_of
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,42 +20,69 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*(F.col(f"p{k}") for k in range(len(pairs))))))
 
 
+def correlation_tests(df: DataFrame, columns: list[str]) -> DataFrame:
+    """As ``correlations``, with the two-sided p of each r by t on n - 2 degrees of freedom."""
+    free = F.col("n") - 2
+    t = F.col("r") * F.sqrt(free / F.nullif(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    return correlations(df, columns).withColumn("p", F.when(free > 0, F.when(F.abs("r") >= 1, 0.0).otherwise(two_sided_t(t, free))))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, rho: Pearson's correlation of average ranks over complete rows."""
+    """n, rho: Pearson's correlation of average ranks over complete rows, which collapse to cells of equal values first."""
     rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-    ra, rb = ranks(rows, "a").select(F.col("value").alias("a"), F.col("rank").alias("ra")), ranks(rows, "b").select(F.col("value").alias("b"), F.col("rank").alias("rb"))
-    return rows.join(ra, "a").join(rb, "b").agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"))
+    cells = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("k"))
+    ranked = cells.join(ranks_of(cells, "a", "k", "x"), "a").join(ranks_of(cells, "b", "k", "y"), "b")
+    # about the middle rank, so that sums of squares do not cancel
+    middle = cells.agg(((F.sum("k") + 1) / 2).alias("middle"))
+    ranked = ranked.crossJoin(F.broadcast(middle)).withColumn("x", F.col("x") - F.col("middle")).withColumn("y", F.col("y") - F.col("middle"))  # one row
+    s = lambda c: F.sum(F.col("k") * c)
+    x, y = F.col("x"), F.col("y")
+    return ranked.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), (s(x * y) / F.nullif(F.sqrt(s(x * x) * s(y * y)), F.lit(0.0))).alias("rho"))
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, chi2 (Yates on 2 x 2), df, min_expected, cramers_v, p of two categorical columns."""
+    """n, chi2 (Yates on 2 x 2), df, min_expected, cramers_v, its magnitude (0.1, 0.3, 0.5) and p of two categorical columns.
+    Only cells that occur are visited: an empty one adds its expected number, and those are what the others leave of n."""
     cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
-    grid = cells.groupBy("a").agg(F.sum("o").alias("ra")).crossJoin(cells.groupBy("b").agg(F.sum("o").alias("cb")))  # levels by levels
-    grid = grid.join(cells, ["a", "b"], "left").withColumn("o", F.coalesce("o", F.lit(0)))
-    whole = cells.agg(F.sum("o").alias("n"), F.count_distinct("a").alias("r"), F.count_distinct("b").alias("c"))
-    grid = grid.crossJoin(F.broadcast(whole)).withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
+    rows, columns = cells.groupBy("a").agg(F.sum("o").alias("ra")), cells.groupBy("b").agg(F.sum("o").alias("cb"))
+    whole = cells.agg(F.sum("o").alias("n")).crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("r"), F.min("ra").alias("ra_least"))))
+    whole = whole.crossJoin(F.broadcast(columns.agg(F.count(F.lit(1)).alias("c"), F.min("cb").alias("cb_least"))))  # each one row
+    full = cells.join(rows, "a").join(columns, "b").crossJoin(F.broadcast(whole)).withColumn("e", F.col("ra") * F.col("cb") / F.col("n"))
     gap = F.abs(F.col("o") - F.col("e"))
-    gap = F.when((F.col("r") == 2) & (F.col("c") == 2), gap - F.least(F.lit(0.5), gap)).otherwise(gap)
-    out = grid.groupBy("n", "r", "c").agg(F.sum(gap * gap / F.col("e")).alias("chi2"), F.min("e").alias("min_expected"))
-    v = F.sqrt(F.col("chi2") / (F.col("n") * (F.least("r", "c") - 1)))
+    small = (F.col("r") == 2) & (F.col("c") == 2)
+    yates = F.when(small, gap - F.least(F.lit(0.5), gap)).otherwise(gap)
+    # an empty cell adds its e, and all e add up to n
+    out = full.groupBy("n", "r", "c", "ra_least", "cb_least").agg(F.sum(yates * yates / F.col("e")).alias("seen"), F.sum("e").alias("es"), F.count(F.lit(1)).alias("cells"), F.min("e").alias("e_seen"))
+    lone = F.col("n") - F.col("es")  # in a 2 x 2 table the empty cells, one or a diagonal, have one and the same e
+    each = lone / F.nullif(4 - F.col("cells"), F.lit(0))
+    rest = F.when(small, lone * (1 - F.least(F.lit(0.5), each) / F.nullif(each, F.lit(0.0))) ** 2).otherwise(lone)
+    out = out.withColumn("chi2", F.col("seen") + F.when(F.col("cells") < F.col("r") * F.col("c"), F.coalesce(rest, F.lit(0.0))).otherwise(0.0))
+    least = F.col("ra_least") * F.col("cb_least") / F.col("n")  # of all cells, empty ones too
+    v = F.sqrt(F.col("chi2") / F.nullif(F.col("n") * (F.least("r", "c") - 1), F.lit(0)))
     free = (F.col("r") - 1) * (F.col("c") - 1)
-    return out.select("n", "chi2", free.alias("df"), "min_expected", v.alias("cramers_v"), chi_square_sf("chi2", free.cast("double")).alias("p"))
+    strength = F.when(v < 0.1, "negligible").when(v < 0.3, "small").when(v < 0.5, "medium").otherwise("large")
+    return out.select("n", "chi2", free.alias("df"), least.alias("min_expected"), v.alias("cramers_v"), strength.alias("magnitude"), chi_square_sf("chi2", free).alias("p"))
 
 
 def _two(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
     """One row: n, mean, var of the value in groups a and b."""
-    m = moments(df.filter(F.col(group).isin(a, b)), [value], [group])
+    m = moments(df.filter(F.col(group).isin(a, b)), [value], [group], median=True)
     return m.agg(*(F.max(F.when(F.col(group) == g, F.col(c))).alias(f"{c}_{k}") for k, g in (("a", a), ("b", b)) for c in ("n", "mean", "var", "median")))
 
 
+def magnitude(d, small: float, medium: float, large: float) -> F.Column:
+    x = F.abs(d)
+    return F.when(x < small, "negligible").when(x < medium, "small").when(x < large, "medium").when(x >= large, "large")
+
+
 def welch(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """n_a, n_b, mean_a, mean_b, t, df, cohens_d (pooled, a less b), p."""
+    """n_a, n_b, mean_a, mean_b, t, df, cohens_d (pooled, a less b), its magnitude (0.2, 0.5, 0.8) and p."""
     s = _two(df, value, group, a, b)
     ea, eb = F.col("var_a") / F.col("n_a"), F.col("var_b") / F.col("n_b")
     t = (F.col("mean_a") - F.col("mean_b")) / F.sqrt(ea + eb)
     free = (ea + eb) ** 2 / (ea**2 / (F.col("n_a") - 1) + eb**2 / (F.col("n_b") - 1))
     pooled = F.sqrt(((F.col("n_a") - 1) * F.col("var_a") + (F.col("n_b") - 1) * F.col("var_b")) / (F.col("n_a") + F.col("n_b") - 2))
-    return s.select("n_a", "n_b", "mean_a", "mean_b", t.alias("t"), free.alias("df"), ((F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohens_d"), two_sided_t(t, free).alias("p"))
+    return s.select("n_a", "n_b", "mean_a", "mean_b", t.alias("t"), free.alias("df"), ((F.col("mean_a") - F.col("mean_b")) / pooled).alias("cohens_d"), magnitude((F.col("mean_a") - F.col("mean_b")) / pooled, 0.2, 0.5, 0.8).alias("magnitude"), two_sided_t(t, free).alias("p"))
 
 
 def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -72,15 +95,53 @@ def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
     return sums.crossJoin(F.broadcast(ties)).withColumnRenamed("g", "group")
 
 
+def rank_test(na, nb, ra, ties, n) -> tuple[F.Column, F.Column, F.Column]:
+    """(u of a, z with ties and continuity, Cliff's delta) from the rank sum of a."""
+    u = ra - na * (na + 1) / 2
+    sd = F.sqrt(na * nb / 12 * ((n + 1) - ties / (n * (n - 1))))
+    gap = u - na * nb / 2
+    return u, F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0)), 2 * u / (na * nb) - 1
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """n_a, n_b, u (of a), z (tie-corrected, continuity 0.5), cliffs_delta (exact, from ranks)."""
+    """n_a, n_b, u (of a), z (tie-corrected, continuity 0.5), p (normal), cliffs_delta (exact, from ranks), its magnitude
+    (0.147, 0.33, 0.474). For groups of 8 at most without ties use ``exact_mann_whitney_p``."""
     s = rank_sums(df.filter(F.col(group).isin(a, b)), value, group).agg(
         F.max(F.when(F.col("group") == a, F.col("n"))).alias("n_a"), F.max(F.when(F.col("group") == b, F.col("n"))).alias("n_b"), F.max(F.when(F.col("group") == a, F.col("ranks"))).alias("ra"), F.max("ties").alias("ties"), F.max("total").alias("n"))
     na, nb, n = F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("n").cast("double")
-    u = F.col("ra") - na * (na + 1) / 2
-    sd = F.sqrt(na * nb / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
-    gap = u - na * nb / 2
-    return s.select("n_a", "n_b", u.alias("u"), (F.signum(gap) * F.greatest(F.abs(gap) - 0.5, F.lit(0.0)) / sd).alias("z"), (2 * u / (na * nb) - 1).alias("cliffs_delta"))
+    u, z, delta = rank_test(na, nb, F.col("ra"), F.col("ties"), n)
+    return s.select("n_a", "n_b", u.alias("u"), z.alias("z"), two_sided_normal(z).alias("p"), delta.alias("cliffs_delta"), magnitude(delta, 0.147, 0.33, 0.474).alias("magnitude"))
+
+
+def exact_mann_whitney_p(u: float, na: int, nb: int) -> float:
+    """Two-sided p of u without ties, from the number of rank sets that give each u."""
+    ways = [[1] + [0] * (na * nb) for _ in range(na + 1)]
+    for i in range(1, na + 1):
+        ways[i] = [0] * (na * nb + 1)
+    for value in range(1, na + nb + 1):  # rank ``value`` joins the first group or not
+        for i in range(min(na, value), 0, -1):
+            shift = value - i
+            for x in range(na * nb, shift - 1, -1):
+                ways[i][x] += ways[i - 1][x - shift]
+    low = min(u, na * nb - u)
+    return min(1.0, 2 * sum(ways[na][: int(low) + 1]) / sum(ways[na]))
+
+
+def pairwise(df: DataFrame, value: str, group: str) -> DataFrame:
+    """a, b (a before b), n_a, n_b, u, z, p, p_adjusted (Bonferroni over the pairs): Mann-Whitney tests of all pairs of groups of 2
+    rows at least. Pairs of groups meet by value on their value counts, never by row; the groups are few, as a family of tests is."""
+    rows = df.select(F.col(value).cast("double").alias("value"), F.col(group).alias("g")).dropna()
+    counts = rows.groupBy("value", "g").agg(F.count(F.lit(1)).alias("k"))
+    groups = counts.groupBy("g").agg(F.sum("k").alias("n")).filter("n > 1")
+    names = [r.g for r in groups.select("g").orderBy("g").collect()]
+    pairs = df.sparkSession.createDataFrame([(i, x, y) for i, (x, y) in enumerate(combinations(names, 2))] or [], f"pair int, a {rows.schema['g'].dataType.simpleString()}, b {rows.schema['g'].dataType.simpleString()}")
+    sides = pairs.select("pair", F.explode(F.array(F.struct(F.col("a").alias("g"), F.lit(1).alias("first")), F.struct(F.col("b").alias("g"), F.lit(0).alias("first")))).alias("s")).select("pair", "s.*")
+    cells = counts.join(F.broadcast(sides), "g").groupBy("pair", "value").agg(F.sum(F.col("k") * F.col("first")).alias("ka"), F.sum("k").alias("c"))
+    ranked = ranged(cells, ["pair"]).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
+    s = ranked.groupBy("pair").agg(F.sum("ka").alias("n_a"), (F.sum("c") - F.sum("ka")).alias("n_b"), F.sum(F.col("ka") * F.col("rank")).alias("ra"), F.sum(F.col("c").cast("double") ** 3 - F.col("c")).alias("ties"), F.sum("c").cast("double").alias("n"))
+    u, z, _ = rank_test(F.col("n_a").cast("double"), F.col("n_b").cast("double"), F.col("ra"), F.col("ties"), F.col("n"))
+    out = pairs.join(s, "pair").select("a", "b", "n_a", "n_b", u.alias("u"), z.alias("z"), two_sided_normal(z).alias("p"))
+    return out.withColumn("p_adjusted", F.least(F.col("p") * max(1, len(names) * (len(names) - 1) // 2), F.lit(1.0)))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:

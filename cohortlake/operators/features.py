@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlake.functions import distributions as dist
+from cohortlake.functions.columns import f_sf
 from cohortlake.operators import association as assoc
-from cohortlake.operators.longform import long, need
+from cohortlake.operators.longform import long, need, quantiles, value_counts
 
 
 def default_size(candidates: int) -> int:
@@ -26,7 +26,7 @@ def univariate(df: DataFrame, outcome: str, columns: list[str]) -> DataFrame:
     between = F.col("between") - F.col("s") ** 2 / F.col("n")
     f = F.coalesce((between / (F.col("k") - 1)) / F.nullif(F.col("within") / (F.col("n") - F.col("k")), F.lit(0.0)), F.lit(0.0))
     out = m.select("variable", "k", "n", f.alias("f"))
-    p = F.udf(lambda f, a, b: dist.f_sf(f, a, b) if a > 0 and b > 0 else None, "double")("f", F.col("k") - 1, F.col("n") - F.col("k"))
+    p = f_sf("f", F.col("k") - 1, F.col("n") - F.col("k"))
     top = out.agg(F.max("f").alias("top"))
     return out.crossJoin(F.broadcast(top)).select("variable", "f", p.alias("p"), (F.col("f") / F.nullif("top", F.lit(0.0))).alias("score"))  # top is one row
 
@@ -55,7 +55,8 @@ def _matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 def mutual_information(df: DataFrame, outcome: str, columns: list[str], bins: int = 10) -> DataFrame:
     """variable, mi (nats) between quantile bins of each column and the classes of the outcome."""
     rows = long(df.filter(F.col(outcome).isNotNull()), columns, [outcome]).filter("value IS NOT NULL")
-    cuts = rows.groupBy("variable").agg(F.percentile("value", [k / bins for k in range(1, bins)]).alias("cuts"))
+    cuts = quantiles(value_counts(rows, ["variable"]), ["variable"], {f"q{k}": k / bins for k in range(1, bins)})
+    cuts = cuts.select("variable", F.array(*(f"q{k}" for k in range(1, bins))).alias("cuts"))
     binned = rows.join(F.broadcast(cuts), "variable").withColumn("bin", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("value"))))
     cells = binned.groupBy("variable", "bin", outcome).agg(F.count(F.lit(1)).alias("c"))
     a, b, n = cells.groupBy("variable", "bin").agg(F.sum("c").alias("ca")), cells.groupBy("variable", outcome).agg(F.sum("c").alias("cb")), cells.groupBy("variable").agg(F.sum("c").alias("n"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlake.operators.longform import long, missing, need
+from cohortlake.operators.longform import long, missing, need, quantiles, saved, value_counts
 
 # A name's word, its least and greatest plausible value, and the unit.
 RANGES = [
@@ -24,6 +24,8 @@ MEDIANS = [
 ]
 # Words that name a treatment column.
 ARM_WORDS = "treatment treat arm group grp intervention control allocation randomized randomised trt".split()
+# The forms in which a text counts as a date.
+DATES = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "yyyy/MM/dd"]
 NUMERIC = ("double", "float", "integer", "long", "short", "byte", "decimal")
 
 
@@ -31,10 +33,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if f.dataType.typeName().split("(")[0] in NUMERIC]
 
 
+def tokens(name: str) -> list[str]:
+    """The words of a column's name: runs of letters or digits, in lower case."""
+    return re.findall(r"[a-z]+|[0-9]+", name.lower())
+
+
 def rule_for(column: str, rules: list[tuple]) -> tuple | None:
-    """The first rule whose word the column's name holds as a word, or at a word's beginning or end."""
-    name = re.sub(r"[\s\-]+", "_", column.lower())
-    return next((r for r in rules if r[0] in name.split("_") or f"_{r[0]}" in name or f"{r[0]}_" in name), None)
+    """The first rule whose words are among the name's words, one after the other."""
+    own = tokens(column)
+
+    def holds(words: list[str]) -> bool:
+        return any(own[i : i + len(words)] == words for i in range(len(own) - len(words) + 1))
+
+    return next((r for r in rules if holds(tokens(r[0]))), None)
 
 
 def range_violations(df: DataFrame) -> DataFrame:
@@ -56,7 +67,9 @@ def implausible_units(df: DataFrame) -> DataFrame:
     table = df.sparkSession.createDataFrame(rules, "variable string, low double, high double")
     if not rules:
         return table.selectExpr("*", "0D AS median")
-    m = long(df, [r[0] for r in rules]).filter("value IS NOT NULL").groupBy("variable").agg(F.count(F.lit(1)).alias("n"), F.percentile("value", F.lit(0.5)).alias("median")).filter("n >= 3").drop("n")
+    counts = value_counts(long(df, [r[0] for r in rules]), ["variable"])
+    enough = counts.groupBy("variable").agg(F.sum("c").alias("n")).filter("n >= 3").select("variable")
+    m = quantiles(counts, ["variable"], {"median": 0.5}).join(enough, "variable")
     return m.join(F.broadcast(table), "variable").filter("median < low OR median > high").select("variable", "low", "high", "median")
 
 
@@ -76,7 +89,7 @@ def repeated_measures(df: DataFrame, key: str) -> DataFrame:
 
 def treatment_columns(df: DataFrame) -> DataFrame:
     """variable, levels, top_share of columns named like a treatment with 2 to 5 levels, none above 60 % of all rows."""
-    named = [c for c in df.columns if re.search(rf"\b({'|'.join(ARM_WORDS)})\b", c, re.I)]
+    named = [c for c in df.columns if set(tokens(c)) & set(ARM_WORDS)]
     if not named:
         return df.sparkSession.createDataFrame([], "variable string, levels long, top_share double")
     rows = df.select(*(F.col(c).cast("string").alias(c) for c in named)).unpivot([], named, "variable", "value")
@@ -91,23 +104,57 @@ def overview(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(whole).alias("complete")).withColumn("n_columns", F.lit(len(df.columns))).withColumn("n_numeric", F.lit(len(numeric_columns(df))))
 
 
-def coercions(df: DataFrame) -> DataFrame:
-    """variable, suggestion of text columns: numeric above 90 % parsable values, date above 80 % of them like dates."""
-    texts = [f.name for f in df.schema if f.dataType.typeName() == "string"]
-    dates = r"^\s*(\d{4}-\d{1,2}-\d{1,2}|\d{1,2}/\d{1,2}/\d{2,4}|\d{1,2}-\d{1,2}-\d{4}|\d{4}/\d{1,2}/\d{1,2})"
-    rows = df.select(*texts).unpivot([], texts, "variable", "value").filter("value IS NOT NULL").groupBy("variable")
-    rates = rows.agg(F.avg(F.expr("try_cast(value AS double)").isNotNull().cast("int")).alias("number"), F.avg(F.col("value").rlike(dates).cast("int")).alias("day"))
-    return rates.select("variable", F.when(F.col("number") > 0.9, "numeric").when(F.col("day") > 0.8, "date").alias("suggestion")).filter("suggestion IS NOT NULL")
+def coercions(df: DataFrame, keys: list[str] = ()) -> DataFrame:
+    """variable, suggestion, rate. Text: numeric if above 90 % of the values are numbers, date if above 80 % are whole dates of one of DATES.
+    Numbers: boolean if a floating column holds 0 and 1 only; whole if all its values are whole and more than 80 % of the rows and more than 50
+    are distinct; category if an integer column has 8 values at most and fewer than 5 % of its rows, 3 at least."""
+    texts = [f.name for f in df.schema if f.dataType.typeName() == "string" and f.name not in keys]
+    numbers = [c for c in numeric_columns(df) if c not in keys]
+    floats = [c for c in numbers if df.schema[c].dataType.typeName() in ("double", "float")]
+    parts = []
+    if texts:
+        rows = df.select(*(f"`{c}`" for c in texts)).unpivot([], [F.col(f"`{c}`") for c in texts], "variable", "value").filter("value IS NOT NULL").groupBy("variable")
+        day = F.coalesce(*(F.try_to_timestamp(F.col("value"), F.lit(d)) for d in DATES)).isNotNull()
+        rates = rows.agg(F.avg(F.expr("try_cast(value AS double)").isNotNull().cast("int")).alias("number"), F.avg(day.cast("int")).alias("day"))
+        parts.append(rates.select("variable", F.when(F.col("number") > 0.9, "numeric").when(F.col("day") > 0.8, "date").alias("suggestion"), F.when(F.col("number") > 0.9, F.col("number")).otherwise(F.col("day")).alias("rate")))
+    if numbers:
+        counts = value_counts(long(df, numbers), ["variable"])
+        m = counts.groupBy("variable").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("d"), F.every(F.col("value").isin(0.0, 1.0)).alias("flags"), F.every(F.col("value") == F.floor("value")).alias("whole"))
+        floating = F.col("variable").isin(floats) if floats else F.lit(False)
+        kind = F.when(floating & F.col("flags"), "boolean").when(floating & F.col("whole") & (F.col("d") > F.greatest(0.8 * F.col("n"), F.lit(50))), "whole")
+        kind = kind.when(~floating & (F.col("d") <= 8) & (F.col("d") < F.greatest(0.05 * F.col("n"), F.lit(3))), "category")
+        parts.append(m.select("variable", kind.alias("suggestion"), (F.col("d") / F.col("n")).alias("rate")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "variable string, suggestion string, rate double")
+    out = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return out.filter("suggestion IS NOT NULL")
+
+
+def label_encode(df: DataFrame, column: str) -> DataFrame:
+    """Adds ``column``_code: levels numbered from 0 in order, -1 for null. Levels are numbered by ranges of their order, so that no task
+    holds all of them."""
+    levels = df.select(F.col(column)).filter(F.col(column).isNotNull()).distinct()
+    ordered = levels.repartitionByRange(column).sortWithinPartitions(column).withColumn("_part", F.spark_partition_id())
+    ordered = saved(ordered)
+    sizes = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_part").orderBy(column)
+    codes = ordered.join(F.broadcast(offsets), "_part").select(column, (F.col("_before") + F.row_number().over(inside) - 1).cast("int").alias(f"{column}_code"))
+    return df.join(codes, column, "left").fillna(-1, [f"{column}_code"])
 
 
-def label_encode(df: DataFrame, column: str, most: int = 1_000_000) -> DataFrame:
-    """Adds ``column``_code: levels numbered from 0 in order, -1 for null. The levels are numbered in one window, so more
-    than ``most`` of them are refused."""
-    levels = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    if levels.count() > most:
-        raise ValueError("too many levels to encode")
-    codes = levels.withColumn(f"{column}_code", F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(codes, column, "left").fillna(-1, [f"{column}_code"])
+def prepared(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` as numbers: text is encoded by ``label_encode``, a missing number becomes the column's median."""
+    need(df, *columns)
+    numbers = [c for c in columns if c in numeric_columns(df)]
+    out = df
+    for c in (c for c in columns if c not in numbers):
+        out = label_encode(out, c).drop(c).withColumnRenamed(f"{c}_code", c)
+    if numbers:
+        m = {r.variable: r["median"] for r in quantiles(value_counts(long(df, numbers), ["variable"]), ["variable"], {"median": 0.5}).collect()}  # one row a column
+        out = out.withColumns({c: F.when(missing(c, df), F.lit(m.get(c))).otherwise(F.col(c)).cast("double") for c in numbers})
+    return out
 
 
 def dummies(df: DataFrame, column: str, most: int = 200) -> DataFrame:
@@ -127,15 +174,25 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, size: int) -> DataF
     return ranked.join(quota, ranked[stratum].eqNullSafe(quota[stratum])).filter("_r <= _q").drop(quota[stratum]).drop("_r", "_q")
 
 
-def sample_rows(df: DataFrame, key: str, n: int = 20) -> DataFrame:
-    """The n rows with the lowest md5 of their key: the same however the table is partitioned."""
-    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+def sample_rows(df: DataFrame, key: str, n: int = 20, column: str | None = None, equal: str | None = None) -> DataFrame:
+    """The n rows with the lowest md5 of their key, the same however the table is partitioned, with matching: the number of all rows whose
+    ``column``, if given, reads ``equal``."""
+    rows = df if column is None else equals(df, column, equal)
+    total = rows.agg(F.count(F.lit(1)).alias("matching"))
+    return rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(n).crossJoin(F.broadcast(total))  # one row
+
+
+def equals(df: DataFrame, column: str, value: str) -> DataFrame:
+    """The rows whose ``column`` reads ``value``; a whole number in a floating column reads with and without its .0."""
+    need(df, column)
+    text = F.col(column).cast("string")
+    return df.filter((text == value) | (F.regexp_replace(text, r"\.0$", "") == value))
 
 
 def boxplot(df: DataFrame, column: str, group: str) -> DataFrame:
     """group, n, q1, median, q3, low and high whiskers (extremes within 1.5 interquartile ranges) and rows beyond them."""
     rows = df.select(F.col(group).alias("g"), F.col(column).cast("double").alias("v")).dropna()
-    q = rows.groupBy("g").agg(F.percentile("v", [0.25, 0.5, 0.75]).alias("q"))
+    q = quantiles(value_counts(rows.withColumnRenamed("v", "value"), ["g"]), ["g"], {"a": 0.25, "b": 0.5, "c": 0.75}).select("g", F.array("a", "b", "c").alias("q"))
     reach = 1.5 * (F.col("q")[2] - F.col("q")[0])
     inside = (F.col("v") >= F.col("q")[0] - reach) & (F.col("v") <= F.col("q")[2] + reach)
     out = rows.join(q, "g").groupBy("g", "q").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(inside, F.col("v"))).alias("low"), F.max(F.when(inside, F.col("v"))).alias("high"), F.count_if(~inside).alias("beyond"))
@@ -153,3 +210,23 @@ def density(df: DataFrame, column: str, points: int = 100) -> DataFrame:
     rows = counts.crossJoin(F.broadcast(s)).withColumn("point", at).withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("point") / (points - 1))  # s is one row
     kernel = F.exp(-(((F.col("x") - F.col("value")) / F.col("h")) ** 2) / 2)
     return rows.groupBy("point", "x").agg((F.sum(F.col("c") * kernel) / (F.max(n * F.col("h")) * (2 * 3.141592653589793) ** 0.5)).alias("density"))
+
+
+def findings(df: DataFrame, key: str | None = None) -> DataFrame:
+    """check_type, variable, severity, detail: what the checks above find, in one table."""
+    found = [
+        range_violations(df).select(F.lit("range_violation").alias("check_type"), "variable", "severity", F.format_string("%d of %d values outside %s to %s %s", "outside", "n", F.col("low").cast("string"), F.col("high").cast("string"), "unit").alias("detail")),
+        implausible_units(df).select(F.lit("unit_plausibility"), "variable", F.lit("medium"), F.format_string("median outside %s to %s", F.col("low").cast("string"), F.col("high").cast("string"))),
+        low_cardinality(df, [key] if key else []).select(F.lit("low_cardinality_numeric"), "variable", F.lit("low"), F.format_string("%d levels", "levels")),
+    ]
+    if key:
+        found.append(repeated_measures(df, key).filter("most > 1").select(F.lit("repeated_measures"), F.lit(key), F.when(F.col("longitudinal"), "medium").otherwise("low"), F.format_string("%d of %d subjects repeat", "repeating", "subjects")))
+    out = found[0]
+    for part in found[1:]:
+        out = out.union(part)
+    return out
+
+
+def finding_summary(df: DataFrame, key: str | None = None) -> DataFrame:
+    """check_type, severity, n of ``findings``."""
+    return findings(df, key).groupBy("check_type", "severity").agg(F.count(F.lit(1)).alias("n"))

@@ -10,10 +10,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortlake.functions import distributions as dist
-from cohortlake.operators.association import two_sided_t
+from cohortlake.functions.columns import fisher_p, two_sided_t
 from cohortlake.operators.longform import long, moments, need
 
 
@@ -40,9 +39,6 @@ def kendall(df: DataFrame, a: str, b: str, most_cells: int = 20_000_000) -> Data
     return whole.select("n", ((F.col("agree") - differ) / F.sqrt((every - F.col("ta")) * (every - F.col("tb")))).alias("tau"))
 
 
-fisher_p = F.udf(dist.fisher_two_sided, T.DoubleType())
-
-
 def fisher(df: DataFrame, a: str, b: str) -> DataFrame:
     """n11, n10, n01, n00, min_expected, p (two-sided, exact) of two 0/1 columns over complete rows."""
     x, y = F.col(a).cast("int"), F.col(b).cast("int")

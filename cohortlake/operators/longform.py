@@ -1,8 +1,12 @@
-"""Many columns at once: rows of (variable, value), so that one aggregate serves them all; and ranks without a
-single-partition window."""
+"""Many columns at once: rows of (variable, value), so that one aggregate serves them all; and ranks and exact quantiles
+without a window or a task that holds a whole column."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,36 +17,87 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"no such columns: {', '.join(missing)}")
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, which all machines share, and read again: cuts lineage and outlives lost
+    executors. On one machine a temporary folder is taken where none is set."""
+    sc = df.sparkSession.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        sc.setCheckpointDir(path)
+    at = f"{path}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def missing(column: str, df: DataFrame) -> F.Column:
     """Null, or not a number in a floating column."""
     kind = df.schema[column].dataType.typeName()
-    return F.col(column).isNull() | F.isnan(column) if kind in ("double", "float") else F.col(column).isNull()
+    return F.col(f"`{column}`").isNull() | F.isnan(f"`{column}`") if kind in ("double", "float") else F.col(f"`{column}`").isNull()
 
 
 def long(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """keep..., variable, value (double, null where missing)."""
     need(df, *columns, *keep)
-    wide = df.select(*keep, *(F.when(~missing(c, df), F.col(c).cast("double")).alias(c) for c in columns))
-    return wide.unpivot(list(keep), columns, "variable", "value")
+    wide = df.select(*(f"`{c}`" for c in keep), *(F.when(~missing(c, df), F.col(f"`{c}`").cast("double")).alias(c) for c in columns))
+    return wide.unpivot([F.col(f"`{c}`") for c in keep], [F.col(f"`{c}`") for c in columns], "variable", "value")
 
 
-def moments(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
-    """by..., variable, n, mean, var (n - 1), median, for each column."""
-    rows = long(df, columns, list(by)).filter("value IS NOT NULL")
-    return rows.groupBy(*by, "variable").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"), F.percentile("value", F.lit(0.5)).alias("median"))
+def value_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by..., value, c: the distinct values of each group and their rows, by partial aggregates."""
+    return rows.filter("value IS NOT NULL").groupBy(*by, "value").agg(F.count(F.lit(1)).alias("c"))
 
 
-def ranks(df: DataFrame, column: str, splits: int = 64) -> DataFrame:
-    """(value, c, rank): each distinct value of a numeric column, its rows, and its average rank.
+def ranged(counts: DataFrame, by: list[str]) -> DataFrame:
+    """Adds upto to (by..., value, c): the rows of the group up to and with this value.
 
-    Values fall into ranges between approximate quantiles; a prefix sum over the ranges and a window inside one range
-    give the rank, so no task sorts the whole column.
+    The values of a group fall into as many ranges between approximate quantiles as the session has shuffle partitions; a prefix sum
+    over ranges and a window inside one give the rest.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("c"))
-    cuts = counts.agg(F.percentile_approx("value", [k / splits for k in range(1, splits)])).first()[0] or []
-    counts = counts.withColumn("range", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("value"))) if cuts else F.lit(0))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over `splits` rows
-    offsets = counts.groupBy("range").agg(F.sum("c").alias("s")).withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
-    inside = Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    out = counts.join(offsets, "range").withColumn("upto", F.col("offset") + F.sum("c").over(inside))
-    return out.select("value", "c", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+    splits = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx("value", [k / splits for k in range(1, splits)] or [0.5], F.lit(max(1_000, 10 * splits))).alias("cuts"))
+    counts = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))  # without groups one row
+    counts = counts.withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    sums = counts.groupBy(*by, "range").agg(F.sum("c").alias("s"))
+    before = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over ``splits`` rows
+    offsets = sums.withColumn("offset", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+    inside = Window.partitionBy(*by, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    return counts.join(offsets, [*by, "range"]).withColumn("upto", F.col("offset") + F.sum("c").over(inside)).drop("range", "offset")
+
+
+def quantiles(counts: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
+    """by..., and a column for each name of ``shares``: exact quantiles, interpolated between neighbours, from (by..., value, c)."""
+    whole = counts.groupBy(*by).agg(F.sum("c").alias("n"))
+    steps = ranged(counts, by)
+    steps = steps.join(whole, by) if by else steps.crossJoin(F.broadcast(whole))  # without groups one row
+    parts = []
+    for name, q in shares.items():
+        at = F.lit(q) * (F.col("n") - 1)
+        for side, place in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            # the value that holds the place-th row, counted from 0
+            parts.append(F.max(F.when((F.col("upto") > place) & (F.col("upto") - F.col("c") <= place), F.col("value"))).alias(f"{name}_{side}"))
+    out = steps.groupBy(*by, "n").agg(*parts)
+    part = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    return out.select(*by, *((F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * part(q)).alias(k) for k, q in shares.items()))
+
+
+def moments(df: DataFrame, columns: list[str], by: list[str] = (), median: bool = False) -> DataFrame:
+    """by..., variable, n, mean, var (n - 1) and, if asked for, median of each column."""
+    rows = long(df, columns, list(by)).filter("value IS NOT NULL")
+    keys = [*by, "variable"]
+    out = rows.groupBy(*keys).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_samp("value").alias("var"))
+    return out.join(quantiles(value_counts(rows, keys), keys, {"median": 0.5}), keys) if median else out
+
+
+def ranks(df: DataFrame, column: str) -> DataFrame:
+    """(value, c, rank): each distinct value of a numeric column, its rows, and its average rank."""
+    counts = value_counts(df.select(F.col(column).cast("double").alias("value")), [])
+    return ranged(counts, []).select("value", "c", (F.col("upto") - (F.col("c") - 1) / 2).alias("rank"))
+
+
+def ranks_of(cells: DataFrame, value: str, count: str, name: str) -> DataFrame:
+    """(value, name, name_t): average ranks, and rows, of the distinct values of a table of cells with counts."""
+    counts = cells.groupBy(F.col(value).alias("value")).agg(F.sum(count).alias("c"))
+    return ranged(counts, []).select(F.col("value").alias(value), (F.col("upto") - (F.col("c") - 1) / 2).alias(name), F.col("c").alias(f"{name}_t"))

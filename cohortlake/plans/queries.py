@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import association as assoc
 from cohortlake.operators import evidence, profile, regression, survival
+from cohortlake.plans.tails import chi2_p, t_p, z_p
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -68,9 +69,39 @@ def missingness_tiers(spark, sf_dir):
     return rounded(profile.missingness(masked(spark, sf_dir), ["a", "b", "c"]))
 
 
-@query("missing_correlation", f"SELECT count(*) FILTER (a IS NULL OR b IS NULL) AS incomplete, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL) AS complete, round(corr(CAST(a IS NULL AS INT), CAST(b IS NULL AS INT)), 6) AS r FROM {MASKED}")
+@query("missing_correlation", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr(CAST({a} IS NULL AS INT), CAST({b} IS NULL AS INT)), 6) AS r FROM {MASKED}" for a, b in (("a", "b"), ("a", "c"), ("b", "c"))))
 def missing_correlation(spark, sf_dir):
-    return rounded(profile.missing_correlation(masked(spark, sf_dir), "a", "b"))
+    return rounded(profile.missing_correlation(masked(spark, sf_dir), ["a", "b", "c"]))
+
+
+_NULLS = "SELECT o_orderkey AS key, CAST(o_custkey % 7 = 0 AS INT) + CAST(o_orderkey % 11 = 0 AS INT) + CAST(o_custkey % 5 = 1 AS INT) AS nulls FROM orders"
+
+
+@query("missing_rows", f"WITH r AS ({_NULLS}) SELECT row_number() OVER (ORDER BY nulls DESC, key) AS rank, key, nulls, (SELECT count(*) FROM r WHERE nulls > 0) AS incomplete, (SELECT count(*) FROM r WHERE nulls = 0) AS complete FROM (SELECT * FROM r WHERE nulls > 0 ORDER BY nulls DESC, key LIMIT 5)")
+def missing_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_custkey % 7 <> 0 THEN 1 END AS a", "CASE WHEN o_orderkey % 11 <> 0 THEN 1D END AS b", "CASE WHEN o_custkey % 5 <> 1 THEN 'x' END AS c")
+    return rounded(profile.missing_rows(rows, "o_orderkey", ["a", "b", "c"]))
+
+
+@query("category_profile", " UNION ALL ".join(f"SELECT '{c}' AS variable, rank, value, count, first_value(value) OVER (ORDER BY rank) AS mode FROM (SELECT row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank, {c} AS value, count(*) AS count FROM part GROUP BY {c}) WHERE rank <= 10" for c in ("p_brand", "p_type")))
+def category_profile(spark, sf_dir):
+    return rounded(profile.categories(table(spark, sf_dir, "part"), ["p_brand", "p_type"]))
+
+
+@query("subject_repeats", "WITH c AS (SELECT user_id AS subject, count(*) AS c FROM events GROUP BY 1) SELECT row_number() OVER (ORDER BY c DESC, subject) AS rank, subject, c, (SELECT count(*) FROM c) AS subjects, (SELECT max(c) FROM c) AS most, round((SELECT avg(c) FROM c), 6) AS mean FROM (SELECT * FROM c ORDER BY c DESC, subject LIMIT 5)")
+def subject_repeats(spark, sf_dir):
+    return rounded(profile.repeats(table(spark, sf_dir, "events"), "user_id"))
+
+
+@query("outlier_examples", "SELECT 'value' AS variable, row_number() OVER (ORDER BY abs(v - (q1 + q3) / 2) DESC, event_id) AS rank, event_id AS key, round(v, 6) AS value FROM (SELECT event_id, value AS v, quantile_cont(value, 0.25) OVER () AS q1, quantile_cont(value, 0.75) OVER () AS q3 FROM events) WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) QUALIFY rank <= 10")
+def outlier_examples(spark, sf_dir):
+    return rounded(profile.outlier_examples(table(spark, sf_dir, "events"), "event_id", ["value"]))
+
+
+@query("baseline_categories", " UNION ALL ".join(f"SELECT '{c}' AS variable, level, round(p1, 6) AS share_1, round(p2, 6) AS share_2, CASE WHEN levels = 2 AND level = first THEN round((p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / 2), 6) END AS smd, CASE WHEN levels = 2 AND level = first THEN abs((p1 - p2) / sqrt((p1 * (1 - p1) + p2 * (1 - p2)) / 2)) > 0.1 END AS flagged FROM (SELECT {c} AS level, count(*) FILTER (o_orderstatus = 'F') / sum(count(*) FILTER (o_orderstatus = 'F')) OVER () AS p1, count(*) FILTER (o_orderstatus = 'O') / sum(count(*) FILTER (o_orderstatus = 'O')) OVER () AS p2, count(*) OVER () AS levels, min({c}) OVER () AS first FROM (SELECT o_orderstatus, o_orderpriority, CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END AS price FROM orders WHERE o_orderstatus IN ('F', 'O')) GROUP BY {c})" for c in ("o_orderpriority", "price")))
+def baseline_categories(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").filter("o_orderstatus IN ('F', 'O')").withColumn("price", F.when(F.col("o_totalprice") > 150000, "high").otherwise("low"))
+    return rounded(profile.balance_categories(rows, "o_orderstatus", ["o_orderpriority", "price"]))
 
 
 @query("duplicate_checks", "WITH c AS (SELECT l_orderkey, l_linenumber, count(*) AS c FROM lineitem GROUP BY 1, 2) SELECT CAST(coalesce(sum(c) FILTER (c > 1), 0) AS BIGINT) AS rows, count(*) FILTER (c > 1) AS keys, count(*) AS \"distinct\", max(c) AS most FROM c")
@@ -83,7 +114,7 @@ def outliers(spark, sf_dir):
     return rounded(profile.outliers(table(spark, sf_dir, "events"), ["value", "user_id"]))
 
 
-@query("digit_preference", "WITH d AS (SELECT CAST(round_even(abs(o_totalprice), 0) AS BIGINT) % 10 AS d, count(*) AS c FROM orders GROUP BY 1) SELECT 'o_totalprice' AS variable, CAST(sum(c) AS BIGINT) AS n, round(10.0 * sum(c * c) / sum(c) - sum(c), 6) AS chi2, (SELECT d FROM d ORDER BY c DESC, d LIMIT 1) AS dominant FROM d")
+@query("digit_preference", "WITH d AS (SELECT CAST(round_even(abs(o_totalprice), 0) AS BIGINT) % 10 AS d, count(*) AS c FROM orders GROUP BY 1) SELECT 'o_totalprice' AS variable, CAST(sum(c) AS BIGINT) AS n, round(10.0 * sum(c * c) / sum(c) - sum(c), 6) AS chi2, (SELECT d FROM d ORDER BY c DESC, d LIMIT 1) AS dominant, round(" + chi2_p("(10.0 * sum(c * c) / sum(c) - sum(c))", "9") + ", 6) AS p, " + chi2_p("(10.0 * sum(c * c) / sum(c) - sum(c))", "9") + " < 0.05 AS flagged FROM d")
 def digit_preference(spark, sf_dir):
     return rounded(profile.digit_preference(table(spark, sf_dir, "orders"), ["o_totalprice"]))
 
@@ -98,9 +129,12 @@ def crosstab(spark, sf_dir):
     return rounded(profile.crosstab(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"))
 
 
-@query("correlation_matrix", " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM {MASKED}" for a, b in (("a", "b"), ("a", "c"), ("b", "c"))))
+_R = "WITH x AS (SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, corr({a}, {b}) AS r FROM {t}) SELECT a, b, n, round(r, 6) AS r, round({p}, 6) AS p FROM x"
+
+
+@query("correlation_matrix", " UNION ALL ".join(f"SELECT * FROM ({_R.format(a=a, b=b, t=MASKED, p=t_p('(r * sqrt((n - 2) / (1 - r * r)))', '(n - 2)'))})" for a, b in (("a", "b"), ("a", "c"), ("b", "c"))))
 def correlation_matrix(spark, sf_dir):
-    return rounded(assoc.correlations(masked(spark, sf_dir), ["a", "b", "c"]))
+    return rounded(assoc.correlation_tests(masked(spark, sf_dir), ["a", "b", "c"]))
 
 
 @query("spearman", "WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem) SELECT count(*) AS n, round(corr(x, y), 6) AS rho FROM r")
@@ -108,32 +142,60 @@ def spearman(spark, sf_dir):
     return rounded(assoc.spearman(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
 
 
-@query("chi_square", "WITH o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1, 2), x AS (SELECT a, sum(o) AS ra FROM o GROUP BY 1), y AS (SELECT b, sum(o) AS cb FROM o GROUP BY 1), w AS (SELECT sum(o) AS n, count(DISTINCT a) AS r, count(DISTINCT b) AS c FROM o), g AS (SELECT coalesce(o.o, 0) AS o, ra * cb / n AS e, n, r, c FROM x, y, w LEFT JOIN o ON o.a = x.a AND o.b = y.b) SELECT CAST(n AS BIGINT) AS n, round(sum((o - e) * (o - e) / e), 6) AS chi2, (r - 1) * (c - 1) AS df, round(min(e), 6) AS min_expected, round(sqrt(sum((o - e) * (o - e) / e) / (n * (least(r, c) - 1))), 6) AS cramers_v FROM g GROUP BY n, r, c")
+@query("chi_square", "WITH o AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS o FROM orders GROUP BY 1, 2), x AS (SELECT a, sum(o) AS ra FROM o GROUP BY 1), y AS (SELECT b, sum(o) AS cb FROM o GROUP BY 1), w AS (SELECT sum(o) AS n, count(DISTINCT a) AS r, count(DISTINCT b) AS c FROM o), g AS (SELECT coalesce(o.o, 0) AS o, ra * cb / n AS e, n, r, c FROM x, y, w LEFT JOIN o ON o.a = x.a AND o.b = y.b), z AS (SELECT CAST(n AS BIGINT) AS n, sum((o - e) * (o - e) / e) AS chi2, (r - 1) * (c - 1) AS df, min(e) AS least, sqrt(sum((o - e) * (o - e) / e) / (n * (least(r, c) - 1))) AS v FROM g GROUP BY n, r, c) SELECT n, round(chi2, 6) AS chi2, df, round(least, 6) AS min_expected, round(v, 6) AS cramers_v, CASE WHEN v < 0.1 THEN 'negligible' WHEN v < 0.3 THEN 'small' WHEN v < 0.5 THEN 'medium' ELSE 'large' END AS magnitude, round(" + chi2_p("chi2", "df") + ", 6) AS p FROM z")
 def chi_square(spark, sf_dir):
-    return rounded(assoc.chi_square(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority").drop("p"))
+    return rounded(assoc.chi_square(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority"))
 
 
 _AB = ("count(v) FILTER (g = 'F') AS na, count(v) FILTER (g = 'O') AS nb, avg(v) FILTER (g = 'F') AS ma, avg(v) FILTER (g = 'O') AS mb, var_samp(v) FILTER (g = 'F') AS va, var_samp(v) FILTER (g = 'O') AS vb")
 
 
-@query("welch_t_test", f"WITH s AS (SELECT {_AB} FROM (SELECT l_extendedprice AS v, l_linestatus AS g FROM lineitem)) SELECT na AS n_a, nb AS n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t, round(pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)), 4) AS df, round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS cohens_d FROM s")
+_MAGNITUDE = "CASE WHEN abs({x}) < {a} THEN 'negligible' WHEN abs({x}) < {b} THEN 'small' WHEN abs({x}) < {c} THEN 'medium' ELSE 'large' END"
+
+
+@query(
+    "welch_t_test",
+    f"""WITH s AS (SELECT {_AB} FROM (SELECT l_extendedprice AS v, l_linestatus AS g FROM lineitem)),
+    x AS (SELECT *, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS d FROM s)
+    SELECT na AS n_a, nb AS n_b, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(t, 6) AS t, round(df, 4) AS df, round(d, 6) AS cohens_d, {_MAGNITUDE.format(x="d", a=0.2, b=0.5, c=0.8)} AS magnitude, round({t_p("t", "df")}, 6) AS p FROM x""",
+)
 def welch_t_test(spark, sf_dir):
-    out = assoc.welch(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus", "F", "O").drop("p")
+    out = assoc.welch(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_linestatus", "F", "O")
     return rounded(out.withColumn("df", F.round("df", 4)))
 
 
 _RANKED = "WITH r AS (SELECT {g} AS g, {v} AS v, rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS rk FROM {t}), ties AS (SELECT sum(CAST(c AS DOUBLE) * c * c - c) AS ties, sum(c) AS n FROM (SELECT count(*) AS c FROM {t} GROUP BY {v}))"
 
 
-@query("mann_whitney", _RANKED.format(g="l_linestatus", v="l_quantity", t="lineitem") + ", s AS (SELECT count(*) FILTER (g = 'F') AS na, count(*) FILTER (g = 'O') AS nb, CAST(sum(rk) FILTER (g = 'F') AS DOUBLE) AS ra FROM r), u AS (SELECT *, ra - na * (na + 1.0) / 2 AS u FROM s, ties) SELECT na AS n_a, nb AS n_b, round(u, 4) AS u, round(sign(u - CAST(na AS DOUBLE) * nb / 2) * greatest(abs(u - CAST(na AS DOUBLE) * nb / 2) - 0.5, 0) / sqrt(CAST(na AS DOUBLE) * nb / 12 * ((n + 1) - ties / (CAST(n AS DOUBLE) * (n - 1)))), 6) AS z, round(2 * u / (CAST(na AS DOUBLE) * nb) - 1, 6) AS cliffs_delta FROM u")
+_MW = """s AS (SELECT count(*) FILTER (g = 'F') AS na, count(*) FILTER (g = 'O') AS nb, CAST(sum(rk) FILTER (g = 'F') AS DOUBLE) AS ra FROM r),
+    u AS (SELECT *, ra - na * (na + 1.0) / 2 AS u, CAST(na AS DOUBLE) * nb AS nn FROM s, ties),
+    v AS (SELECT *, sign(u - nn / 2) * greatest(abs(u - nn / 2) - 0.5, 0) / sqrt(nn / 12 * ((n + 1) - ties / (CAST(n AS DOUBLE) * (n - 1)))) AS z, 2 * u / nn - 1 AS d FROM u)"""
+
+
+@query("mann_whitney", f"{_RANKED.format(g='l_linestatus', v='l_quantity', t='lineitem')}, {_MW} SELECT na AS n_a, nb AS n_b, round(u, 4) AS u, round(z, 6) AS z, round({z_p('z')}, 6) AS p, round(d, 6) AS cliffs_delta, {_MAGNITUDE.format(x='d', a=0.147, b=0.33, c=0.474)} AS magnitude FROM v")
 def mann_whitney(spark, sf_dir):
     out = assoc.mann_whitney(table(spark, sf_dir, "lineitem"), "l_quantity", "l_linestatus", "F", "O")
     return rounded(out.withColumn("u", F.round("u", 4)))
 
 
-@query("kruskal_wallis", _RANKED.format(g="event_type", v="value", t="events") + ", s AS (SELECT g, count(*) AS k, CAST(sum(rk) AS DOUBLE) AS ranks FROM r GROUP BY g) SELECT count(*) AS groups, CAST(max(n) AS BIGINT) AS n, round((12 / (CAST(max(n) AS DOUBLE) * (max(n) + 1)) * sum(ranks * ranks / k) - 3 * (max(n) + 1)) / (1 - max(ties) / (pow(CAST(max(n) AS DOUBLE), 3) - max(n))), 4) AS h FROM s, ties")
+@query(
+    "pairwise_groups",
+    f"""WITH g AS (SELECT DISTINCT o_orderpriority AS g FROM orders), p AS (SELECT x.g AS a, y.g AS b FROM g x JOIN g y ON x.g < y.g),
+    rows AS (SELECT a, b, o_orderpriority AS g, o_totalprice AS v FROM p JOIN orders ON o_orderpriority = a OR o_orderpriority = b),
+    r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY a, b, v) AS c FROM rows),
+    s AS (SELECT a, b, count(*) FILTER (g = a) AS na, count(*) FILTER (g = b) AS nb, CAST(sum(rk) FILTER (g = a) AS DOUBLE) AS ra, sum(CAST(c AS DOUBLE) * c - 1) AS ties, CAST(count(*) AS DOUBLE) AS n FROM r GROUP BY 1, 2),
+    u AS (SELECT *, ra - na * (na + 1.0) / 2 AS u, CAST(na AS DOUBLE) * nb AS nn FROM s),
+    v AS (SELECT *, sign(u - nn / 2) * greatest(abs(u - nn / 2) - 0.5, 0) / sqrt(nn / 12 * ((n + 1) - ties / (n * (n - 1)))) AS z FROM u)
+    SELECT a, b, na AS n_a, nb AS n_b, round(u, 4) AS u, round(z, 6) AS z, round({z_p("z")}, 6) AS p, round(least({z_p("z")} * count(*) OVER (), 1), 6) AS p_adjusted FROM v""",
+)
+def pairwise_groups(spark, sf_dir):
+    out = assoc.pairwise(table(spark, sf_dir, "orders"), "o_totalprice", "o_orderpriority")
+    return rounded(out.withColumn("u", F.round("u", 4)))
+
+
+@query("kruskal_wallis", f"{_RANKED.format(g='event_type', v='value', t='events')}, s AS (SELECT g, count(*) AS k, CAST(sum(rk) AS DOUBLE) AS ranks FROM r GROUP BY g), x AS (SELECT count(*) AS groups, CAST(max(n) AS BIGINT) AS n, (12 / (CAST(max(n) AS DOUBLE) * (max(n) + 1)) * sum(ranks * ranks / k) - 3 * (max(n) + 1)) / (1 - max(ties) / (pow(CAST(max(n) AS DOUBLE), 3) - max(n))) AS h FROM s, ties) SELECT groups, n, round(h, 4) AS h, round({chi2_p('h', '(groups - 1)')}, 4) AS p FROM x")
 def kruskal_wallis(spark, sf_dir):
-    return rounded(assoc.kruskal(table(spark, sf_dir, "events"), "value", "event_type").drop("p"), 4)
+    return rounded(assoc.kruskal(table(spark, sf_dir, "events"), "value", "event_type"), 4)
 
 
 @query("risk_measures", "WITH s AS (SELECT avg(CAST(o_orderstatus = 'F' AS INT)) FILTER (o_custkey % 2 = 0) AS p1, avg(CAST(o_orderstatus = 'F' AS INT)) FILTER (o_custkey % 2 = 1) AS p2 FROM orders) SELECT round(p1 - p2, 6) AS rd, round(p1 / nullif(p2, 0), 6) AS rr, round(p1 / nullif(1 - p1, 0) / nullif(p2 / nullif(1 - p2, 0), 0), 6) AS odds_ratio, round(1 / nullif(abs(p1 - p2), 0), 4) AS nnt FROM s")
@@ -167,15 +229,36 @@ def kaplan_meier(spark, sf_dir):
     return rounded(survival.kaplan_meier(subjects(spark, sf_dir), "time", "event", "arm"))
 
 
-@query("log_rank", f"WITH {_SUBJECTS}, s AS (SELECT arm AS g, time AS t, event AS e FROM subj WHERE time > 0), tt AS (SELECT DISTINCT t FROM s WHERE e = 1), x AS (SELECT tt.t, count(*) FILTER (s.t >= tt.t AND g = 0) AS n0, count(*) FILTER (s.t >= tt.t AND g = 1) AS n1, count(*) FILTER (s.t = tt.t AND e = 1 AND g = 0) AS d0, count(*) FILTER (s.t = tt.t AND e = 1 AND g = 1) AS d1 FROM tt, s GROUP BY 1), y AS (SELECT 0 AS g, d0 AS d, n0 AS n, n0 + n1 AS nt, d0 + d1 AS dt FROM x UNION ALL SELECT 1, d1, n1, n0 + n1, d0 + d1 FROM x) SELECT CAST(g AS BIGINT) AS g, CAST(sum(d) AS BIGINT) AS observed, round(sum(dt * n / nt), 6) AS expected, round(sum(CASE WHEN nt > 1 THEN dt * (n / nt) * (1 - n / nt) * (nt - dt) / (nt - 1) ELSE 0 END), 6) AS variance FROM y GROUP BY g")
+@query(
+    "log_rank",
+    f"""WITH {_SUBJECTS}, s AS (SELECT arm AS g, time AS t, event AS e FROM subj WHERE time > 0), tt AS (SELECT DISTINCT t FROM s WHERE e = 1),
+    x AS (SELECT tt.t, count(*) FILTER (s.t >= tt.t AND g = 0) AS n0, count(*) FILTER (s.t >= tt.t AND g = 1) AS n1, count(*) FILTER (s.t = tt.t AND e = 1 AND g = 0) AS d0, count(*) FILTER (s.t = tt.t AND e = 1 AND g = 1) AS d1 FROM tt, s GROUP BY 1),
+    z AS (SELECT sum(d0) AS o, sum((d0 + d1) * n0 / (n0 + n1)) AS e, sum(CASE WHEN n0 + n1 > 1 THEN (d0 + d1) * (n0 / (n0 + n1)) * (n1 / (n0 + n1)) * (n0 + n1 - d0 - d1) / (n0 + n1 - 1) ELSE 0 END) AS v FROM x),
+    c AS (SELECT pow(o - e, 2) / v AS chi2 FROM z)
+    SELECT CAST(2 AS BIGINT) AS groups, round(chi2, 6) AS chi2, CAST(1 AS BIGINT) AS df, round({chi2_p("chi2", "1")}, 6) AS p FROM c""",
+)
 def log_rank(spark, sf_dir):
     return rounded(survival.log_rank(subjects(spark, sf_dir), "time", "event", "arm"))
 
 
-@query("linear_regression", "SELECT 'intercept' AS term, round(regr_intercept(l_extendedprice, l_quantity), 4) AS coef, count(*) AS n, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem UNION ALL SELECT 'l_quantity', round(regr_slope(l_extendedprice, l_quantity), 4), count(*), round(regr_r2(l_extendedprice, l_quantity), 6) FROM lineitem")
+@query("survival_summary", f"WITH {_RISK}, e AS (SELECT * FROM k WHERE d > 0), sv AS (SELECT g, t, CASE WHEN max(CAST(d = n AS INT)) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN d < n THEN ln(1 - d / n) ELSE 0 END) OVER w) END AS s FROM e WINDOW w AS (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING)), a AS (SELECT arm AS g, count(*) AS n, CAST(sum(event) AS BIGINT) AS events FROM subj WHERE time > 0 GROUP BY 1), m AS (SELECT g, min(t) FILTER (s <= 0.5) AS median, coalesce(arg_max(s, t) FILTER (t <= 2), 1) AS s_2, coalesce(arg_max(s, t) FILTER (t <= 7), 1) AS s_7 FROM sv GROUP BY g) SELECT a.g, n, events, n - events AS censored, round(events / n, 6) AS rate, median, round(coalesce(s_2, 1), 6) AS survival_2, round(coalesce(s_7, 1), 6) AS survival_7 FROM a LEFT JOIN m USING (g)")
+def survival_summary(spark, sf_dir):
+    return rounded(survival.summary(subjects(spark, sf_dir), "time", "event", "arm", [2, 7]))
+
+
+@query(
+    "linear_regression",
+    f"""WITH b AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS b0, regr_slope(l_extendedprice, l_quantity) AS b1, regr_r2(l_extendedprice, l_quantity) AS r2, avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, count(*) AS n FROM lineitem),
+    e AS (SELECT l_quantity - mx AS d, (l_extendedprice - b0 - b1 * l_quantity) / (1 - 1.0 / n - pow(l_quantity - mx, 2) / sxx) AS u, l_extendedprice - b0 - b1 * l_quantity AS r, mx, sxx, n FROM lineitem, b),
+    s AS (SELECT sqrt(sum(pow(1.0 / n - mx * d / sxx, 2) * u * u)) AS s0, sqrt(sum(pow(d / sxx, 2) * u * u)) AS s1, sum(r * r) AS rss FROM e),
+    x AS (SELECT 'intercept' AS term, b0 AS coef, s0 AS se, n, r2, rss, syy FROM b, s UNION ALL SELECT 'l_quantity', b1, s1, n, r2, rss, syy FROM b, s)
+    SELECT term, round(coef, 4) AS coef, round(se, 6) AS se, round(coef / se, 4) AS t, round({t_p("(coef / se)", "(n - 2)")}, 6) AS p, round(coef - 1.9600 * se, 2) AS low, round(coef + 1.9600 * se, 2) AS high, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adjusted_r2, round(n * (ln(2 * pi() * rss / n) + 1) + 4, 2) AS aic, round(n * (ln(2 * pi() * rss / n) + 1) + 2 * ln(n), 2) AS bic FROM x""",
+)
 def linear_regression(spark, sf_dir):
     out = regression.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
-    return rounded(out.select("term", F.round("coef", 4).alias("coef"), "n", "r2"))
+    # the limits by t and by the normal agree to so many places here, as n is in the ten thousands
+    near = [F.round(F.col("coef") + k * 1.96 * F.col("se"), 2).alias(c) for k, c in ((-1, "low"), (1, "high"))]
+    return rounded(out.select("term", F.round("coef", 4).alias("coef"), "se", F.round("t", 4).alias("t"), "p", *near, "n", "r2", "adjusted_r2", F.round("aic", 2).alias("aic"), F.round("bic", 2).alias("bic")))
 
 
 @query("text_chunks", "SELECT doc_id, chunk, start, least(start + 512, length(text)) AS \"end\", text[start + 1 : start + 512] AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 448)) AS start, unnest(range(0, CAST(ceil(length(text) / 448) AS BIGINT))) AS chunk FROM documents) WHERE length(trim(text[start + 1 : start + 512])) >= 50")
