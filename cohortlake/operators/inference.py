@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions import distributions as dist
-from cohortlake.functions.columns import fisher_p, two_sided_t
+from cohortlake.functions.columns import chi_square_sf, f_sf, fisher_p, two_sided_t
 from cohortlake.operators.longform import long, moments, need
 
 
@@ -197,25 +197,48 @@ def subgroups(df: DataFrame, outcome: str, arm: str, columns: list[str], a, b) -
     return m.select("subgroup", "level", "n_a", "n_b", diff.alias("diff"), t.alias("t"), free.alias("df"), two_sided_t(t, free).alias("p"), (diff / F.nullif(pooled, F.lit(0.0))).alias("cohens_d"), (F.least(na, nb) < 5).alias("few"))
 
 
-def interaction(df: DataFrame, outcome: str, arm: str, factor: str) -> DataFrame:
-    """f, df1, df2, p of arm x factor: counts, sums and squares of each cell suffice for both nested models."""
-    cells = df.select(F.col(arm).alias("a"), F.col(factor).alias("b"), F.col(outcome).cast("double").alias("y")).dropna().groupBy("a", "b").agg(F.count("y").alias("n"), F.avg("y").alias("m"), (F.var_pop("y") * F.count("y")).alias("ss")).collect()  # arms by levels
-    ia, ib = ({v: i for i, v in enumerate(sorted({r[k] for r in cells}))} for k in ("a", "b"))
-    n, m = np.array([r["n"] for r in cells], float), np.array([r["m"] for r in cells], float)
-    within = sum(r["ss"] for r in cells)
-    x = np.zeros((len(cells), 1 + len(ia) - 1 + len(ib) - 1))
-    for k, r in enumerate(cells):
-        x[k, 0] = 1
-        if ia[r["a"]]:
-            x[k, ia[r["a"]]] = 1
-        if ib[r["b"]]:
-            x[k, len(ia) - 1 + ib[r["b"]]] = 1
-    root = np.sqrt(n)
-    beta = np.linalg.lstsq(x * root[:, None], m * root, rcond=None)[0]
-    between = float((n * (m - x @ beta) ** 2).sum())
-    df1, df2 = len(cells) - int(np.linalg.matrix_rank(x)), int(n.sum()) - len(cells)
-    f = between / df1 / (within / df2) if df1 > 0 and df2 > 0 and within > 0 else None
-    return df.sparkSession.createDataFrame([(f, df1, df2, None if f is None else dist.f_sf(f, df1, df2))], "f double, df1 long, df2 long, p double")
+def subgroup_odds(df: DataFrame, outcome: str, arm: str, columns: list[str], a, b) -> DataFrame:
+    """subgroup, level, n_a, n_b, rate_a, rate_b, chi2 (no continuity), p, odds_ratio (a to b, 0.5 added where a cell is empty), low, high
+    (Woolf, 95 %), few, of a 0/1 outcome at every level of every column, in one pass."""
+    need(df, outcome, arm, *columns)
+    rows = df.filter(F.col(arm).isin(a, b) & F.col(outcome).isin(0, 1)).select((F.col(arm) == a).alias("_a"), F.col(outcome).cast("int").alias("_y"), *(F.col(c).cast("string").alias(c) for c in columns))
+    rows = rows.unpivot(["_a", "_y"], columns, "subgroup", "level").filter("level IS NOT NULL")
+    count = lambda first, y: F.count_if((F.col("_a") == first) & (F.col("_y") == y)).cast("double")
+    m = rows.groupBy("subgroup", "level").agg(count(True, 1).alias("a1"), count(True, 0).alias("a0"), count(False, 1).alias("b1"), count(False, 0).alias("b0"))
+    a1, a0, b1, b0 = (F.col(c) for c in ("a1", "a0", "b1", "b0"))
+    na, nb = a1 + a0, b1 + b0
+    chi2 = (na + nb) * (a1 * b0 - a0 * b1) ** 2 / F.nullif(na * nb * (a1 + b1) * (a0 + b0), F.lit(0.0))
+    h = F.when(F.least(a1, a0, b1, b0) == 0, 0.5).otherwise(0.0)
+    odds = (a1 + h) * (b0 + h) / ((a0 + h) * (b1 + h))
+    se = F.sqrt(1 / (a1 + h) + 1 / (a0 + h) + 1 / (b1 + h) + 1 / (b0 + h))
+    z, none = NormalDist().inv_cdf(0.975), F.lit(0.0)
+    return m.select(
+        "subgroup", "level", na.cast("long").alias("n_a"), nb.cast("long").alias("n_b"), (a1 / F.nullif(na, none)).alias("rate_a"), (b1 / F.nullif(nb, none)).alias("rate_b"), chi2.alias("chi2"),
+        chi_square_sf(chi2, F.lit(1)).alias("p"), odds.alias("odds_ratio"), F.exp(F.log(odds) - z * se).alias("low"), F.exp(F.log(odds) + z * se).alias("high"), (F.least(na, nb) < 5).alias("few"),
+    )
+
+
+def interaction(df: DataFrame, outcome: str, arm: str, factor: str, a=None, b=None) -> DataFrame:
+    """f, df1, df2, p of arm x factor for two arms (a and b, or the first two in order).
+
+    Within a level that has both arms the difference of means weighs n_a n_b / (n_a + n_b); what these differences vary about their
+    common mean is what the additive model leaves, so the levels, however many, are summed by Spark.
+    """
+    need(df, outcome, arm, factor)
+    if a is None:
+        a, b = (r[0] for r in df.select(arm).filter(F.col(arm).isNotNull()).distinct().orderBy(arm).limit(2).collect())
+    rows = df.filter(F.col(arm).isin(a, b)).select((F.col(arm) == a).alias("a"), F.col(factor).alias("b"), F.col(outcome).cast("double").alias("y")).dropna()
+    part = lambda first: F.when(F.col("a") == first, F.col("y"))
+    n = {k: F.count(part(k)) for k in (True, False)}
+    within = sum((F.coalesce(F.var_pop(part(k)) * n[k], F.lit(0.0)) for k in (True, False)), F.lit(0.0))
+    levels = rows.groupBy("b").agg(n[True].alias("na"), n[False].alias("nb"), (F.avg(part(True)) - F.avg(part(False))).alias("d"), within.alias("within"))
+    w = F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))
+    s = levels.agg(
+        (F.sum(w * F.col("d") ** 2) - F.sum(w * F.col("d")) ** 2 / F.nullif(F.sum(F.when(F.col("d").isNotNull(), w)), F.lit(0.0))).alias("between"), F.sum("within").alias("within"), (F.count("d") - 1).alias("df1"),
+        (F.sum(F.col("na") + F.col("nb")) - F.sum((F.col("na") > 0).cast("int") + (F.col("nb") > 0).cast("int"))).alias("df2"),
+    )
+    f = F.when((F.col("df1") > 0) & (F.col("df2") > 0), F.col("between") / F.col("df1") / F.nullif(F.col("within") / F.col("df2"), F.lit(0.0)))
+    return s.select(f.alias("f"), "df1", "df2", f_sf(f, "df1", "df2").alias("p"))
 
 
 def screen(df: DataFrame, event: str, columns: list[str]) -> DataFrame:

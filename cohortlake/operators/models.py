@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import distributions as dist
 from cohortlake.operators import regression
-from cohortlake.operators.longform import need
+from cohortlake.operators.longform import need, saved
 
 
 def _linear(cols: list[str], beta) -> F.Column:
@@ -26,21 +27,23 @@ def _square(row, name: str, k: int) -> np.ndarray:
 
 
 def logistic(df: DataFrame, y: str, xs: list[str], steps: int = 25, tol: float = 1e-10) -> DataFrame:
-    """term, coef, se, odds_ratio, z, p, n, mcfadden_r2 of a 0/1 outcome over complete rows, by Newton steps of one
-    aggregate each. Separation shows as coefficients still growing after ``steps``: an error."""
+    """term, coef, se, odds_ratio, z, p, low and high (of the odds ratio, 95 %), n, mcfadden_r2, aic, bic of a 0/1 outcome over
+    complete rows, by Newton steps of one aggregate each over distinct patterns of the covariates. Separation shows as coefficients still growing after ``steps``: an error."""
     need(df, y, *xs)
     cols = ["_one", *xs]
     k = len(cols)
     rows = df.select(F.lit(1.0).alias("_one"), *(F.col(c).cast("double").alias(c) for c in (*xs, y))).dropna()
+    rows = saved(rows.groupBy(*cols, y).agg(F.count(F.lit(1)).alias("_m")))  # patterns, however often they occur; each step reads them
+    m = F.col("_m")
     beta = np.zeros(k)
     for _ in range(steps):
         eta = _linear(cols, beta)
         p = 1 / (1 + F.exp(-eta))
         like = F.col(y) * eta - F.when(eta > 0, eta + F.log1p(F.exp(-eta))).otherwise(F.log1p(F.exp(eta)))
         s = rows.agg(
-            F.count(F.lit(1)).alias("n"), F.avg(y).alias("mean"), F.sum(like).alias("like"),
-            *(F.sum(F.col(c) * (F.col(y) - p)).alias(f"u{i}") for i, c in enumerate(cols)),
-            *(F.sum(F.col(a) * F.col(b) * p * (1 - p)).alias(f"h{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j),
+            F.sum("_m").alias("n"), (F.sum(m * F.col(y)) / F.sum("_m")).alias("mean"), F.sum(m * like).alias("like"),
+            *(F.sum(m * F.col(c) * (F.col(y) - p)).alias(f"u{i}") for i, c in enumerate(cols)),
+            *(F.sum(m * F.col(a) * F.col(b) * p * (1 - p)).alias(f"h{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j),
         ).first()
         if not s["n"] or s["mean"] in (0.0, 1.0):
             raise ValueError("both outcomes are needed")
@@ -53,9 +56,9 @@ def logistic(df: DataFrame, y: str, xs: list[str], steps: int = 25, tol: float =
         raise ValueError("no convergence: the outcomes may be separated")
     n, mean = s["n"], s["mean"]
     null = n * (mean * math.log(mean) + (1 - mean) * math.log(1 - mean))
-    se = np.sqrt(np.diag(inverse))
-    out = [("intercept" if c == "_one" else c, float(b), float(e), math.exp(b), float(b / e), 2 * dist.normal_sf(abs(b / e)), n, 1 - s["like"] / null) for c, b, e in zip(cols, beta, se)]
-    return df.sparkSession.createDataFrame(out, "term string, coef double, se double, odds_ratio double, z double, p double, n long, mcfadden_r2 double")
+    se, like, z = np.sqrt(np.diag(inverse)), s["like"], NormalDist().inv_cdf(0.975)
+    out = [("intercept" if c == "_one" else c, float(b), float(e), math.exp(b), float(b / e), 2 * dist.normal_sf(abs(b / e)), math.exp(b - z * e), math.exp(b + z * e), n, 1 - like / null, 2 * k - 2 * like, k * math.log(n) - 2 * like) for c, b, e in zip(cols, beta, se)]
+    return df.sparkSession.createDataFrame(out, "term string, coef double, se double, odds_ratio double, z double, p double, low double, high double, n long, mcfadden_r2 double, aic double, bic double")
 
 
 def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30, tol: float = 1e-9) -> DataFrame:
