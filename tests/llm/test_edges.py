@@ -43,6 +43,31 @@ def test_odd_documents(spark, odd):
     assert taken == texts
 
 
+def test_spans_beyond_the_base_patterns(spark):
+    r = __import__("random").Random(4)
+    first, last, word = ["ann", "bob", "eva", "tim"], ["lee", "kim", "ray"], ["river", "bread", "house", "green"]
+    rows, wanted, decoys = [], set(), set()
+
+    def add(before, span, after, kind, take):
+        i, text = len(rows), f"{' '.join(r.choices(word, k=r.randint(3, 9)))} {before}"
+        if take is not None:
+            (wanted if take else decoys).add((i, f"{kind}:{len(text)}:{len(text) + len(span)}"))
+        rows.append((i, text + span + after))
+
+    for k in range(120):
+        d = lambda n: "".join(r.choices("0123456789", k=n))
+        add("please mail ", f"{r.choice(first)}.{r.choice(last)}@mail{k}.com", " soon", "email", None)
+        add("please mail ", f"{r.choice(first)} (at) site{k} (dot) org", " soon", "email", True)
+        add("we will meet ", f"{r.choice(word)} at place{k}.example", " soon", "email", False)
+        add("call my phone ", f"+1 ({r.randint(200, 999)}) 555-{d(4)}", " today", "phone", None)
+        add("call my phone ", f"({r.randint(200, 999)}) 555-{d(4)}", " today", "phone", True)
+        add("the host address ", f"10.{r.randint(1, 250)}.3.{r.randint(1, 250)}", " is up", "ip", None)
+        add("the host address ", f"fe80:{r.randint(10, 99)}:ab:cd:{r.randint(10, 99)}:9", " is up", "ip", True)
+    got = {x.doc_id: set(x.spans.split(",")) for x in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(s in got[i] for i, s in wanted), [(rows[i], s, got[i]) for i, s in wanted if s not in got[i]][:3]
+    assert not any(s in got[i] for i, s in decoys), [(rows[i], s) for i, s in decoys if s in got[i]][:3]
+
+
 def planted(spark, n=6000, dim=16):
     """Gaussian vectors; chains of near copies; copies; one id with two vectors; odd ones."""
     r = np.random.default_rng(5)
