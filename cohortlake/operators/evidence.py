@@ -18,23 +18,46 @@ def terms(text) -> F.Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, qtext: str, top: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """qkey, key, score, rank: the ``top`` documents for every query; ties by key."""
-    tokens = docs.select(F.col(key).alias("d"), terms(F.col(text)).alias("w"))
-    size = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg"))
-    asked = queries.select(F.col(qkey).alias("q"), F.explode(F.array_distinct(terms(F.col(qtext)))).alias("term"))
-    postings = tokens.select("d", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("d", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    frequent = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = postings.join(asked.join(frequent, "term"), "term").crossJoin(F.broadcast(size))
+def postings(docs: DataFrame, key: str, text: str, tokens=terms) -> DataFrame:
+    """d, len, term, tf: the index of a corpus, to be written once and searched often; ``search`` reads it."""
+    rows = docs.select(F.col(key).alias("d"), tokens(F.col(text)).alias("w"))
+    return rows.select("d", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("d", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def search(index: DataFrame, size: DataFrame, asked: DataFrame, top: int, k1: float, b: float, boost: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """q, d, score, rank from an index, (n, avg) of the corpus and (q, term). boost (d, factor) multiplies a document's score, once."""
+    frequent = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    hits = index.join(asked.join(frequent, "term"), "term").crossJoin(F.broadcast(size))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
-    scored = hits.groupBy("q", "d").agg(F.round(F.sum(part), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).filter(F.col("rank") <= top)
-    return ranked.select(F.col("q").alias(qkey), F.col("d").alias(key), "score", "rank")
+    scored = hits.groupBy("q", "d").agg(F.sum(part).alias("score"))
+    if boost is not None:
+        scored = scored.join(boost, "d", "left").withColumn("score", F.col("score") * F.coalesce("factor", F.lit(1.0))).drop("factor")
+    scored = scored.withColumn("score", F.round("score", 6))
+    if least is not None:
+        scored = scored.filter(F.col("score") >= least)
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))).filter(F.col("rank") <= top)
+
+
+#: So many distinct query terms at most (some 16 MB) are sent to every task; more are joined by shuffle.
+MOST_TERMS = 500_000
+
+
+def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, qtext: str, top: int = 5, k1: float = 1.5, b: float = 0.75, tokens=terms, query_tokens=None, boost: DataFrame | None = None, least: float | None = None) -> DataFrame:
+    """qkey, key, score, rank: the ``top`` documents for every query; ties by key. Only terms that a query holds are indexed."""
+    size = docs.select(F.size(tokens(F.col(text))).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg"))
+    asked = queries.select(F.col(qkey).alias("q"), F.explode(F.array_distinct((query_tokens or tokens)(F.col(qtext)))).alias("term"))
+    wanted = asked.select("term").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
+    words = docs.select(F.col(key).alias("d"), tokens(F.col(text)).alias("w"))
+    words = words.select("d", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
+    index = words.groupBy("d", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    found = search(index, size, asked, top, k1, b, boost, least)
+    return found.select(F.col("q").alias(qkey), F.col("d").alias(key), "score", "rank")
 
 
 def reported(claims: DataFrame, text: str) -> DataFrame:
-    """Adds p_operator, p_value, effect (name), effect_value and significant, as the text states them, null if not."""
+    """Adds p_operator, p_value, effect (name) and effect_value, as the text states them, null if not."""
     p = r"(?i)\bp(?:[- ]?value)?\s*(<=|>=|<|>|=|≤|≥)\s*(\d*\.?\d+(?:e-?\d+)?)"
     effects = [("hazard_ratio", r"(?i)\b(?:hr|hazard ratio)\s*(?:=|:|of)?\s*(\d*\.?\d+)"), ("odds_ratio", r"(?i)\b(?:or|odds ratio)\s*(?:=|:|of)?\s*(\d*\.\d+)"), ("risk_ratio", r"(?i)\b(?:rr|risk ratio)\s*(?:=|:|of)?\s*(\d*\.?\d+)"), ("cohens_d", r"(?i)\bcohen'?s? d\s*(?:=|:|of)?\s*(-?\d*\.?\d+)"), ("correlation", r"(?i)\br\s*=\s*(-?\d*\.?\d+)")]
     t = F.col(text)
@@ -42,6 +65,4 @@ def reported(claims: DataFrame, text: str) -> DataFrame:
     operator, value = F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.expr("try_cast(p_text AS double)")
     out = claims.withColumn("p_operator", F.replace(F.replace(operator, F.lit("≤"), F.lit("<=")), F.lit("≥"), F.lit(">="))).withColumn("p_text", F.nullif(F.regexp_extract(t, p, 2), F.lit(""))).withColumn("p_value", value).drop("p_text")
     out = out.withColumn("effect", F.coalesce(*(F.when(v.isNotNull(), F.lit(name)) for name, v in got))).withColumn("effect_value", F.coalesce(*(v for _, v in got)).cast("double"))
-    negative = F.lower(t).rlike(r"\bnot? (?:statistically )?significant|\bno (?:significant )?(?:association|difference)|non-?significant|not associated")
-    low = F.when(F.col("p_operator").isin("<", "<=", "="), F.col("p_value") <= 0.05).when(F.col("p_value") >= 0.05, False)
-    return out.withColumn("significant", F.when(negative, False).otherwise(F.coalesce(low, F.when(F.lower(t).rlike("significant|associated|predicted"), True))))
+    return out
