@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.operators import comparison, findings, roles
+from cohortlake.operators import comparison, evidence, findings, longitudinal, roles, verification
 from cohortlake.plans.queries import query, rounded, table
 from cohortlake.plans.tails import t_p
 
@@ -137,3 +137,52 @@ def report_metrics(spark, sf_dir):
 def report_pairs(spark, sf_dir):
     left, right = _side(spark, sf_dir, "F"), _side(spark, sf_dir, "O")
     return rounded(comparison.assigned(comparison.candidates(left, right)).select("report", "l_key", "r_key", "score"))
+
+
+def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as subjects, their lines as visits."""
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS subject", "l_linenumber AS visit", "l_orderkey % 2 AS arm", "CASE WHEN l_partkey % 13 > 0 THEN l_quantity + 3 * (l_orderkey % 7) END AS y", "l_discount")
+
+
+@query("mixed_model")
+def mixed_model(spark, sf_dir):
+    return rounded(longitudinal.repeated_measures_model(visits(spark, sf_dir), "subject", "visit", "arm", "y", ["l_discount"]), 4)
+
+
+@query("constrained_model")
+def constrained_model(spark, sf_dir):
+    return rounded(longitudinal.constrained_model(visits(spark, sf_dir), "subject", "visit", "arm", "y"), 4)
+
+
+@query("imputation")
+def imputation(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 5 > 0 THEN o_totalprice END AS price", "CASE WHEN o_custkey % 7 > 0 THEN o_totalprice / 1000 + o_custkey % 10 END AS score", "o_custkey % 10 AS x")
+    filled = longitudinal.imputed(rows, "o_orderkey", ["price", "score"], ["x"], copies=3, sweeps=3)
+    return rounded(longitudinal.pooled(filled, ["price", "score"]), 4)
+
+
+@query(
+    "concordance",
+    f"""WITH s AS (SELECT follow_up_days AS t, death_event AS e, age // 10 AS r FROM {TRIAL} WHERE follow_up_days > 0), c AS (SELECT t, r, CAST(sum(e) AS BIGINT) AS d, count(*) AS c FROM s GROUP BY 1, 2),
+    p AS (SELECT a.d, a.r AS ra, b.r AS rb, CASE WHEN b.t > a.t THEN b.c ELSE b.c - b.d END AS n FROM c a JOIN c b ON b.t >= a.t WHERE a.d > 0),
+    x AS (SELECT CAST(sum(d * n) AS BIGINT) AS pairs, CAST(coalesce(sum(d * n) FILTER (ra > rb), 0) AS BIGINT) AS concordant, CAST(coalesce(sum(d * n) FILTER (ra = rb), 0) AS BIGINT) AS tied FROM p)
+    SELECT *, round((concordant + 0.5 * tied) / pairs, 6) AS c_index FROM x""",
+)
+def concordance(spark, sf_dir):
+    rows = trial(spark, sf_dir).withColumn("risk", F.floor(F.col("age") / 10))
+    return rounded(longitudinal.concordance(rows, "follow_up_days", "death_event", "risk"))
+
+
+_SCREENED = "SELECT '{c}' AS v, (ma - mb) / sqrt(va / na + vb / nb) AS t, pow(va / na + vb / nb, 2) / (pow(va / na, 2) / (na - 1) + pow(vb / nb, 2) / (nb - 1)) AS df FROM (SELECT count({c}) FILTER (death_event = 1) AS na, count({c}) FILTER (death_event = 0) AS nb, avg({c}) FILTER (death_event = 1) AS ma, avg({c}) FILTER (death_event = 0) AS mb, var_samp({c}) FILTER (death_event = 1) AS va, var_samp({c}) FILTER (death_event = 0) AS vb FROM {t})"
+
+
+@query(
+    "claim_verification",
+    f"""WITH x AS (SELECT v, {t_p("t", "df")} AS p, t FROM ({_SCREENED.format(c="cost", t=TRIAL)} UNION ALL {_SCREENED.format(c="age", t=TRIAL)})),
+    k AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 = 0 THEN 'cost' WHEN s_suppkey % 3 = 1 THEN 'age' END AS v, s_suppkey % 2 = 0 AS yes, CASE WHEN s_suppkey % 3 < 2 THEN 'continuous_group_difference' ELSE 'continuous_group_difference' END AS family FROM supplier)
+    SELECT k AS s_suppkey, k.v AS variable, family, round(p, 6) AS p, CASE WHEN p IS NULL THEN 'unsupported' WHEN yes <> (p < 0.05) THEN 'contradicted' WHEN yes AND t < 0 THEN 'contradicted' WHEN yes AND p > 0.04 + greatest(0.001, 0.01) THEN 'partial' ELSE CASE WHEN yes AND abs(p - 0.04) > 0.01 THEN 'partial' ELSE 'verified' END END AS verdict FROM k LEFT JOIN x ON k.v = x.v""",
+)
+def claim_verification(spark, sf_dir):
+    said = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat(CASE s_suppkey % 3 WHEN 0 THEN 'Cost' WHEN 1 THEN 'The age' ELSE 'Blood pressure' END, CASE WHEN s_suppkey % 2 = 0 THEN ' was significantly higher in those who died (p = 0.04).' ELSE ' did not show a difference, it was not significant.' END) AS claim")
+    out = verification.verify(evidence.reported(said, "claim"), "claim", trial(spark, sf_dir), event="death_event", arm="trt_arm", time="follow_up_days")
+    return rounded(out.select("s_suppkey", "variable", "family", "p", "verdict"))
