@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.operators import retrieval
-from cohortlake.plans.queries import query, rounded, table
+from cohortlake.plans.queries import MASKED, masked, query, rounded, table
+from cohortlake.sources import documents, tables
 
 _WORDS = r"""list_transform(regexp_extract_all(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[a-z0-9]+(?:[''-][a-z0-9]+)*'), w -> CASE WHEN length(w) <= 4 THEN w WHEN suffix(w, 'ies') AND length(w) > 5 THEN w[:-4] || 'y' WHEN suffix(w, 'ing') AND length(w) > 5 THEN w[:-4] WHEN suffix(w, 'ed') THEN w[:-3] WHEN suffix(w, 'es') THEN w[:-3] WHEN suffix(w, 's') THEN w[:-2] ELSE w END)"""
 _WORDS = _WORDS.replace("w ->", "lambda w:")
@@ -89,3 +90,40 @@ def citation_registry(spark, sf_dir):
 def finding_lookups(spark, sf_dir):
     rows = retrieval.lookups(table(spark, sf_dir, "part"), "p_brand", "p_partkey", "p_type", F.col("p_size") > 5)
     return rounded(retrieval.snippets(rows, "p_brand", ["p_partkey"], "p_type").select("p_brand", "p_partkey", "alias", "snippet"))
+
+
+_RESULT = "CASE event_id % 4 WHEN 0 THEN '{{}}' WHEN 1 THEN concat('{{\"p_value\": ', CAST(round(value, 2) AS {s}), ', \"n\": ', CAST(user_id AS {s}), ', \"note\": \"', repeat('a long result ', CAST(event_id % 30 AS INT)), '\"}}') WHEN 2 THEN concat('{{\"error\": \"', event_type, ' failed and nothing else is known about why it did so today\"}}') ELSE concat('plain words on ', event_type, repeat(' and more', CAST(event_id % 20 AS INT))) END"
+
+
+@query(
+    "tool_results",
+    f"""WITH t AS (SELECT event_id, event_type, trim({_RESULT.format(s="VARCHAR")}) AS t FROM events)
+    SELECT event_id, CASE WHEN lower(t) IN ('', '{{}}', '[]', 'null', 'none') THEN 0.0 WHEN contains(lower(t), '"error"') AND length(t) < 250 THEN 0.05 ELSE round(CAST(0.2 AS DOUBLE) + CASE WHEN length(t) >= 80 THEN 0.25 ELSE 0 END + CASE WHEN length(t) >= 250 THEN 0.15 ELSE 0 END + CASE WHEN contains(t, 'p_value') THEN 0.25 ELSE 0 END + CASE WHEN starts_with(t, '{{') AND suffix(t, '}}') THEN 0.15 ELSE 0 END, 3) END AS quality,
+    CASE WHEN starts_with(t, '{{"p') THEN 'n,note,p_value' WHEN starts_with(t, '{{"e') THEN 'error' ELSE '' END AS keys, length(t) AS n FROM t WHERE length(t) >= 60 AND NOT (contains(lower(t), '"error"') AND length(t) < 300)""",
+)
+def tool_results(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.expr(_RESULT.format(s="STRING")).alias("t"))
+    out = documents.tool_results(rows, "event_id", "event_type", "t")
+    return rounded(out.select(F.col("id").cast("long").alias("event_id"), F.col("metadata")["quality"].cast("double").alias("quality"), F.col("metadata")["keys"].alias("keys"), F.length("content").alias("n")))
+
+
+@query("dictionary_lines", "SELECT CAST(event_id AS VARCHAR) AS id, 'Event' || chr(10) || 'k: ' || json_extract_string(props, '$.k') || chr(10) || 'more.a: ' || event_type || chr(10) || 'more.b: 2' AS content FROM events")
+def dictionary_lines(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("j", F.concat(F.lit('{"more": {"b": 2, "a": "'), "event_type", F.lit('"}, '), F.expr("substring(props, 2)")))
+    return documents.dictionary_lines(rows, "event_id", "j", "Event").select("id", "content")
+
+
+@query("literature_documents", "SELECT CAST(p_partkey AS VARCHAR) AS id, 'Title: ' || p_name || chr(10) || 'Authors: ' || array_to_string(string_split(p_type, ' ')[1:5], ', ') || CASE WHEN p_size % 3 > 0 THEN chr(10) || 'Year: ' || CAST(1990 + p_size AS VARCHAR) ELSE '' END || chr(10) || 'Abstract: ' || p_brand || ' study' AS content FROM part")
+def literature_documents(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_name", "split(p_type, ' ') AS authors", "CASE WHEN p_size % 3 > 0 THEN 1990 + p_size END AS year", "concat(p_brand, ' study') AS abstract")
+    return documents.literature(rows, "p_partkey", "p_name", "authors", "year", "abstract").select("id", "content")
+
+
+_PREVIEW = "SELECT '{c}' AS variable, '{k}' AS kind, round(100.0 * (count(*) - count({c})) / count(*), 4) AS missing, {n} FROM {t}"
+_NUMBERS = "count({c}) AS n, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS median, round(quantile_cont({c}, 0.75), 4) AS p75, round(max({c}), 4) AS max"
+_NONE = "NULL AS n, NULL AS mean, NULL AS sd, NULL AS min, NULL AS p25, NULL AS median, NULL AS p75, NULL AS max"
+
+
+@query("table_preview", " UNION ALL ".join(_PREVIEW.format(c=c, k=k, t=MASKED, n=(_NONE if k == "string" else _NUMBERS).format(c=c)) for c, k in (("l_orderkey", "bigint"), ("l_returnflag", "string"), ("a", "double"), ("b", "double"), ("c", "double"))))
+def table_preview(spark, sf_dir):
+    return rounded(tables.preview(masked(spark, sf_dir)), 4)

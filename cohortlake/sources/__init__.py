@@ -1 +1 @@
-"""See the modules of this package."""
+"""Reading tables and documents, and writing results."""
