@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import chi_square_sf, two_sided_normal, two_sided_t
-from cohortlake.operators.longform import moments, need, ranged, ranks, ranks_of
+from cohortlake.operators.longform import correlation, moments, need, ranged, ranks, ranks_of
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -16,7 +16,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     need(df, *columns)
     pairs = list(combinations(columns, 2))
     x = {c: F.col(c).cast("double") for c in columns}
-    row = df.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(x[a].isNotNull() & x[b].isNotNull()).alias("n"), F.corr(x[a], x[b]).alias("r")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)))
+    row = df.agg(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(x[a].isNotNull() & x[b].isNotNull()).alias("n"), correlation(x[a], x[b]).alias("r")).alias(f"p{k}") for k, (a, b) in enumerate(pairs)))
     return row.select(F.inline(F.array(*(F.col(f"p{k}") for k in range(len(pairs))))))
 
 

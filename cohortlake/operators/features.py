@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import f_sf
@@ -145,3 +145,63 @@ def diverse(df: DataFrame, outcome: str, columns: list[str], must: list[str] = (
         rest = [j for j in range(len(columns)) if j not in chosen]
         chosen.append(min(rest, key=lambda j: (r[j, chosen].max() if chosen else 0.0, -rel.get(columns[j], 0.0), columns[j])))
     return df.sparkSession.createDataFrame([(i + 1, columns[j]) for i, j in enumerate(chosen)], "rank long, variable string")
+
+
+def pair_strengths(df: DataFrame, numbers: list[str], categories: list[str]) -> DataFrame:
+    """a, b, strength: absolute correlation of numbers, Cramer's V (without continuity) of categories, scaled to a greatest one of 1: how much two
+    columns of one kind repeat each other."""
+    parts = []
+    if len(numbers) > 1:
+        parts.append(assoc.correlations(df, numbers).select("a", "b", F.coalesce(F.abs(F.nanvl("r", F.lit(None).cast("double"))), F.lit(0.0)).alias("v")))
+    for i, a in enumerate(categories):
+        for b in categories[i + 1 :]:
+            parts.append(assoc.chi_square(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce("cramers_v", F.lit(0.0)).alias("v")))
+    if not parts:
+        raise ValueError("two columns of one kind are needed")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    top = out.agg(F.max("v").alias("top"))
+    return out.crossJoin(F.broadcast(top)).select("a", "b", (F.col("v") / F.nullif("top", F.lit(0.0))).alias("strength"))  # one row
+
+
+def subset_scores(subsets: DataFrame, relevance_: DataFrame, pairs: DataFrame, penalty: float = 0.5, parsimony: float = 0.0) -> DataFrame:
+    """subset, size, relevance, redundancy, objective of (subset, variable) rows: less the sum of relevances, plus the sum of the pairs' strengths times
+    penalty * (0.8 + 0.4 * mean strength of all pairs), plus ``parsimony`` for each variable; lower is better."""
+    need(subsets, "subset", "variable"), need(relevance_, "variable", "relevance"), need(pairs, "a", "b", "strength")
+    mean = pairs.agg(F.coalesce(F.avg("strength"), F.lit(0.0)).alias("mean"))
+    own = subsets.join(relevance_, "variable", "left").groupBy("subset").agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("relevance"), F.lit(0.0)).alias("relevance"))
+    x, y = subsets.select("subset", F.col("variable").alias("a")), subsets.select("subset", F.col("variable").alias("b"))
+    both = x.join(pairs, "a").join(y, ["subset", "b"]).groupBy("subset").agg(F.sum("strength").alias("redundancy"))
+    out = own.join(both, "subset", "left").fillna(0.0, ["redundancy"]).crossJoin(F.broadcast(mean))  # one row
+    return out.select("subset", "size", "relevance", "redundancy", (-F.col("relevance") + penalty * (0.8 + 0.4 * F.col("mean")) * F.col("redundancy") + parsimony * F.col("size")).alias("objective"))
+
+
+def select_features(df: DataFrame, outcome: str, columns: list[str], method: str = "univariate", size: int | None = None, key: str | None = None) -> DataFrame:
+    """variable, score, selected by one of none, univariate, mrmr, lasso and elastic_net; ``size`` features, by default ``default_size``."""
+    n = min(len(columns), size or default_size(len(columns)))
+    if method == "none":
+        return df.sparkSession.createDataFrame([(c, 1.0, True) for c in columns], "variable string, score double, selected boolean")
+    if method in ("lasso", "elastic_net"):
+        return elastic_net(df, key or columns[0], outcome, columns, 1.0 if method == "lasso" else 0.5, size=n).select("variable", "score", "selected")
+    if method not in ("univariate", "mrmr"):
+        raise ValueError(f"no such method: {method}")
+    found = univariate(df, outcome, columns).select("variable", "score") if method == "univariate" else mrmr(df, outcome, columns, len(columns)).select("variable", "score", "rank")
+    order = ["rank"] if method == "mrmr" else [F.desc("score"), F.col("variable")]
+    return found.withColumn("_r", F.row_number().over(Window.orderBy(*order))).select("variable", "score", (F.col("_r") <= n).alias("selected"))  # one row a column
+
+
+def stability(df: DataFrame, key: str, outcome: str, columns: list[str], replicates: int = 10, size: int | None = None) -> DataFrame:
+    """variable, frequency: the share of ``replicates`` Poisson resamples, whose weights are a hash of key and replicate, in which analysis of
+    variance selects the column. All replicates are sums of one pass."""
+    n = min(len(columns), size or default_size(len(columns)))
+    rows = long(df.filter(F.col(outcome).isNotNull()), columns, [key, outcome]).filter("value IS NOT NULL")
+    u = (F.pmod(F.xxhash64(key, "replicate"), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    cuts = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])
+    weight = sum(((u > float(c)).cast("int") for c in cuts), F.lit(0))
+    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight).filter("w > 0")
+    cells = drawn.groupBy("replicate", "variable", outcome).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("value")).alias("s"), F.sum(F.col("w") * F.col("value") ** 2).alias("q"))
+    m = cells.groupBy("replicate", "variable").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), (F.sum(F.col("s") ** 2 / F.col("n")) - F.sum("s") ** 2 / F.sum("n")).alias("between"), (F.sum("q") - F.sum(F.col("s") ** 2 / F.col("n"))).alias("within"))
+    f = F.coalesce(F.col("between") / (F.col("k") - 1) / F.nullif(F.col("within") / (F.col("n") - F.col("k")), F.lit(0.0)), F.lit(0.0))
+    ranked = m.withColumn("r", F.row_number().over(Window.partitionBy("replicate").orderBy(f.desc(), "variable")))
+    return ranked.groupBy("variable").agg((F.count_if(F.col("r") <= n) / float(replicates)).alias("frequency"))

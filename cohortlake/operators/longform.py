@@ -38,6 +38,12 @@ def missing(column: str, df: DataFrame) -> F.Column:
     return F.col(f"`{column}`").isNull() | F.isnan(f"`{column}`") if kind in ("double", "float") else F.col(f"`{column}`").isNull()
 
 
+def correlation(x, y) -> F.Column:
+    """Pearson's r of rows that have both, null if either is constant there."""
+    both = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+    return F.covar_pop(x, y) / F.nullif(both, F.lit(0.0))
+
+
 def long(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
     """keep..., variable, value (double, null where missing)."""
     need(df, *columns, *keep)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import chi_square_sf
-from cohortlake.operators.longform import long, missing, moments, need, quantiles, value_counts as counted
+from cohortlake.operators.longform import correlation, long, missing, moments, need, quantiles, value_counts as counted
 
 
 def value_counts(df: DataFrame, column: str, top: int = 20) -> DataFrame:
@@ -96,7 +96,7 @@ def missing_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     need(df, *columns)
     x = {c: missing(c, df).cast("double") for c in columns}
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(*(F.corr(x[a], x[b]).alias(f"p{k}") for k, (a, b) in enumerate(pairs)))
+    row = df.agg(*(correlation(x[a], x[b]).alias(f"p{k}") for k, (a, b) in enumerate(pairs)))
     return row.select(F.inline(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(f"p{k}", F.lit(None).cast("double")).alias("r")) for k, (a, b) in enumerate(pairs)))))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.operators import comparison, evidence, findings, longitudinal, roles, verification
+from cohortlake.operators import comparison, dataset, evidence, features, findings, longitudinal, roles, verification
 from cohortlake.plans.queries import query, rounded, table
 from cohortlake.plans.tails import t_p
 
@@ -186,3 +186,39 @@ def claim_verification(spark, sf_dir):
     said = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat(CASE s_suppkey % 3 WHEN 0 THEN 'Cost' WHEN 1 THEN 'The age' ELSE 'Blood pressure' END, CASE WHEN s_suppkey % 2 = 0 THEN ' was significantly higher in those who died (p = 0.04).' ELSE ' did not show a difference, it was not significant.' END) AS claim")
     out = verification.verify(evidence.reported(said, "claim"), "claim", trial(spark, sf_dir), event="death_event", arm="trt_arm", time="follow_up_days")
     return rounded(out.select("s_suppkey", "variable", "family", "p", "verdict"))
+
+
+_SHOWN = "(SELECT o_orderkey AS subject_id, o_custkey AS site_id, o_totalprice AS price, o_totalprice / 2 + o_custkey % 50 AS half, 1.0 AS one, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 7 END AS week, o_orderstatus AS status FROM orders)"
+_FAR = "SELECT 'outlier', '{c}@' || subject_id, {c} FROM (SELECT subject_id, {c}, quantile_cont({c}, 0.25) OVER () AS a, quantile_cont({c}, 0.75) OVER () AS b FROM t) WHERE {c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a) QUALIFY row_number() OVER (ORDER BY abs({c} - (a + b) / 2) DESC, subject_id) <= 3"
+
+
+@query(
+    "dataset_evidence",
+    f"""WITH t AS (SELECT * FROM {_SHOWN}), e AS (SELECT 'missing' AS kind, 'week' AS subject, 100.0 * (count(*) - count(week)) / count(*) AS value FROM t UNION ALL SELECT 'repeated_id', 'site_id', sum(c) FROM (SELECT count(*) AS c FROM t GROUP BY site_id) WHERE c > 1
+    UNION ALL SELECT 'constant', 'one', min(one) FROM t HAVING count(DISTINCT one) = 1 {"".join(f" UNION ALL SELECT * FROM ({_FAR.format(c=c)})" for c in ("price", "half", "week"))}
+    UNION ALL SELECT 'top_correlations', '(price, half)', corr(price, half) FROM t UNION ALL SELECT 'top_correlations', '(price, week)', corr(price, week) FROM t UNION ALL SELECT 'top_correlations', '(half, week)', corr(half, week) FROM t
+    UNION ALL SELECT 'share', 'status=' || status, count(*) / (SELECT count(*) FROM t) FROM t GROUP BY status)
+    SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY abs(value) DESC, subject) - 1 AS place, subject, round(value, 6) AS value FROM e""",
+)
+def dataset_evidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS subject_id", "o_custkey AS site_id", "o_totalprice AS price", "o_totalprice / 2 + o_custkey % 50 AS half", "1D AS one", "CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 7 END AS week", "o_orderstatus AS status")
+    return rounded(dataset.evidence(rows, "subject_id").drop("citation"))
+
+
+_FIVE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+@query("selection_stability")
+def selection_stability(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").withColumn("key", F.concat_ws("-", "l_orderkey", "l_linenumber"))
+    return rounded(features.stability(rows, "key", "l_returnflag", _FIVE, size=3))
+
+
+@query(
+    "pair_strengths",
+    "WITH p AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, abs(corr({a}, {b})) AS v FROM lineitem" for i, a in enumerate(_FIVE) for b in _FIVE[i + 1 :])
+    + " UNION ALL SELECT 'l_returnflag', 'l_linestatus', sqrt(sum((o - e) * (o - e) / e) / (max(n) * 1)) FROM (SELECT coalesce(o, 0) AS o, ra * cb / n AS e, n FROM (SELECT l_returnflag AS r, count(*) AS ra FROM lineitem GROUP BY 1) CROSS JOIN (SELECT l_linestatus AS c, count(*) AS cb FROM lineitem GROUP BY 1) CROSS JOIN (SELECT count(*) AS n FROM lineitem) LEFT JOIN (SELECT l_returnflag AS r, l_linestatus AS c, count(*) AS o FROM lineitem GROUP BY 1, 2) USING (r, c))) SELECT a, b, round(v / max(v) OVER (), 6) AS strength FROM p",
+)
+def pair_strengths(spark, sf_dir):
+    return rounded(features.pair_strengths(table(spark, sf_dir, "lineitem"), _FIVE, ["l_returnflag", "l_linestatus"]))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions import distributions as dist
 from cohortlake.functions.columns import chi_square_sf, f_sf, two_sided_t
-from cohortlake.operators import association, claims, comparison, evidence, findings, guardrails, longitudinal, retrieval, roles, verification
+from cohortlake.operators import association, claims, comparison, evidence, findings, guardrails, longitudinal, profile, retrieval, roles, verification
 from cohortlake.operators.longform import quantiles, ranks, value_counts
 from cohortlake.sources import documents, tables
 
@@ -173,3 +173,11 @@ def test_sources(spark, tmp_path):
     assert [(r.name, r.source_type, r.content) for r in got] == [("r.md", "file", "# Report\nAge mattered.")]
     tables.append(tables.logged(spark.createDataFrame([("t", "x" * 3000)], "tool string, out string"), "r1", "out"), str(tmp_path / "log"))
     assert [(r.tool, len(r.out), r.run_id) for r in spark.read.parquet(str(tmp_path / "log")).collect()] == [("t", 2000, "r1")]
+
+
+def test_constant_and_empty_columns(spark):
+    df = spark.createDataFrame([(1.0, 2.0, None), (1.0, 3.0, None), (1.0, 5.0, None)], "one double, x double, gone double")
+    assert [(r.a, r.b, r.r, r.p) for r in association.correlation_tests(df, ["one", "x", "gone"]).collect()] == [("one", "x", None, None), ("one", "gone", None, None), ("x", "gone", None, None)]
+    s = {r.variable: r for r in profile.column_statistics(df, ["one", "x", "gone"]).collect()}
+    assert (s["gone"].n, s["gone"].nulls, s["gone"]["mean"], s["gone"].p50) == (0, 3, None, None) and (s["one"].sd, s["one"].skewness, s["one"].distinct) == (0.0, None, 1)
+    assert {r.variable: r.iqr for r in profile.outliers(df.union(df), ["one", "x", "gone"]).collect()} == {"one": 0, "x": 0}
