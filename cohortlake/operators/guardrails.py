@@ -170,7 +170,7 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, size: int) -> DataF
     counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_c"))
     total = counts.agg(F.sum("_c").alias("_t"))
     quota = counts.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.round(size * F.col("_c") / F.col("_t")).cast("int")).alias("_q"))  # total is one row
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(key), key))).filter(F.col("_r") <= size)
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key))).filter(F.col("_r") <= size)
     return ranked.join(quota, ranked[stratum].eqNullSafe(quota[stratum])).filter("_r <= _q").drop(quota[stratum]).drop("_r", "_q")
 
 

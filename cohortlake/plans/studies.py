@@ -237,7 +237,7 @@ def dummy_encoding(spark, sf_dir):
     return rounded(out.select("o_orderkey", *(c for c in out.columns if c.startswith("o_orderstatus_"))))
 
 
-@query("stratified_sample")
+@query("stratified_sample", "WITH q AS (SELECT o_orderstatus, greatest(1, CAST(round(500 * count(*) / (SELECT count(*) FROM orders)) AS INT)) AS q FROM orders GROUP BY 1), r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r FROM orders) SELECT o_orderkey, o_orderstatus FROM r JOIN q USING (o_orderstatus) WHERE r <= q")
 def stratified_sample(spark, sf_dir):
     return guardrails.stratified_sample(table(spark, sf_dir, "orders"), "o_orderkey", "o_orderstatus", 500).select("o_orderkey", "o_orderstatus")
 
