@@ -229,7 +229,7 @@ class Coder:
 def encode_decode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit), piece_ends (code points, the same form), decoded for every row.
 
-    Null and empty texts have no ids; repeated rows each get a row; an empty table gives no rows. ``vocabulary`` is the
+    Null and empty texts have no ids; very long texts are encoded whole; repeated rows each get a row; a null doc_id stays null; an empty table gives no rows. ``vocabulary`` is the
     path of a rank file on the driver; its bytes (fixed, under 1 MB) are broadcast. Other columns are not read.
     """
     Scratch(docs.sparkSession)

@@ -346,7 +346,7 @@ def grouped(docs: DataFrame, mark: F.Column, scratch: Scratch, members: int = 25
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text).
 
-    Null, empty and all-blank texts have 0 shingles and are alone. Repeated rows share a class. A null doc_id gets the
+    Null, empty and all-blank texts have 0 shingles and are alone; very long texts are read whole. Repeated rows share a class. A null doc_id gets the
     least id of its component, or null if there is none. An empty table gives no rows. Other columns are not read.
     """
     rows, named, ids = grouped(docs.select("doc_id", "text"), F.col("doc_id"), Scratch(docs.sparkSession))
@@ -359,7 +359,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component of ``docs``: the least by doc_id, nulls last, and then by a hash of the text.
 
     A row is known by a hash of id and text, so that neither a null id nor one with several texts stands for another
-    row. Null, empty and all-blank texts are alone: each stays, except that a repeated row with an id stays once.
+    row. Null, empty and all-blank texts are alone: each stays, except that a repeated row with an id stays once. Very long
+    texts are read whole; an empty table gives no rows; other columns stay as they are, but for the name ``_row``.
     """
     scratch = Scratch(docs.sparkSession)
     key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull().cast("string"), F.coalesce("text", F.lit("")), F.col("text").isNull().cast("string")))
