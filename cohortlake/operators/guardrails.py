@@ -230,3 +230,21 @@ def findings(df: DataFrame, key: str | None = None) -> DataFrame:
 def finding_summary(df: DataFrame, key: str | None = None) -> DataFrame:
     """check_type, severity, n of ``findings``."""
     return findings(df, key).groupBy("check_type", "severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def scatter(df: DataFrame, key: str, x: str, y: str, most: int = 500) -> DataFrame:
+    """key, x, y of ``most`` complete rows at most, those of the lowest md5 of their key, so that reruns agree."""
+    need(df, key, x, y)
+    rows = df.filter(~missing(x, df) & ~missing(y, df)).select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return rows.orderBy(F.md5(F.col("key").cast("string")), "key").limit(most)
+
+
+def grouped_histogram(df: DataFrame, column: str, group: str, bins: int = 20) -> DataFrame:
+    """group, bin (from 1), low, count: equal-width bins over the whole column, the last closed, counted by group; empty ones are left out."""
+    rows = long(df, [column], [group]).filter("value IS NOT NULL")
+    ends = rows.agg(F.min("value").alias("a"), F.max("value").alias("b"))
+    half = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
+    ends = F.broadcast(ends.select((F.col("a") - half).alias("a"), (F.col("b") + half).alias("b")))  # one row
+    width = (F.col("b") - F.col("a")) / bins
+    counts = rows.crossJoin(ends).groupBy(F.col(group).alias("group"), F.least(F.floor((F.col("value") - F.col("a")) / width) + 1, F.lit(bins)).alias("bin"), "a", "b").agg(F.count(F.lit(1)).alias("count"))
+    return counts.select("group", "bin", (F.col("a") + (F.col("bin") - 1) * width).alias("low"), "count")

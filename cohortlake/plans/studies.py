@@ -307,3 +307,13 @@ _KIND = "CASE " + " ".join("WHEN regexp_matches(lower(text), '{}') THEN {{}}".fo
 def evidence_strength(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("year", 2000 + F.col("doc_id") % 25)
     return rounded(claims.evidence_strength(docs, "text", "year", 2026).select("doc_id", "study_type", "sample_size", "strength", "strength_label"))
+
+
+@query("scatter", "SELECT p_partkey AS key, CAST(p_size AS DOUBLE) AS x, round(p_retailprice, 4) AS y FROM part ORDER BY md5(CAST(p_partkey AS VARCHAR)), p_partkey LIMIT 500")
+def scatter(spark, sf_dir):
+    return rounded(guardrails.scatter(table(spark, sf_dir, "part"), "p_partkey", "p_size", "p_retailprice"), 4)
+
+
+@query("grouped_histogram", 'WITH e AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT event_type AS "group", least(CAST(floor((value - a) / ((b - a) / 20)) AS BIGINT) + 1, 20) AS bin, round(a + (least(CAST(floor((value - a) / ((b - a) / 20)) AS BIGINT) + 1, 20) - 1) * (b - a) / 20, 4) AS low, count(*) AS count FROM events, e GROUP BY ALL')
+def grouped_histogram(spark, sf_dir):
+    return rounded(guardrails.grouped_histogram(table(spark, sf_dir, "events"), "value", "event_type"), 4)
