@@ -78,13 +78,13 @@ def best_fit_decreasing(runs: list[tuple[int, int]], capacity: int, most_bins: i
 
 
 def pack(runs: list[tuple[int, int]], bins: int) -> list[tuple[int, int, int]]:
-    """As ``best_fit_decreasing`` under the least capacity, to 1 in 1,000 of a share, that fits ``bins``."""
+    """As ``best_fit_decreasing`` under the least capacity, to 1 in 20,000 of a share, that fits ``bins``."""
     if not runs:
         return []
     low = max(-(-sum(s * n for s, n in runs) // bins), runs[0][0])
     if best := best_fit_decreasing(runs, low, bins):
         return best
-    high, step = low + runs[0][0], max(1, low // 1000)
+    high, step = low + runs[0][0], max(1, low // 20_000)
     while (best := best_fit_decreasing(runs, high, bins)) is None:
         high *= 2
     while high - low > step:
