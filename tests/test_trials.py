@@ -104,7 +104,7 @@ def test_pairing_takes_the_best_first(spark):
     right = [finding("x", "age", endpoint="survival", text="age raises mortality"), finding("y", "age", text="age"), finding("z", "sex", endpoint="mortality", text="older patients die")]
     pairs = comparison.candidates(*(spark.createDataFrame(s, KIND) for s in (left, right)))
     scores = {(p.l_key, p.r_key): p.score for p in pairs.collect()}
-    assert scores == pytest.approx({("a", "x"): 0.95, ("a", "y"): 0.5 + 0.05 + 0.05, ("b", "x"): 0.3, ("b", "z"): 0.45}) or scores[("a", "x")] == pytest.approx(0.95)
+    assert scores == pytest.approx({("a", "x"): 0.95, ("a", "y"): 0.5 + 0.05 + 0.05, ("b", "x"): 0.3, ("b", "z"): 0.45})
     chosen = comparison.assigned(pairs)
     assert {(p.l_key, p.r_key) for p in chosen.collect()} == {("a", "x"), ("b", "z")}
     assert [u.key for u in comparison.unmatched(spark.createDataFrame(left, KIND), chosen, "l").collect()] == ["c"]
@@ -132,7 +132,7 @@ def test_claims_as_they_are_written(spark):
 def test_names_are_read_by_words(spark):
     assert [guardrails.rule_for(c, guardrails.RANGES) and guardrails.rule_for(c, guardrails.RANGES)[0] for c in ("stage_1", "triage_code", "dosage_mg", "salt_g", "age_years", "alk.phos", "ALT (U/L)")] == [None, None, None, None, "age", "alk_phos", "alt"]
     df = spark.createDataFrame([(1, 5.0, i % 2, i % 3, None) for i in range(9)], "trt_arm int, `follow-up days` double, death_event int, site int, gone string")
-    assert roles.roles(df) == {"endpoint": "death_event", "arm": "site", "time": "follow-up days", "event": "trt_arm"} or roles.roles(df)["endpoint"] == "death_event"
+    assert roles.roles(df) == {"endpoint": "death_event", "arm": "site", "time": "follow-up days", "event": "death_event"}
     assert roles.kept_columns(df).columns == ["trt_arm", "follow-up days", "death_event", "site"] and "gone" in roles.kept_columns(df, ["gone"]).columns
     assert roles.protected(df, "Death Event", ["SITE"]) == ["death_event", "site"]
 
