@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.llm import bpe, infill, jaccard, language, licences, mixing, neardup, neighbours, pii, quality, sharding
+from cohortlake.llm import bpe, dialogue, infill, jaccard, language, licences, mixing, neardup, neighbours, pii, quality, sharding, suffixes
 from cohortlake.llm.work import read
 
 
@@ -51,9 +51,17 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(read(spark, sf_dir, "documents"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.fill_in_middle(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op5_neighbours, op6_near_duplicates, op7_jaccard, op8_quality, op9_mixing, op10_licences, op12_infill)}
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language, op2_pii, op3_sharding, op4_bpe, op5_neighbours, op6_near_duplicates, op7_jaccard, op8_quality, op9_mixing, op10_licences, op11_repeats, op12_infill, op13_dialogue)}
 SQL = {"op9_mixing": mixing.MIX_SQL, "op10_licences": licences.LICENCE_SQL, "op12_infill": infill.INFILL_SQL}
