@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import chi_square_sf, two_sided_normal, two_sided_t
 from cohortlake.operators.longform import correlation, moments, need, ranged, ranks, ranks_of
+from cohortlake.operators.order import Ranges
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,7 +135,9 @@ def pairwise(df: DataFrame, value: str, group: str) -> DataFrame:
     rows = df.select(F.col(value).cast("double").alias("value"), F.col(group).alias("g")).dropna()
     counts = rows.groupBy("value", "g").agg(F.count(F.lit(1)).alias("k"))
     groups = counts.groupBy("g").agg(F.sum("k").alias("n")).filter("n > 1")
-    names = [r.g for r in groups.select("g").orderBy("g").collect()]
+    names = sorted(r.g for r in groups.select("g").limit(501).collect())
+    if len(names) > 500:
+        raise ValueError("more than 500 groups: their pairs are no family of tests any more")
     pairs = df.sparkSession.createDataFrame([(i, x, y) for i, (x, y) in enumerate(combinations(names, 2))] or [], f"pair int, a {rows.schema['g'].dataType.simpleString()}, b {rows.schema['g'].dataType.simpleString()}")
     sides = pairs.select("pair", F.explode(F.array(F.struct(F.col("a").alias("g"), F.lit(1).alias("first")), F.struct(F.col("b").alias("g"), F.lit(0).alias("first")))).alias("s")).select("pair", "s.*")
     cells = counts.join(F.broadcast(sides), "g").groupBy("pair", "value").agg(F.sum(F.col("k") * F.col("first")).alias("ka"), F.sum("k").alias("c"))
@@ -161,21 +165,29 @@ def risk(df: DataFrame, outcome: str, arm: str, a, b) -> DataFrame:
 
 
 def adjust(df: DataFrame, p: str, key: str, family: list[str]) -> DataFrame:
-    """Adds bonferroni, bh and holm adjusted p-values within each family; ties of p by key. Holm steps down, so it takes
-    a running maximum."""
-    whole = Window.partitionBy(*family)
-    up = whole.orderBy(p, key)
-    m, rk = F.count(p).over(whole), F.row_number().over(up)
-    df = df.withColumn("m", m).withColumn("rk", rk)
-    raise_ = F.max(F.least(F.col(p) * (F.col("m") - F.col("rk") + 1), F.lit(1.0))).over(up.rowsBetween(Window.unboundedPreceding, 0))
-    fall = F.min(F.least(F.col(p) * F.col("m") / F.col("rk"), F.lit(1.0))).over(whole.orderBy(F.desc("rk")).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("bonferroni", F.least(F.col(p) * F.col("m"), F.lit(1.0))).withColumn("bh", fall).withColumn("holm", raise_).drop("m", "rk")
+    """Adds bonferroni, bh and holm adjusted p-values within each family; ties of p by key, rows without p have none and count nothing.
+
+    Ranks, Holm's running maximum and the running minimum of Benjamini and Hochberg are running sums over ranges of (family, p),
+    so a family may be of any size.
+    """
+    ranges = Ranges(df.filter(F.col(p).isNotNull()), family, [p, key])
+    names = [f"_f{i}" for i in range(len(family))]
+    whole = ranges.rows.groupBy(*(F.col(c).alias(n) for c, n in zip(family, names))).agg(F.count(F.lit(1)).alias("m"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(family, names)], F.lit(True))
+    ranked = ranges.running(ranges.rows.withColumn("_one", F.lit(1)), rk=("sum", "_one")).join(whole, same).drop("_one", *names)
+    step = ranked.withColumn("_up", F.least(F.col(p) * (F.col("m") - F.col("rk") + 1), F.lit(1.0))).withColumn("_down", F.least(F.col(p) * F.col("m") / F.col("rk"), F.lit(1.0)))
+    out = ranges.running(ranges.running(step, holm=("max", "_up")), reverse=True, bh=("min", "_down"))
+    out = out.select(*df.columns, F.least(F.col(p) * F.col("m"), F.lit(1.0)).alias("bonferroni"), "bh", "holm")
+    none = F.lit(None).cast("double")
+    return out.unionByName(df.filter(F.col(p).isNull()).select("*", *(none.alias(c) for c in ("bonferroni", "bh", "holm"))))
 
 
 def gate(df: DataFrame, p: str, key: str, primary: str, study: list[str], alpha: float = 0.05) -> DataFrame:
     """Adds adjusted and gated_out: Bonferroni on primary endpoints; secondary ones get BH if any primary is below
     alpha, else none."""
     tested = adjust(df, p, key, [*study, primary])
-    won = F.max(F.when(F.col(primary) & (F.col("bonferroni") < alpha), True).otherwise(False)).over(Window.partitionBy(*study))
-    tested = tested.withColumn("won", won)
-    return tested.withColumn("adjusted", F.when(F.col(primary), F.col("bonferroni")).when(F.col("won"), F.col("bh"))).withColumn("gated_out", ~F.col(primary) & ~F.col("won")).drop("won", "bonferroni", "bh", "holm")
+    names = [f"_s{i}" for i in range(len(study))]
+    won = tested.groupBy(*(F.col(c).alias(n) for c, n in zip(study, names))).agg(F.max(F.when(F.col(primary) & (F.col("bonferroni") < alpha), True).otherwise(False)).alias("won"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(study, names)], F.lit(True))
+    tested = tested.join(won, same)
+    return tested.withColumn("adjusted", F.when(F.col(primary), F.col("bonferroni")).when(F.col("won"), F.col("bh"))).withColumn("gated_out", ~F.col(primary) & ~F.col("won")).drop("won", "bonferroni", "bh", "holm", *names)

@@ -8,35 +8,27 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import distributions as dist
 from cohortlake.functions.columns import chi_square_sf, f_sf, fisher_p, two_sided_t
-from cohortlake.operators.longform import long, moments, need
+from cohortlake.operators.longform import long, moments, need, saved
+from cohortlake.operators.order import dominated
 
 
-def kendall(df: DataFrame, a: str, b: str, most_cells: int = 20_000_000) -> DataFrame:
-    """n, tau (b) of complete rows, from counts over the grid of distinct values.
-
-    Pairs below and left of a cell come from two cumulative windows over the grid, so the rows are read once. A grid of
-    more than ``most_cells`` is refused: bin such columns first.
-    """
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """n, tau (b) of complete rows, which collapse to cells of equal values first; agreeing pairs are counted by ``order.dominated``."""
     need(df, a, b)
-    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna()
-    cells = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    left, right = cells.groupBy("a").agg(F.sum("c").alias("ca")), cells.groupBy("b").agg(F.sum("c").alias("cb"))
-    if left.count() * right.count() > most_cells:
-        raise ValueError("too many distinct values for an exact Kendall tau")
-    grid = left.select("a").crossJoin(right.select("b")).join(cells, ["a", "b"], "left").fillna(0, ["c"])  # levels by levels, bounded above
-    under = F.coalesce(F.sum("c").over(Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    before = F.coalesce(F.sum("under").over(Window.partitionBy("b").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    agree = grid.withColumn("under", under).withColumn("before", before).agg(F.sum(F.col("c").cast("double") * F.col("before")).alias("agree"))
+    rows = df.select(F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).filter("NOT isnan(a) AND NOT isnan(b)").dropna()
+    cells = saved(rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")))
     pairs = lambda c: F.sum(F.col(c).cast("double") * (F.col(c) - 1) / 2)
-    whole = cells.agg(F.sum("c").alias("n"), pairs("c").alias("both")).crossJoin(left.agg(pairs("ca").alias("ta"))).crossJoin(right.agg(pairs("cb").alias("tb"))).crossJoin(agree)  # one row each
+    left, right = (cells.groupBy(c).agg(F.sum("c").alias("s")).agg(pairs("s").alias(f"t{c}")) for c in "ab")
+    agree = dominated(cells, ["a"], "b", "c", "c").select(F.col("total").cast("double").alias("agree"))
+    whole = cells.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), pairs("c").alias("both")).crossJoin(left).crossJoin(right).crossJoin(agree)  # one row each
     every = F.col("n").cast("double") * (F.col("n") - 1) / 2
     differ = every - F.col("ta") - F.col("tb") + F.col("both") - F.col("agree")
-    return whole.select("n", ((F.col("agree") - differ) / F.sqrt((every - F.col("ta")) * (every - F.col("tb")))).alias("tau"))
+    return whole.select("n", ((F.col("agree") - differ) / F.nullif(F.sqrt((every - F.col("ta")) * (every - F.col("tb"))), F.lit(0.0))).alias("tau"))
 
 
 def fisher(df: DataFrame, a: str, b: str) -> DataFrame:

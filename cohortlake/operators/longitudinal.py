@@ -6,11 +6,12 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import distributions as dist
 from cohortlake.operators.longform import need, saved
+from cohortlake.operators.order import Ranges, dominated
 
 
 def _levels(df: DataFrame, column: str, most: int = 50) -> list:
@@ -145,23 +146,25 @@ def completed(df: DataFrame, key: str, targets: list[str], predictors: list[str]
     return imputed(df, key, targets, predictors, 1, sweeps).drop("copy")
 
 
-def concordance(df: DataFrame, time: str, event: str, risk: str, bins: int = 64) -> DataFrame:
+def concordance(df: DataFrame, time: str, event: str, risk: str) -> DataFrame:
     """pairs, concordant, tied, c_index: of pairs of which the one with an event came first, the share in which it had the higher risk, ties half.
 
-    Risks of more than ``bins`` distinct values are binned by quantiles, and risks of one bin are tied. Times collapse to distinct ones, with counts
-    by bin; a bin's later rows come from a window over its times.
+    At one time, rows without an event outlive those with one. Rows collapse to cells of equal time, event and risk; pairs of
+    cells are counted by ``order.dominated``, those of equal risk and all comparable ones by running sums over ranges of times.
     """
-    rows = df.select(F.col(time).cast("double").alias("t"), F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("e"), F.col(risk).cast("double").alias("r")).dropna().filter("t > 0")
-    few = [x[0] for x in rows.select("r").distinct().limit(bins + 1).collect()]
-    cuts = sorted(few) if len(few) <= bins else sorted({*rows.agg(F.percentile_approx("r", [k / bins for k in range(1, bins)])).first()[0]})
-    cells = rows.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("r")))).groupBy("t", "bin").agg(F.sum("e").alias("d"), F.count(F.lit(1)).alias("c"))
-    size = len(cuts) + 1
-    grid = cells.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("d", "c")))).alias("m"))  # at most ``bins`` entries
-    grid = grid.select("t", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.try_element_at("m", b))).alias("bin", "x")).select("t", "bin", F.coalesce("x.d", F.lit(0)).alias("d"), F.coalesce("x.c", F.lit(0)).alias("c"))
-    later = Window.partitionBy("bin").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
-    # at one time, rows without an event outlive those with one
-    grid = grid.withColumn("after", F.coalesce(F.sum("c").over(later), F.lit(0)) + F.col("c") - F.col("d"))
-    below = Window.partitionBy("t").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("lower", F.coalesce(F.sum("after").over(below), F.lit(0))).withColumn("all", F.sum("after").over(Window.partitionBy("t")))
-    s = grid.filter("d > 0").agg(F.coalesce(F.sum(F.col("d") * F.col("all")), F.lit(0)).alias("pairs"), F.coalesce(F.sum(F.col("d") * F.col("lower")), F.lit(0)).alias("concordant"), F.coalesce(F.sum(F.col("d") * F.col("after")), F.lit(0)).alias("tied"))
-    return s.withColumn("c_index", (F.col("concordant") + 0.5 * F.col("tied")) / F.nullif("pairs", F.lit(0)))
+    need(df, time, event, risk)
+    rows = df.select(F.col(time).cast("double").alias("t"), (F.coalesce(F.col(event).cast("int"), F.lit(0)) == 0).cast("int").alias("out"), (-F.col(risk).cast("double")).alias("r")).filter("NOT isnan(r)").dropna().filter("t > 0")
+    cells = saved(rows.groupBy("t", "out", "r").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("out") == 0).alias("d")))
+
+    def later(by: list[str]) -> DataFrame:
+        """Sum of events times rows that stand after them, in the groups of ``by``."""
+        each = cells.groupBy(*by, "t", "out").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
+        ranges = Ranges(each, by, ["t", "out"])
+        return ranges.running(ranges.rows, reverse=True, upto=("sum", "c")).agg(F.coalesce(F.sum(F.col("d").cast("decimal(19,0)") * (F.col("upto") - F.col("c")).cast("decimal(19,0)")).cast("decimal(38,0)"), F.lit(0)).alias("total"))
+
+    parts = {"pairs": later([]), "concordant": dominated(cells, ["t", "out"], "r", "d", "c"), "tied": later(["r"])}
+    one = None
+    for name, part in parts.items():
+        part = part.select(F.col("total").cast("long").alias(name))
+        one = part if one is None else one.crossJoin(part)  # one row each
+    return one.withColumn("c_index", (F.col("concordant") + 0.5 * F.col("tied")) / F.nullif("pairs", F.lit(0)))

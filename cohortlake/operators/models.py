@@ -6,12 +6,13 @@ import math
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import distributions as dist
 from cohortlake.operators import regression
 from cohortlake.operators.longform import need, saved
+from cohortlake.operators.order import Ranges
 
 
 def _linear(cols: list[str], beta) -> F.Column:
@@ -64,8 +65,8 @@ def logistic(df: DataFrame, y: str, xs: list[str], steps: int = 25, tol: float =
 def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30, tol: float = 1e-9) -> DataFrame:
     """term, coef, hazard_ratio, se, z, p, n, events, log_likelihood, with Efron's ties; rows need a positive time.
 
-    Each Newton step sums weights by distinct time first; the window that cumulates risk sets then runs over distinct
-    times only. Tied events are spread over their own rows, so a step costs one pass and as many rows as events.
+    Each Newton step sums weights by distinct time first; risk sets are running sums over ranges of distinct times. Tied events
+    are spread over their own rows, so a step costs one pass and as many rows as events.
     """
     need(df, time, event, *xs)
     k = len(xs)
@@ -73,15 +74,16 @@ def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30, to
     means = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_e").alias("events"), *(F.avg(c).alias(c) for c in xs)).first()
     if not means["events"]:
         raise ValueError("no events")
-    rows = rows.select("_t", "_e", *((F.col(c) - float(means[c])).alias(c) for c in xs))
+    times = Ranges(rows.select("_t").distinct(), [], ["_t"])  # each step reads rows with the range of their time
+    rows = saved(rows.select("_t", "_e", *((F.col(c) - float(means[c])).alias(c) for c in xs)).join(times.rows, "_t"))
     pairs = [(i, j) for i in range(k) for j in range(k) if i <= j]
-    beta, later = np.zeros(k), Window.orderBy(F.desc("_t")).rowsBetween(Window.unboundedPreceding, 0)
+    beta = np.zeros(k)
     for _ in range(steps):
         r = F.exp(_linear(xs, beta))
         terms = {"r": r, **{f"x{i}": r * F.col(c) for i, c in enumerate(xs)}, **{f"q{i}_{j}": r * F.col(xs[i]) * F.col(xs[j]) for i, j in pairs}}
         dead = F.col("_e") == 1
-        at = rows.groupBy("_t").agg(F.sum("_e").alias("d"), F.sum(F.when(dead, _linear(xs, beta)).otherwise(0.0)).alias("fit"), *(F.sum(F.when(dead, F.col(c)).otherwise(0.0)).alias(f"m{i}") for i, c in enumerate(xs)), *(F.sum(v).alias(f"R{n}") for n, v in terms.items()), *(F.sum(F.when(dead, v).otherwise(0.0)).alias(f"D{n}") for n, v in terms.items()))
-        at = at.select("_t", "d", "fit", *(f"m{i}" for i in range(k)), *(f"D{n}" for n in terms), *(F.sum(f"R{n}").over(later).alias(f"R{n}") for n in terms)).filter("d > 0")
+        at = rows.groupBy("_t", "_range").agg(F.sum("_e").alias("d"), F.sum(F.when(dead, _linear(xs, beta)).otherwise(0.0)).alias("fit"), *(F.sum(F.when(dead, F.col(c)).otherwise(0.0)).alias(f"m{i}") for i, c in enumerate(xs)), *(F.sum(v).alias(f"O{n}") for n, v in terms.items()), *(F.sum(F.when(dead, v).otherwise(0.0)).alias(f"D{n}") for n, v in terms.items()))
+        at = times.running(at, reverse=True, **{f"R{n}": ("sum", f"O{n}") for n in terms}).filter("d > 0")
         tied = at.withColumn("l", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)))
         share = F.col("l") / F.col("d")
         tied = tied.select("l", "fit", *(f"m{i}" for i in range(k)), *((F.col(f"R{n}") - share * F.col(f"D{n}")).alias(n) for n in terms))

@@ -1,28 +1,32 @@
-"""Survival: rows collapse to distinct times before any ordered window."""
+"""Survival: rows collapse to distinct times, which running sums over ranges put in order."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.functions import distributions as dist
+from cohortlake.operators.order import Ranges
+
+
+def _at_risk(df: DataFrame, time: str, event: str, group: str) -> tuple[Ranges, DataFrame]:
+    """Ranges of the distinct positive times of every group, and their rows (g, t, d, c, n): n is a sum over this time and all later ones."""
+    rows = df.filter(F.col(time) > 0).groupBy(F.col(group).alias("g"), F.col(time).cast("double").alias("t")).agg(F.sum(F.coalesce(F.col(event).cast("int"), F.lit(0))).alias("d"), F.count(F.lit(1)).alias("c"))
+    ranges = Ranges(rows, ["g"], ["t"])
+    return ranges, ranges.running(ranges.rows, reverse=True, n=("sum", "c"))
 
 
 def risk_table(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """g, t, d (events), n (at risk) for every distinct positive time of every group; a null event counts as none."""
-    rows = df.filter(F.col(time) > 0).groupBy(F.col(group).alias("g"), F.col(time).cast("double").alias("t")).agg(F.sum(F.coalesce(F.col(event).cast("int"), F.lit(0))).alias("d"), F.count(F.lit(1)).alias("c"))
-    later = Window.partitionBy("g").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("n", F.sum("c").over(later)).drop("c")
+    return _at_risk(df, time, event, group)[1].select("g", "t", "d", "n")
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
-    """g, t, d, n, survival after each time with an event."""
-    table = risk_table(df, time, event, group).filter("d > 0")
-    upto = Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    dead = F.max((F.col("d") == F.col("n")).cast("int")).over(upto) == 1
-    curve = F.exp(F.sum(F.when(F.col("d") < F.col("n"), F.log(1 - F.col("d") / F.col("n"))).otherwise(0.0)).over(upto))
-    return table.withColumn("survival", F.when(dead, 0.0).otherwise(curve))
+    """g, t, d, n, survival after each time with an event: the product of the shares that survive each time up to it."""
+    ranges, table = _at_risk(df, time, event, group)
+    curve = ranges.running(table.filter("d > 0"), survival=("product", 1 - F.col("d") / F.col("n")))
+    return curve.select("g", "t", "d", "n", "survival")
 
 
 def median_survival(curve: DataFrame) -> DataFrame:
@@ -38,19 +42,15 @@ def log_rank(df: DataFrame, time: str, event: str, group: str) -> DataFrame:
     """
     rows = df.filter(F.col(time) > 0).select(F.col(group).cast("string").alias("g"), F.col(time).cast("double").alias("t"), F.coalesce(F.col(event).cast("int"), F.lit(0)).alias("e")).dropna()
     each = rows.groupBy("g", "t").agg(F.sum("e").alias("d"), F.count(F.lit(1)).alias("c"))
-    names = sorted(r.g for r in each.select("g").distinct().collect())  # one row a group
+    names = sorted(r.g for r in each.select("g").distinct().limit(201).collect())  # a row a group, 201 at most
     k = len(names)
+    if k > 200:
+        raise ValueError("more than 200 groups: their covariances are one matrix")
     if k < 2:
         return df.sparkSession.createDataFrame([(k, None, None, None)], "groups long, chi2 double, df long, p double")
     wide = each.groupBy("t").agg(*(F.sum(F.when(F.col("g") == g, F.col(c)).otherwise(0)).alias(f"{c}{i}") for i, g in enumerate(names) for c in "dc"))
-    later = Window.partitionBy("range").orderBy("t").rowsBetween(0, Window.unboundedFollowing)
-    # ranges of times, so that no window holds all of them
-    cuts = wide.agg(F.percentile_approx("t", [j / 64 for j in range(1, 64)])).first()[0]
-    wide = wide.withColumn("range", F.size(F.filter(F.array(*map(F.lit, sorted({*cuts}))), lambda c: c < F.col("t"))))
-    sums = wide.groupBy("range").agg(*(F.sum(f"c{i}").alias(f"s{i}") for i in range(k)))
-    after = Window.orderBy("range").rowsBetween(1, Window.unboundedFollowing)  # 64 rows
-    sums = sums.select("range", *(F.coalesce(F.sum(f"s{i}").over(after), F.lit(0)).alias(f"r{i}") for i in range(k)))
-    at = wide.join(F.broadcast(sums), "range").select(*(f"d{i}" for i in range(k)), *((F.sum(f"c{i}").over(later) + F.col(f"r{i}")).alias(f"n{i}") for i in range(k)))
+    ranges = Ranges(wide, [], ["t"])
+    at = ranges.running(ranges.rows, reverse=True, **{f"n{i}": ("sum", f"c{i}") for i in range(k)})
     nt, dt = sum((F.col(f"n{i}") for i in range(k)), F.lit(0)), sum((F.col(f"d{i}") for i in range(k)), F.lit(0))
     at = at.withColumn("nt", nt).withColumn("dt", dt).filter("dt > 0")
     spread = F.when(F.col("nt") > 1, F.col("dt") * (F.col("nt") - F.col("dt")) / (F.col("nt") - 1)).otherwise(0.0)

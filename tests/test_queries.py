@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cohortlake.plans import studies, texts, trials  # noqa: F401 - add their queries
+from cohortlake.plans import ordered, studies, texts, trials  # noqa: F401 - add their queries
 from cohortlake.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
