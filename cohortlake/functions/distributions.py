@@ -109,3 +109,35 @@ def t_test_power(d: float | None, n1: float, n2: float, alpha: float = 0.05) ->
     df, shift = n1 + n2 - 2, abs(d) * math.sqrt(n1 * n2 / (n1 + n2))
     edge = t_quantile(alpha, df)
     return min(1.0, noncentral_t_sf(edge, df, shift) + noncentral_t_sf(edge, df, -shift))
+
+
+def one_sample_power(d: float | None, n: float, alpha: float = 0.05) -> float | None:
+    """Power of a two-sided one-sample or paired t test for a standardised effect d."""
+    if d is None or n is None or d != d or n != n or n < 2:
+        return None
+    shift, edge = abs(d) * math.sqrt(n), t_quantile(alpha, n - 1)
+    return min(1.0, noncentral_t_sf(edge, n - 1, shift) + noncentral_t_sf(edge, n - 1, -shift))
+
+
+def t_test_size(d: float | None, wanted: float, alpha: float = 0.05, kind: str = "two-sample", most: float = 1e12) -> int | None:
+    """Rows (a group, if two) that give a two-sided t test of a standardised effect d the power ``wanted``, to the nearest one; null for no
+    effect, or beyond ``most``. The bracket that holds the answer shrinks by false position, halved where that is slow."""
+    if d is None or d != d or d == 0:
+        return None
+    power = (lambda n: t_test_power(d, n, n, alpha)) if kind == "two-sample" else (lambda n: one_sample_power(d, n, alpha))
+    low, high = 2.0, 4.0
+    if power(low) >= wanted:
+        return 2
+    while power(high) < wanted:
+        low, high = high, high * 2
+        if low > most:
+            return None
+    f_low, f_high = power(low) - wanted, power(high) - wanted
+    for step in range(200):
+        if high - low < 1e-3:
+            break
+        guess = low + (high - low) * f_low / (f_low - f_high) if step % 3 and f_low != f_high else (low + high) / 2
+        guess = min(max(guess, low + 1e-4 * (high - low)), high - 1e-4 * (high - low))
+        f = power(guess) - wanted
+        low, f_low, high, f_high = (guess, f, high, f_high) if f < 0 else (low, f_low, guess, f)
+    return round((low + high) / 2)

@@ -1,17 +1,13 @@
-"""Findings: which test, endpoint types, corrections and the gate, categories and sentences; and the whole analysis of a trial table."""
+"""Findings: which test, endpoint types, corrections and the gate."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlake.operators import association as assoc
-from cohortlake.operators import inference, profile, survival
-from cohortlake.operators.guardrails import numeric_columns
+from cohortlake.operators import inference
 from cohortlake.operators.longform import need
-from cohortlake.operators.roles import plain, roles
 
 # Names that are an outcome or a follow-up time themselves.
 OUTCOME_NAMES = ["deathevent", "death", "mortality", "status", "event", "outcome", "survival", "survived"]
@@ -51,83 +47,3 @@ def corrected(findings: DataFrame, key: str, p: str, study: list[str], alpha: fl
     rows = findings.filter(F.col(p).isNotNull()).withColumn("_primary", F.col("endpoint_type") == "primary")
     out = assoc.gate(rows, p, key, "_primary", study, alpha).drop("_primary")
     return out.withColumn("significant", F.coalesce(F.col("adjusted") < alpha, F.lit(False)))
-
-
-def described(findings: DataFrame, variable: str, effect: str) -> DataFrame:
-    """Adds category, direction and sentence: outcome-like variables are artifacts, follow-up times notes; the others are associations if
-    significant, else negative ones; direction is the sign of the effect."""
-    name = F.regexp_replace(F.lower(variable), "[^a-z0-9]+", "")
-    category = F.when(name.isin(OUTCOME_NAMES), "artifact").when(name.isin(FOLLOW_UP_NAMES), "note").when(F.col("significant"), "clinical_association").otherwise("negative_association")
-    way = F.when(F.col(effect) > 0, "positive").when(F.col(effect) < 0, "negative")
-    said = F.when(F.col("significant") & way.isNotNull(), F.concat(F.col(variable), F.lit(" is "), F.when(way == "positive", "higher").otherwise("lower"), F.lit(" with the outcome."))).otherwise(F.concat(F.col(variable), F.lit(" shows no significant difference.")))
-    return findings.withColumn("category", category).withColumn("direction", way).withColumn("sentence", said)
-
-
-def screening_candidates(df: DataFrame, time: str | None, event: str, arm: str | None, subject: str | None) -> list[str]:
-    """Numeric columns but time, event, arm, subject and those named like an outcome or a follow-up time."""
-    out = {time, event, arm, subject}
-    return [c for c in numeric_columns(df) if c not in out and plain(c) not in OUTCOME_NAMES + FOLLOW_UP_NAMES]
-
-
-@dataclass
-class Analysis:
-    """What to analyse; whatever is not given is derived from names and values."""
-
-    arm: str | None = None
-    outcome: str | None = None
-    time: str | None = None
-    event: str | None = None
-    subject: str | None = None
-    predictors: list[str] = field(default_factory=list)
-    primary: list[str] = field(default_factory=list)
-    subgroups: list[str] = field(default_factory=list)
-
-    def derived(self, df: DataFrame) -> Analysis:
-        if self.arm and self.outcome and (self.predictors or not self.event):
-            return self
-        found = roles(df)
-        arm, event = self.arm or found["arm"], self.event or found["event"]
-        time = self.time or found["time"]
-        predictors = self.predictors or (screening_candidates(df, time, event, arm, self.subject) if event else [])
-        return Analysis(arm, self.outcome, time, event, self.subject, predictors, self.primary, self.subgroups)
-
-
-def analyse(df: DataFrame, config: Analysis | None = None, alpha: float = 0.05) -> DataFrame:
-    """variable, stage, test, n, statistic, effect, p, endpoint_type, adjusted, gated_out, significant, category, direction, sentence.
-
-    Stage 1 checks the integrity of the table (digit preference of the numeric columns, balance of the arms at baseline); stage 2 compares the
-    outcome between arms and within subgroups, survival between arms if there are a time and an event, and screens the predictors of the event;
-    stage 3 corrects the p-values of stage 2 for each other. The stages are aggregates over one table, put together as one table of findings.
-    """
-    c = (config or Analysis()).derived(df)
-    arms = [r[0] for r in df.select(c.arm).filter(F.col(c.arm).isNotNull()).distinct().orderBy(c.arm).limit(2).collect()] if c.arm else []
-    parts, none = [], F.lit(None).cast("double")
-    columns = c.predictors or [x for x in numeric_columns(df) if x not in (c.arm, c.time, c.event, c.subject, c.outcome)]
-    row = lambda d, stage, test, n, statistic, effect, p: d.select("variable", F.lit(stage).alias("stage"), F.lit(test).alias("test"), F.col(n).cast("long").alias("n"), statistic.cast("double").alias("statistic"), effect.cast("double").alias("effect"), p.cast("double").alias("p"))
-    if columns:
-        parts.append(row(profile.digit_preference(df, columns), 1, "digit_preference", "n", F.col("chi2"), none, F.col("p")))
-    if columns and len(arms) == 2:
-        balance = profile.balance(df.filter(F.col(c.arm).isin(*arms)), c.arm, columns).withColumn("n", F.col("n_1") + F.col("n_2"))
-        parts.append(row(balance, 1, "balance", "n", F.col("smd"), F.col("smd"), none))
-    if c.outcome and len(arms) == 2:
-        w = assoc.welch(df, c.outcome, c.arm, *arms).withColumn("variable", F.lit(c.outcome)).withColumn("n", F.col("n_a") + F.col("n_b"))
-        parts.append(row(w, 2, "welch", "n", F.col("t"), F.col("cohens_d"), F.col("p")))
-        if c.subgroups:
-            s = inference.subgroups(df, c.outcome, c.arm, c.subgroups, *arms).withColumn("variable", F.concat_ws("=", "subgroup", "level")).withColumn("n", F.col("n_a") + F.col("n_b"))
-            parts.append(row(s, 2, "subgroup", "n", F.col("t"), F.col("cohens_d"), F.col("p")))
-    if c.time and c.event and len(arms) == 2:
-        l = survival.log_rank(df.filter(F.col(c.arm).isin(*arms)), c.time, c.event, c.arm).withColumn("variable", F.lit(c.arm))
-        parts.append(row(l, 2, "log_rank", "groups", F.col("chi2"), none, F.col("p")))
-    if c.event and c.predictors:
-        s = inference.screen(df, c.event, c.predictors).withColumn("n", F.col("n_a") + F.col("n_b"))
-        parts.append(row(s, 2, "screening", "n", F.col("t"), F.col("cohens_d"), F.col("p")))
-    if not parts:
-        raise ValueError("nothing to analyse: name an arm, an outcome or an event")
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.union(part)
-    found = endpoint_types(found.withColumn("key", F.concat_ws(":", "stage", "test", "variable")).withColumn("family", F.col("stage") == 2), "variable", c.primary or ([c.outcome] if c.outcome else []))
-    tested = corrected(found.filter("family"), "key", "p", ["stage"], alpha)
-    rest = found.filter(~F.col("family")).withColumn("adjusted", none).withColumn("gated_out", F.lit(False)).withColumn("significant", F.coalesce(F.col("p") < alpha, F.abs("effect") > 0.1, F.lit(False)))
-    names = ["variable", "stage", "test", "n", "statistic", "effect", "p", "endpoint_type", "adjusted", "gated_out", "significant"]
-    return described(tested.select(*names).union(rest.select(*names)), "variable", "effect")

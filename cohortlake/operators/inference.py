@@ -252,3 +252,18 @@ def power(findings: DataFrame, effect: str, n1: str, n2: str, alpha: float = 0.0
 
     out = findings.withColumn("power", F.nanvl(achieved(F.col(effect).cast("double"), F.col(n1).cast("double"), F.col(n2).cast("double")), F.lit(None).cast("double")))
     return out.withColumn("power_class", F.when(F.col("power") >= 0.8, "well").when(F.col("power") >= 0.6, "moderate").when(F.col("power").isNotNull(), "low"))
+
+
+def sample_sizes(findings: DataFrame, effect: str, alpha: float = 0.05, kind: str = "two-sample") -> DataFrame:
+    """Adds n_80 and n_90: rows (a group, if two) for a power of 80 and 90 % at each standardised effect; kind is two-sample, one-sample or paired."""
+    if kind not in ("two-sample", "one-sample", "paired"):
+        raise ValueError("kind is two-sample, one-sample or paired")
+
+    def size(wanted: float):
+        @F.pandas_udf("long")
+        def rows(d: pd.Series) -> pd.Series:
+            return pd.Series([dist.t_test_size(x, wanted, alpha, kind) for x in d], dtype="Int64")
+
+        return rows(F.col(effect).cast("double"))
+
+    return findings.withColumn("n_80", size(0.8)).withColumn("n_90", size(0.9))

@@ -115,6 +115,35 @@ def ancova(df: DataFrame, outcome: str, arm: str, covariates: list[str], a, b) -
     return df.sparkSession.createDataFrame([(own["coef"], own["se"], own["t"], own["p"], base, base + own["coef"], own["n"], own["r2"])], "coef double, se double, t double, p double, mean_a double, mean_b double, n long, r2 double")
 
 
+def ancova_arms(df: DataFrame, outcome: str, arm: str, covariates: list[str], arms: list, interaction: bool = False) -> DataFrame:
+    """term, coef, se, t, p, low, high, mean, n, r2 of the outcome on any number of arms (the first of ``arms`` as reference) and covariates,
+    with arm by covariate terms if asked for: HC3 errors. Terms are ``arm[b]``, covariates, ``arm[b]:covariate``; the reference's row is
+    ``arm[a]`` with coefficient 0. mean is an arm's adjusted mean, at the covariates' means."""
+    need(df, outcome, arm, *covariates)
+    if len(arms) < 2:
+        raise ValueError("two arms are needed")
+    number = {c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in (outcome, *covariates)}
+    rows = df.filter(F.col(arm).isin(*arms)).select(F.col(arm).alias("_arm"), *(number[c].alias(f"_{i}") for i, c in enumerate((outcome, *covariates)))).dropna()
+    names = [f"_{i + 1}" for i in range(len(covariates))]
+    centre = rows.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in names)).first()
+    if not centre["n"]:
+        raise ValueError("no complete rows")
+    # about their means, so that products do not cancel and the reference's mean is the intercept
+    moved = {c: F.col(c) - float(centre[c]) for c in names}
+    is_ = {f"_is{k}": (F.col("_arm") == b).cast("double") for k, b in enumerate(arms[1:])}
+    both = {f"{i}{c}": x * moved[c] for i, x in is_.items() for c in names} if interaction else {}
+    design = rows.select("_0", *(x.alias(n) for n, x in {**is_, **moved, **both}.items()))
+    fit = {r["term"]: r for r in regression.ols(design, "_0", [*is_, *names, *both]).collect()}  # one row a term
+    said = {f"_is{k}": f"{arm}[{b}]" for k, b in enumerate(arms[1:])} | dict(zip(names, covariates))
+    said |= {f"{i}{c}": f"{said[i]}:{said[c]}" for i in is_ for c in names} if interaction else {}
+    base, any_ = fit["intercept"]["coef"], fit["intercept"]
+    out = [(f"{arm}[{arms[0]}]", 0.0, None, None, None, None, None, base, any_["n"], any_["r2"])]
+    for term, name in said.items():
+        r = fit[term]
+        out.append((name, r["coef"], r["se"], r["t"], r["p"], r["low"], r["high"], base + r["coef"] if term in is_ else None, r["n"], r["r2"]))
+    return df.sparkSession.createDataFrame(out, "term string, coef double, se double, t double, p double, low double, high double, mean double, n long, r2 double")
+
+
 def little(df: DataFrame, columns: list[str]) -> DataFrame:
     """chi2, df, p, patterns: whether values are missing completely at random (p of 0.05 and more), from the means of each
     pattern of missingness, at most 2 to the number of columns (15 at most)."""

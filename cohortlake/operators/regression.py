@@ -49,5 +49,5 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
     like = n * (math.log(2 * math.pi * rss / n) + 1) if rss > 0 else None
     f = ((total - rss) / (k - 1)) / (rss / free) if k > 1 and rss > 0 else None
     model = (n, r2, None if r2 is None else 1 - (1 - r2) * (n - 1) / free, None if like is None else like + 2 * k, None if like is None else like + k * math.log(n), f, None if f is None else dist.f_sf(f, k - 1, free))
-    out = [("intercept" if c == "_one" else c, float(b), float(s), float(b / s), float(dist.t_two_sided(float(b / s), free)), float(b - edge * s), float(b + edge * s), *model) for c, b, s in zip(cols, beta, se)]
+    out = [("intercept" if c == "_one" else c, float(b), float(s), float(b / s) if s > 0 else None, float(dist.t_two_sided(float(b / s), free)) if s > 0 else None, float(b - edge * s), float(b + edge * s), *model) for c, b, s in zip(cols, beta, se)]
     return df.sparkSession.createDataFrame(out, "term string, coef double, se double, t double, p double, low double, high double, n long, r2 double, adjusted_r2 double, aic double, bic double, f double, f_p double")

@@ -61,12 +61,6 @@ def gated_endpoints(spark, sf_dir):
     return rounded(findings.corrected(findings.endpoint_types(rows, "k", [1, 2, 74]), "k", "p", ["study"]))
 
 
-@query("trial_analysis")
-def trial_analysis(spark, sf_dir):
-    config = findings.Analysis(arm="trt_arm", outcome="cost", subject="subject", time="follow_up_days", event="death_event", predictors=["age", "cost"], primary=["cost"], subgroups=["site"])
-    return rounded(findings.analyse(trial(spark, sf_dir), config), 4)
-
-
 def _side(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     """Findings of a report on each line number: does the quantity of a brand differ?"""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").selectExpr("p_partkey AS l_partkey", "p_brand"), "l_partkey")
