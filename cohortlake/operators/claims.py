@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections import deque
 
 import numpy as np
@@ -28,16 +29,31 @@ STUDIES = [
     ("observational", 12, r"case.?control|observational|cross.?sectional"),
     ("case study", 4, r"case.?report|case.?series|case.?study"),
 ]
-# How a study tells its size, and the kinds of test with the phrases that name them, first match wins; all of a group must be there.
-SAMPLE_SIZE = r"\b(?:n ?= ?|sample (?:size )?(?:of )?|enrolled |included |participants? ?[=:] ?)([0-9][0-9,]*)"
+# What comes before a study's size.
+SIZE_WORDS = ["n =", "sample", "sample of", "sample size", "sample size of", "enrolled", "included", "participant =", "participant :", "participants =", "participants :"]
+# The kinds of test with the phrases that name them, first match wins; all of a group must be there.
 FAMILIES = [
     ("baseline_balance", [["baseline"], ["balance", "smd"]]), ("correlation", [["correlat"]]), ("cox_survival_predictor", [["cox", "hazard"]]), ("kaplan_meier_logrank", [["log-rank", "log rank", "kaplan"]]),
     ("logistic_regression", [["odds ratio", "logistic"]]), ("binary_categorical_association", [["associat", "relationship"]]),
     ("continuous_group_difference", [["difference", "differed", "higher", "lower", "increased", "decreased", "between"]]),
 ]
-#: A signed number, and an interval: its name, what introduces it, and two numbers with a comma, "to" or a dash between them.
-NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?(?:e-?[0-9]+)?)"
-INTERVAL = rf"(?i)\b(?:CI|confidence interval)\b[^0-9-]{{0,8}}{NUMBER}\s*(?:[,;–-]|to)\s*{NUMBER}"
+#: A signed number, which may begin with its point; and an interval: its name, what introduces it, and two numbers with a comma, "to" or a dash between them.
+NUMBER = r"([+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:e[+-]?[0-9]+)?)"
+INTERVAL = rf"(?i)\b(?:CI|confidence interval)\b[^0-9.+-]{{0,8}}{NUMBER}\s*(?:[,;–-]|to)\s*{NUMBER}"
+
+
+def introduced(phrases: list[str], what: str) -> str:
+    """A pattern for ``what`` after any of the phrases: blanks, one at least, stand between words, and as many as one likes around signs."""
+    def spaced(phrase: str) -> str:
+        out = ""
+        for part in phrase.split():
+            out += ("" if not out else r"\s+" if part.isalpha() else r"\s*") + re.escape(part)
+        return out + (r"\s+" if phrase[-1].isalpha() else r"\s*")
+
+    return rf"\b(?:{'|'.join(map(spaced, sorted(phrases, key=len, reverse=True)))}){what}"
+
+
+SAMPLE_SIZE = introduced(SIZE_WORDS, "([0-9][0-9,]*)")
 
 
 def says(text, phrases: list[str]) -> F.Column:
@@ -49,7 +65,10 @@ def split_claims(reports: DataFrame, key: str, text: str, long_line: int = 180,
     """key, line, part, claim: each line without its bullet, long ones cut at sentence ends, of ``words`` words at least."""
     need(reports, key, text)
     lines = reports.filter(F.col(text).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("line", "l"))
-    bare = F.trim(F.regexp_replace("l", r"^[ \t]*(?:[•*-]|[0-9]+[.)])[ \t]+", ""))
+    # a first word that is a mark or a number with a point or bracket is no part of the line
+    word = F.split(F.ltrim("l"), r"\s+", 2)
+    marked = word[0].isin("•", "*", "-") | word[0].rlike(r"^[0-9]+[.)]$")
+    bare = F.trim(F.when(marked & (F.size(word) > 1), F.try_element_at(word, F.lit(2))).otherwise(F.col("l")))
     parts = lines.select(key, "line", bare.alias("l")).select(key, "line", F.posexplode(F.when(F.length("l") >= long_line, F.split("l", r"(?<=[.!?])\s+")).otherwise(F.array("l"))).alias("part", "c"))
     claim = F.trim("c")
     return parts.select(key, "line", "part", claim.alias("claim")).filter(F.size(F.split("claim", r"\s+")) >= words)
@@ -81,7 +100,7 @@ def family(text) -> F.Column:
 
 def significant(text, operator, p) -> F.Column:
     """What the claim says of significance: denial first, then its p-value, then assertion; null if it says nothing."""
-    by_p = F.when(operator.isin("<", "<=", "=") & (p <= 0.05), True).when(operator.isin(">", ">=", "=") & (p >= 0.05), False)
+    by_p = F.when((operator.isin("<", "<=") & (p <= 0.05)) | ((operator == "=") & (p < 0.05)), True).when(operator.isin(">", ">=", "=") & (p >= 0.05), False)
     return F.when(says(text, DENIES), False).otherwise(F.coalesce(by_p, F.when(says(text, ASSERTS), True)))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlake.operators.longform import saved
+
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 64, least: int = 50) -> DataFrame:
     """key, chunk, start, end, text of windows of ``size`` characters; those shorter than ``least`` once trimmed are dropped."""
@@ -44,22 +46,26 @@ MOST_TERMS = 500_000
 
 
 def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, qtext: str, top: int = 5, k1: float = 1.5, b: float = 0.75, tokens=terms, query_tokens=None, boost: DataFrame | None = None, least: float | None = None) -> DataFrame:
-    """qkey, key, score, rank: the ``top`` documents for every query; ties by key. Only terms that a query holds are indexed."""
-    size = docs.select(F.size(tokens(F.col(text))).alias("l")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("avg"))
-    asked = queries.select(F.col(qkey).alias("q"), F.explode(F.array_distinct((query_tokens or tokens)(F.col(qtext)))).alias("term"))
+    """qkey, key, score, rank: the ``top`` documents for every query; ties by key. Texts are read once: the words that a query holds, and one
+    row a document for its length, are saved, and all else comes from them."""
+    asked = saved(queries.select(F.col(qkey).alias("q"), F.explode(F.array_distinct((query_tokens or tokens)(F.col(qtext)))).alias("term")))
+    none = F.lit(None).cast("string")
     wanted = asked.select("term").distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= MOST_TERMS else wanted
-    words = docs.select(F.col(key).alias("d"), tokens(F.col(text)).alias("w"))
-    words = words.select("d", F.size("w").alias("len"), F.explode("w").alias("term")).join(wanted, "term", "left_semi")
-    index = words.groupBy("d", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    found = search(index, size, asked, top, k1, b, boost, least)
+    few = wanted.count() <= MOST_TERMS
+    wanted = wanted.unionByName(docs.sparkSession.range(1).select(none.alias("term"))).select(F.col("term").alias("_w"))
+    words = docs.select(F.col(key).alias("d"), tokens(F.col(text)).alias("w")).select("d", F.size("w").alias("len"), F.explode(F.concat(F.array(none), F.coalesce("w", F.array().cast("array<string>")))).alias("term"))
+    held = words.join(F.broadcast(wanted) if few else wanted, F.col("term").eqNullSafe(F.col("_w")), "left_semi")
+    held = saved(held.groupBy("d", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
+    size = held.filter("term IS NULL").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg"))
+    found = search(held.filter("term IS NOT NULL"), size, asked, top, k1, b, boost, least)
     return found.select(F.col("q").alias(qkey), F.col("d").alias(key), "score", "rank")
 
 
 def reported(claims: DataFrame, text: str) -> DataFrame:
-    """Adds p_operator, p_value, effect (name) and effect_value, as the text states them, null if not."""
+    """Adds p_operator, p_value, effect (name, the first that matches in fixed order) and effect_value, as the text states them, null if not."""
     p = r"(?i)\bp(?:[- ]?value)?\s*(<=|>=|<|>|=|≤|≥)\s*(\d*\.?\d+(?:e-?\d+)?)"
-    effects = [("hazard_ratio", r"(?i)\b(?:hr|hazard ratio)\s*(?:=|:|of)?\s*(\d*\.?\d+)"), ("odds_ratio", r"(?i)\b(?:or|odds ratio)\s*(?:=|:|of)?\s*(\d*\.\d+)"), ("risk_ratio", r"(?i)\b(?:rr|risk ratio)\s*(?:=|:|of)?\s*(\d*\.?\d+)"), ("cohens_d", r"(?i)\bcohen'?s? d\s*(?:=|:|of)?\s*(-?\d*\.?\d+)"), ("correlation", r"(?i)\br\s*=\s*(-?\d*\.?\d+)")]
+    effects = [("hazard_ratio", r"(?i)\b(?:hr|hazard ratio)\s*(?:=|:|of)?\s*(\d*\.?\d+)"), ("odds_ratio", r"(?i)\b(?:or|odds ratio)\s*(?:=|:|of)?\s*(\d*\.\d+)"), ("risk_ratio", r"(?i)\b(?:rr|risk ratio)\s*(?:=|:|of)?\s*(\d*\.?\d+)"), ("cohens_d", r"(?i)\bcohen'?s? d\s*(?:=|:|of)?\s*(-?\d*\.?\d+)"), ("correlation", r"(?i)\br\s*=\s*(-?\d*\.?\d+)"), ("rho", r"(?i)(?:\brho\b|ρ)\s*(?:=|:|of)?\s*(-?\d*\.?\d+)"), ("cramers_v", r"(?i)\b(?:cramer'?s?\s+)?v\s*(?:=|:|of)\s*(\d*\.?\d+)"),
+               ("auc", r"(?i)\bauc\s*(?:=|:|of)?\s*(\d*\.?\d+)"), ("smd", r"(?i)\bsmd\s*(?:=|:|of)?\s*(-?\d*\.?\d+)"), ("mean_difference", r"(?i)\bmean difference\s*(?:=|:|of)?\s*(-?\d*\.?\d+)")]
     t = F.col(text)
     got = [(name, F.nullif(F.regexp_extract(t, rule, 1), F.lit(""))) for name, rule in effects]
     operator, value = F.nullif(F.regexp_extract(t, p, 1), F.lit("")), F.expr("try_cast(p_text AS double)")

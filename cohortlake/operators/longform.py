@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -17,17 +17,21 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"no such columns: {', '.join(missing)}")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder, which all machines share, and read again: cuts lineage and outlives lost
-    executors. On one machine a temporary folder is taken where none is set."""
-    sc = df.sparkSession.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all machines share. On one machine a temporary folder is taken where none is set."""
+    sc = spark.sparkContext
+    path = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
         if sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
         sc.setCheckpointDir(path)
-    at = f"{path}/table-{uuid.uuid4().hex}"
+    return path
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts lineage and outlives lost executors."""
+    at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 

@@ -90,9 +90,9 @@ def decided(df: DataFrame, rules: list[tuple[str, F.Column, F.Column | str]], in
 
 
 def bare(text: F.Column) -> F.Column:
-    """One line without the marks of lists, headings and bold around it; null reads as empty."""
+    """One line without the marks and numbers of lists, headings and bold around it; null reads as empty."""
     line = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    line = F.regexp_replace(F.regexp_replace(line, r"^[ •-]+|[ •-]+$", ""), r"^#{1,6} *", "")
+    line = F.regexp_replace(F.regexp_replace(line, r"^[ •-]+|[ •-]+$", ""), r"^(?:#{1,6} *|[0-9]+[.)] +)", "")
     return F.trim(F.regexp_replace(line, r"^(\*\*|__)(.*)\1$", "$2"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlake.operators import retrieval
-from cohortlake.plans.queries import MASKED, masked, query, rounded, table
+from cohortlake.plans.queries import MASKED, SQL, masked, query, rounded, table
 from cohortlake.sources import documents, tables
 
 _WORDS = r"""list_transform(regexp_extract_all(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')), '[a-z0-9]+(?:[''-][a-z0-9]+)*'), w -> CASE WHEN length(w) <= 4 THEN w WHEN suffix(w, 'ies') AND length(w) > 5 THEN w[:-4] || 'y' WHEN suffix(w, 'ing') AND length(w) > 5 THEN w[:-4] WHEN suffix(w, 'ed') THEN w[:-3] WHEN suffix(w, 'es') THEN w[:-3] WHEN suffix(w, 's') THEN w[:-2] ELSE w END)"""
@@ -71,12 +71,14 @@ def evidence_table(spark, sf_dir):
     return rounded(retrieval.evidence_table(rows, "o_orderkey", "t"))
 
 
-_TOPIC = "list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in sorted(retrieval.TOPICLESS)) + ")))"
+_TOPIC = """list_distinct(list_filter(regexp_extract_all(lower({t}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'from', 'that', 'this', 'were', 'was', 'are', 'have', 'has', 'had', 'into',
+    'than', 'then', 'over', 'under', 'between', 'during', 'after', 'before', 'their', 'there', 'these', 'those', 'patients', 'patient', 'study', 'analysis', 'trial', 'finding', 'findings', 'significant', 'statistically', 'associated',
+    'risk', 'outcome', 'mortality', 'survival')))"""
 
 
-@query("topical_support", f"WITH f AS (SELECT s_suppkey AS f, unnest({_TOPIC.format(t='s_name')}) AS w FROM (SELECT s_suppkey, 'the ' || CASE s_suppkey % 4 WHEN 0 THEN 'brushed brass part' WHEN 1 THEN 'large steel' WHEN 2 THEN 'unknown thing' ELSE 'promo tin plated' END AS s_name FROM supplier)), a AS (SELECT p_partkey AS a, unnest({_TOPIC.format(t=chr(39) + chr(39) + ' || p_type')}) AS w FROM part), h AS (SELECT f, count(*) AS n FROM (SELECT f, a FROM f JOIN a USING (w) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1) SELECT s_suppkey, CASE WHEN n > 0 THEN 'Supported' ELSE 'Novel' END AS status, coalesce(n, 0) AS articles FROM supplier LEFT JOIN h ON f = s_suppkey")
+@query("topical_support", f"WITH f AS (SELECT s_suppkey AS f, unnest({_TOPIC.format(t='s_name')}) AS w FROM (SELECT s_suppkey, 'the ' || CASE s_suppkey % 4 WHEN 0 THEN 'brushed brass part' WHEN 1 THEN 'large steel' WHEN 2 THEN 'mortality and survival risk of tin' ELSE 'promo tin plated' END AS s_name FROM supplier)), a AS (SELECT p_partkey AS a, unnest({_TOPIC.format(t=chr(39) + chr(39) + ' || p_type')}) AS w FROM part), h AS (SELECT f, count(*) AS n FROM (SELECT f, a FROM f JOIN a USING (w) GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1) SELECT s_suppkey, CASE WHEN n > 0 THEN 'Supported' ELSE 'Novel' END AS status, coalesce(n, 0) AS articles FROM supplier LEFT JOIN h ON f = s_suppkey")
 def topical_support(spark, sf_dir):
-    said = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('the ', CASE s_suppkey % 4 WHEN 0 THEN 'brushed brass part' WHEN 1 THEN 'large steel' WHEN 2 THEN 'unknown thing' ELSE 'promo tin plated' END) AS t")
+    said = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('the ', CASE s_suppkey % 4 WHEN 0 THEN 'brushed brass part' WHEN 1 THEN 'large steel' WHEN 2 THEN 'mortality and survival risk of tin' ELSE 'promo tin plated' END) AS t")
     return rounded(retrieval.topical_support(said, "s_suppkey", "t", table(spark, sf_dir, "part"), "p_partkey", "p_type"))
 
 
@@ -127,3 +129,27 @@ _NONE = "NULL AS n, NULL AS mean, NULL AS sd, NULL AS min, NULL AS p25, NULL AS
 @query("table_preview", " UNION ALL ".join(_PREVIEW.format(c=c, k=k, t=MASKED, n=(_NONE if k == "string" else _NUMBERS).format(c=c)) for c, k in (("l_orderkey", "bigint"), ("l_returnflag", "string"), ("a", "double"), ("b", "double"), ("c", "double"))))
 def table_preview(spark, sf_dir):
     return rounded(tables.preview(masked(spark, sf_dir)), 4)
+
+
+@query(
+    "evidence_summary",
+    "SELECT count(*) AS papers, count(hazard_ratio) AS with_hazard_ratio, count(odds_ratio) AS with_odds_ratio, count(ci_low) AS with_interval, count(*) FILTER (p_values <> '') AS with_p, count(sample_size) AS with_sample, max(sample_size) AS largest_sample FROM (" + SQL["evidence_table"] + ")",
+)
+def evidence_summary(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(_ARTICLE.format(s="STRING")).alias("t"))
+    return rounded(retrieval.evidence_summary(retrieval.evidence_table(rows, "o_orderkey", "t")))
+
+
+@query(
+    "literature_queries",
+    """
+WITH h AS (SELECT s_nationkey AS report, s_suppkey, 'The albumin level (top[1]) is associated with ' || CASE s_suppkey % 3 WHEN 0 THEN 'survival' WHEN 1 THEN 'bleeding' ELSE 'cholangitis' END || ' in region ' || lower(n_name) || ', as we can see.' AS t, s_suppkey % 3 AS k, lower(n_name) AS n
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY report ORDER BY s_suppkey) AS i FROM h),
+q AS (SELECT report, s_suppkey, 'albumin level ' || CASE k WHEN 0 THEN 'survival' WHEN 1 THEN 'bleeding' ELSE 'cholangitis' END || ' region ' || n || ' see' || CASE WHEN k = 2 THEN '' ELSE ' biliary liver' END || CASE WHEN k = 0 THEN ' clinical trial' ELSE '' END AS query FROM r WHERE i <= 4)
+SELECT report, min(s_suppkey) AS s_suppkey, query FROM q GROUP BY report, query""",
+)
+def literature_queries(spark, sf_dir):
+    said = F.concat(F.lit("The albumin level (top[1]) is associated with "), F.expr("CASE s_suppkey % 3 WHEN 0 THEN 'survival' WHEN 1 THEN 'bleeding' ELSE 'cholangitis' END"), F.lit(" in region "), F.lower("n_name"), F.lit(", as we can see."))
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_nationkey").alias("report"), "s_suppkey", said.alias("t"))
+    return rounded(retrieval.search_text(rows, "report", "s_suppkey", "t", ["serum_bilirubin"]))
