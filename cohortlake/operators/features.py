@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import f_sf
 from cohortlake.operators import association as assoc
-from cohortlake.operators.longform import long, need, quantiles, value_counts
+from cohortlake.operators.longform import long, need, quantiles, saved
 
 
 def default_size(candidates: int) -> int:
@@ -55,10 +55,11 @@ def _matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
 def mutual_information(df: DataFrame, outcome: str, columns: list[str], bins: int = 10) -> DataFrame:
     """variable, mi (nats) between quantile bins of each column and the classes of the outcome."""
     rows = long(df.filter(F.col(outcome).isNotNull()), columns, [outcome]).filter("value IS NOT NULL")
-    cuts = quantiles(value_counts(rows, ["variable"]), ["variable"], {f"q{k}": k / bins for k in range(1, bins)})
+    rows = saved(rows.groupBy("variable", outcome, "value").agg(F.count(F.lit(1)).alias("c")))  # the table is read once
+    cuts = quantiles(rows.groupBy("variable", "value").agg(F.sum("c").alias("c")), ["variable"], {f"q{k}": k / bins for k in range(1, bins)})
     cuts = cuts.select("variable", F.array(*(f"q{k}" for k in range(1, bins))).alias("cuts"))
     binned = rows.join(F.broadcast(cuts), "variable").withColumn("bin", F.size(F.filter(F.array_distinct("cuts"), lambda c: c < F.col("value"))))
-    cells = binned.groupBy("variable", "bin", outcome).agg(F.count(F.lit(1)).alias("c"))
+    cells = saved(binned.groupBy("variable", "bin", outcome).agg(F.sum("c").alias("c")))  # bins by classes; read four times
     a, b, n = cells.groupBy("variable", "bin").agg(F.sum("c").alias("ca")), cells.groupBy("variable", outcome).agg(F.sum("c").alias("cb")), cells.groupBy("variable").agg(F.sum("c").alias("n"))
     joined = cells.join(a, ["variable", "bin"]).join(b, ["variable", outcome]).join(n, "variable")
     return joined.groupBy("variable").agg(F.sum(F.col("c") / F.col("n") * F.log(F.col("c") * F.col("n") / F.col("ca") / F.col("cb"))).alias("mi"))

@@ -199,17 +199,22 @@ def boxplot(df: DataFrame, column: str, group: str) -> DataFrame:
     return out.select(F.col("g").alias(group), "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "low", "high", "beyond")
 
 
-def density(df: DataFrame, column: str, points: int = 100) -> DataFrame:
-    """point, x, density: a Gaussian kernel (Scott's bandwidth) on a grid, over counts of the distinct values."""
+def density(df: DataFrame, column: str, points: int = 100, bins: int = 0) -> DataFrame:
+    """point, x, density: a Gaussian kernel (Scott's bandwidth) on a grid. Values are first counted in ``bins`` equal bins and stand at the
+    middle of theirs, so that the kernel is summed over bins by points, whatever the rows; without bins over all distinct values."""
     need(df, column)
-    counts = long(df, [column]).filter("value IS NOT NULL").groupBy("value").agg(F.count(F.lit(1)).alias("c"))
-    s = counts.agg(F.sum("c").alias("n"), F.min("value").alias("a"), F.max("value").alias("b"), F.sum(F.col("c") * F.col("value")).alias("s"), F.sum(F.col("c") * F.col("value") ** 2).alias("q"))
+    rows = long(df, [column]).filter("value IS NOT NULL")
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("a"), F.max("value").alias("b"), F.var_samp("value").alias("v"))
     n = F.col("n").cast("double")
-    s = s.withColumn("h", F.sqrt((F.col("q") - F.col("s") ** 2 / n) / (n - 1)) * F.pow(n, F.lit(-0.2))).filter("h > 0")
+    s = ends.withColumn("h", F.sqrt("v") * F.pow(n, F.lit(-0.2))).filter("h > 0")
+    if bins:
+        wide = (F.col("b") - F.col("a")) / bins
+        rows = rows.crossJoin(F.broadcast(s)).select((F.col("a") + wide * (F.least(F.floor((F.col("value") - F.col("a")) / wide), F.lit(bins - 1)) + 0.5)).alias("value"))  # one row
+    counts = saved(rows.groupBy("value").agg(F.count(F.lit(1)).alias("c")))
     at = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    rows = counts.crossJoin(F.broadcast(s)).withColumn("point", at).withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("point") / (points - 1))  # s is one row
+    grid = counts.crossJoin(F.broadcast(s)).withColumn("point", at).withColumn("x", F.col("a") + (F.col("b") - F.col("a")) * F.col("point") / (points - 1))  # s is one row
     kernel = F.exp(-(((F.col("x") - F.col("value")) / F.col("h")) ** 2) / 2)
-    return rows.groupBy("point", "x").agg((F.sum(F.col("c") * kernel) / (F.max(n * F.col("h")) * (2 * 3.141592653589793) ** 0.5)).alias("density"))
+    return grid.groupBy("point", "x").agg((F.sum(F.col("c") * kernel) / (F.max(n * F.col("h")) * (2 * 3.141592653589793) ** 0.5)).alias("density"))
 
 
 def findings(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -30,10 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts lineage and outlives lost executors."""
+    """``df`` written to the shared folder and read again: cuts lineage and outlives lost executors. What was saved is not saved again."""
+    if getattr(df, "_saved", False):
+        return df
     at = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out._saved = True
+    return out
 
 
 def missing(column: str, df: DataFrame) -> F.Column:
@@ -77,8 +81,19 @@ def ranged(counts: DataFrame, by: list[str]) -> DataFrame:
     return counts.join(offsets, [*by, "range"]).withColumn("upto", F.col("offset") + F.sum("c").over(inside)).drop("range", "offset")
 
 
+#: So many distinct values of all groups together (some 200 MB, if one task had them all) go into one aggregate; more are cut into ranges.
+FEW = 2_000_000
+
+
 def quantiles(counts: DataFrame, by: list[str], shares: dict[str, float]) -> DataFrame:
-    """by..., and a column for each name of ``shares``: exact quantiles, interpolated between neighbours, from (by..., value, c)."""
+    """by..., and a column for each name of ``shares``: exact quantiles, interpolated between neighbours, from (by..., value, c).
+
+    The counts are saved, so that what they come from is read once. Up to ``FEW`` of them one aggregate
+    gives all quantiles; beyond, ranges do, with the same results."""
+    counts = saved(counts.select(*by, "value", "c"))
+    if counts.count() <= FEW:
+        q = counts.groupBy(*by).agg(F.percentile("value", list(shares.values()), F.col("c")).alias("_q"))
+        return q.select(*by, *(F.col("_q")[i].alias(k) for i, k in enumerate(shares)))
     whole = counts.groupBy(*by).agg(F.sum("c").alias("n"))
     steps = ranged(counts, by)
     steps = steps.join(whole, by) if by else steps.crossJoin(F.broadcast(whole))  # without groups one row

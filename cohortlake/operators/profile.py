@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import chi_square_sf
-from cohortlake.operators.longform import correlation, long, missing, moments, need, quantiles, value_counts as counted
+from cohortlake.operators.longform import correlation, long, missing, moments, need, quantiles, saved, value_counts as counted
 
 
 def value_counts(df: DataFrame, column: str, top: int = 20) -> DataFrame:
@@ -36,7 +36,7 @@ def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
     collapse to the counts of their distinct values first, which everything else is taken from."""
     rows = long(df, columns)
     nulls = rows.groupBy("variable").agg(F.count_if(F.col("value").isNull()).alias("nulls"), F.avg("value").alias("mean"))
-    counts = counted(rows, ["variable"])
+    counts = saved(counted(rows, ["variable"]))
     c, off = F.col("c"), F.col("value") - F.col("mean")
     m = counts.join(F.broadcast(nulls), "variable", "right").groupBy("variable", "nulls", "mean").agg(  # nulls: one row a column of the table
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("value").alias("distinct"), F.min("value").alias("min"), F.max("value").alias("max"),
@@ -129,13 +129,13 @@ def repeats(df: DataFrame, subject: str, top: int = 5) -> DataFrame:
 
 def outliers(df: DataFrame, columns: list[str], fence: float = 1.5, z: float = 3.0, mad: float = 3.5) -> DataFrame:
     """variable, n, iqr, zscore, mad: rows beyond each rule (columns of fewer than 4 values are left out)."""
-    counts = counted(long(df, columns), ["variable"])
+    counts = saved(counted(long(df, columns), ["variable"]))
     n = F.sum("c")
     mean = F.sum(F.col("c") * F.col("value")) / n
     stats = counts.groupBy("variable").agg(n.alias("n"), mean.alias("mean")).filter("n >= 4")
+    q = quantiles(counts, ["variable"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     counts = counts.join(F.broadcast(stats), "variable")  # one row a column of the table
     spread = counts.groupBy("variable").agg(F.sqrt(F.sum(F.col("c") * (F.col("value") - F.col("mean")) ** 2) / (F.max("n") - 1)).alias("sd"))
-    q = quantiles(counts.select("variable", "value", "c"), ["variable"], {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     counts = counts.join(F.broadcast(q), "variable").join(F.broadcast(spread), "variable")  # the same
     off = F.abs(F.col("value") - F.col("q2"))
     far = counts.select("variable", off.alias("value"), "c").groupBy("variable", "value").agg(F.sum("c").alias("c"))
@@ -185,7 +185,8 @@ def crosstab(df: DataFrame, row: str, column: str) -> DataFrame:
     """row, column (null: all), n, share of the whole; pairs with nulls are left out."""
     pairs = df.filter(F.col(row).isNotNull() & F.col(column).isNotNull()).select(F.col(row).alias("r"), F.col(column).alias("c"))
     cells = pairs.groupBy("r", "c").agg(F.count(F.lit(1)).alias("n")).cube("r", "c").agg(F.sum("n").alias("n"))
-    return cells.withColumn("share", F.col("n") / F.max("n").over(Window.partitionBy()))
+    whole = pairs.agg(F.nullif(F.count(F.lit(1)), F.lit(0)).alias("whole"))
+    return cells.crossJoin(F.broadcast(whole)).select("r", "c", "n", (F.col("n") / F.col("whole")).alias("share"))  # one row
 
 
 def balance_categories(df: DataFrame, arm: str, columns: list[str], threshold: float = 0.1) -> DataFrame:
