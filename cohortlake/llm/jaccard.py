@@ -360,14 +360,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     A row is known by a hash of id and text, so that neither a null id nor one with several texts stands for another
     row. Null, empty and all-blank texts are alone: each stays, except that a repeated row with an id stays once. Very long
-    texts are read whole; an empty table gives no rows; other columns stay as they are, but for the name ``_row``.
+    texts are read whole; an empty table gives no rows; other columns stay as they are, whatever their names.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, own = Scratch(docs.sparkSession), "_row"
+    while own in docs.columns:
+        own += "_"
     key = F.md5(F.concat_ws("\n", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull().cast("string"), F.coalesce("text", F.lit("")), F.col("text").isNull().cast("string")))
-    docs_ = docs.withColumn("_row", key)
-    mark = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row")
-    rows, _, ids = grouped(docs_.select("doc_id", "text", "_row"), mark, scratch)
-    kept = scratch.save(ids.select("component._row").union(rows.filter("n = 0").select("_row")).distinct())
+    docs_ = docs.withColumn(own, key)
+    mark = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(own).alias("row"))
+    rows, _, ids = grouped(docs_.select("doc_id", "text", own), mark, scratch)
+    kept = scratch.save(ids.select(F.col("component.row").alias(own)).union(rows.filter("n = 0").select(own)).distinct())
     # nothing tells rows without id and words apart
     bare = F.col("doc_id").isNull() & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return docs_.filter(~bare).join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row").union(docs.filter(bare))
+    return docs_.filter(~bare).join(kept, own, "left_semi").dropDuplicates([own]).drop(own).union(docs.filter(bare))

@@ -20,14 +20,13 @@ from cohortlake.llm.work import Scratch, held_out
 
 #: Runs of letters and, as ``re`` knows no category, numerals like a superscript, which ``letters`` takes out.
 RUNS = re.compile(r"[^\W\d_]+")
-MARK, LONGEST = "▁", 40  # the vocabulary's word begin; longer words are read in parts, so that no product underflows
+MARK, SAFE = "▁", 40  # the vocabulary's word begin; up to so many letters no product underflows, longer words carry a scale
 
 
 def letters(text: str) -> Iterator[str]:
-    """The words of a text: runs of letters (Unicode category L), LONGEST at most."""
+    """The words of a text: runs of letters (Unicode category L)."""
     for run in RUNS.findall(text):
-        for word in [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split():
-            yield from [word] if len(word) <= LONGEST else (word[i : i + LONGEST] for i in range(0, len(word), LONGEST))
+        yield from [run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split()
 
 
 def vocabulary(path: str) -> list[str]:
@@ -103,6 +102,38 @@ class Unigrams:
                     alpha[j] += alpha[i] * self.p[ids]
         return alpha, alone
 
+    def pieces_of(self, word: str) -> list[list[tuple[int, int]]]:
+        """For each begin in one long word, the (end, piece) of its substrings that are pieces; all substrings of one length at once."""
+        points = np.frombuffer((MARK + word).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        n, h = len(points), np.zeros(len(points), np.uint64)
+        out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        for size in range(1, min(n, self.longest) + 1):
+            h = (h[: n - size + 1] + points[size - 1 :]) * self.STEP
+            h ^= h >> np.uint64(29)
+            maybe = np.flatnonzero(self.known[h >> np.uint64(64 - self.BITS)])
+            at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+            right = self.hashes[at] == h[maybe]
+            for i, piece in zip(maybe[right].tolist(), at[right].tolist()):
+                out[i].append((i + size, piece))
+        return out
+
+    def logs_of(self, found: list[list[tuple[int, int]]], back: bool = False) -> np.ndarray:
+        """Logs of the forward (or backward) sums of one long word at each place, so that no length underflows."""
+        n = len(found)
+        steps: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for i, own in enumerate(found):
+            for j, piece in [*own, *([] if any(j == i + 1 for j, _ in own) else [(i + 1, -1)])]:
+                steps[i if back else j].append((j if back else i, piece))
+        with np.errstate(divide="ignore"):
+            p = np.log(self.p)
+        p[-1] = np.log(self.unknown)
+        out = np.full((n + 1, len(self.langs)), -np.inf)
+        out[n if back else 0] = 0
+        for i in range(n - 1, -1, -1) if back else range(1, n + 1):
+            at, piece = zip(*steps[i])
+            out[i] = np.logaddexp.reduce(out[list(at)] + p[list(piece)], axis=0)
+        return out
+
     def runs(self, words) -> Iterator[list[str]]:
         words = sorted(words, key=len)
         while words:
@@ -116,9 +147,16 @@ class Unigrams:
         for word, lang, n in counts:
             for part in letters(word):
                 weight.setdefault(part, np.zeros(len(self.langs)))[lang] += n
-        runs = [(run, self.edges(run), np.stack([weight[w] for w in run])) for run in self.runs(weight)]
+        long = {w: self.pieces_of(w) for w in weight if len(w) > SAFE}
+        runs = [(run, self.edges(run), np.stack([weight[w] for w in run])) for run in self.runs(w for w in weight if w not in long)]
         for _ in range(rounds):
             expected = np.zeros_like(self.p)
+            for word, found in long.items():
+                alpha, beta = self.logs_of(found), self.logs_of(found, True)
+                for i, own in enumerate(found):
+                    for j, piece in own:
+                        with np.errstate(divide="ignore"):
+                            expected[piece] += weight[word] * np.exp(alpha[i] + np.log(self.p[piece]) + beta[j] - alpha[-1])
             for run, edges, times in runs:
                 alpha, alone = self.forward(run, edges)
                 beta = np.zeros_like(alpha)
@@ -138,7 +176,10 @@ class Unigrams:
 
     def marginals(self, words) -> tuple[list[str], np.ndarray]:
         order, logs = [], [np.zeros((0, len(self.langs)))]
-        for run in self.runs(words):
+        for word in (w for w in words if len(w) > SAFE):
+            order.append(word)
+            logs.append(self.logs_of(self.pieces_of(word))[-1:])
+        for run in self.runs(w for w in words if len(w) <= SAFE):
             alpha, _ = self.forward(run, self.edges(run))
             order += run
             logs.append(np.log(np.maximum(alpha[-1], 1e-300)))

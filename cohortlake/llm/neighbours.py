@@ -211,7 +211,8 @@ def search(rows: DataFrame, is_query, top: int = 5, k: int = 20, tables: int = 4
     ``is_query`` (a Column) selects, among all other rows, ties to the smaller vec_id.
 
     ``beam`` (least, a, b): walks keep the larger of least and a * n ** b of the n distinct vectors, as a fixed beam finds
-    ever less in larger tables; a hop opens a ``share``-th of the beam. Vectors that are null, empty or zero or hold a null or non-finite component, and rows
+    ever less in larger tables; a hop opens a ``share``-th of the beam. Of a beam, which its codes order, the first 10 * ``top`` are scored on
+    the original vectors. Vectors that are null, empty or zero or hold a null or non-finite component, and rows
     without vec_id, take no part; a shorter vector counts as filled up with zeros. Copies of a vector are one node, whose
     least ids stand for all, as no others can be among the nearest. Of a vec_id with several vectors, one (that of the
     least name) asks and the nearest counts as found; none is found by itself. An empty table gives no rows. Other columns are not read.

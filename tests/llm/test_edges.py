@@ -10,7 +10,7 @@ import public_tokenizers
 from cohortlake.llm import bpe, jaccard, language, licences, mixing, neardup, neighbours, pii, quality, sharding
 from cohortlake.llm.vectors import unit
 
-CLASH = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, tag string, cut int, epoch int, copies int, epochs int, source_size int, target int, stat_words double, node long, c0 int, bucket int"
+CLASH = "doc_id long, text string, _row string, lang string, source string, n_chars long, key string, size long, tag string, cut int, epoch int, copies int, epochs int, source_size int, target int, stat_words double, node long, c0 int, bucket int"
 LONG = "alpha beta gamma delta " * 50_000  # over 1 MB
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -19,7 +19,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 def odd(spark):
     texts = [(None, "one two three four five six"), (None, None), (1, LONG), (2, ""), (3, " \t"), (1, "same id, other text that is here"), (4, "²³ ½"), (5, "Ⅷ"), (6, "x"), (6, "x")]
     rest = ("k", 1, "t", 2, 3, 4, 5, 6, 7, 0.5, 9, 10, 11)
-    return spark.createDataFrame([(i, t, "en" if t else None, None if i == 2 else "s", 3, *rest) for i, t in texts], CLASH)
+    return spark.createDataFrame([(i, t, "r", "en" if t else None, None if i == 2 else "s", 3, *rest) for i, t in texts], CLASH)
 
 
 def test_odd_documents(spark, odd):
