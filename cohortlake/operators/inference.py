@@ -233,6 +233,59 @@ def interaction(df: DataFrame, outcome: str, arm: str, factor: str, a=None, b=No
     return s.select(f.alias("f"), "df1", "df2", f_sf(f, "df1", "df2").alias("p"))
 
 
+def binary_interaction(df: DataFrame, outcome: str, arm: str, factor: str, steps: int = 50, tol: float = 1e-9) -> DataFrame:
+    """lr, df, p, levels, cells of arm x factor for a 0/1 outcome: the likelihood-ratio test of a logit with arm, factor and their interaction
+    against one with arm and factor, over complete rows.
+
+    The full model fits each cell's own rate. The smaller one is fitted on counts of cells by Newton steps: levels, however many, meet
+    only themselves in its matrix, so each step sums over levels, in Spark, what remains for the arms (a Schur complement, arms by
+    arms), and then moves each level by itself. Levels whose outcomes are all alike fit both models alike and are left out; df is the cells
+    less levels and arms, plus one.
+    """
+    need(df, outcome, arm, factor)
+    rows = df.select(F.col(arm).alias("a"), F.col(factor).alias("l"), F.col(outcome).cast("int").alias("y")).filter("y IN (0, 1)").dropna()
+    cells = rows.groupBy("l", "a").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("y").cast("double").alias("y"))
+    arms = sorted(r.a for r in cells.select("a").distinct().limit(51).collect())
+    if not 2 <= len(arms) <= 50:
+        raise ValueError("2 to 50 arms are needed")
+    of = lambda c, a: F.coalesce(F.sum(F.when(F.col("a") == a, F.col(c))), F.lit(0.0))
+    k = len(arms)
+    table = cells.groupBy("l").agg(F.sum("n").alias("n"), F.sum("y").alias("y"), *(of("n", a).alias(f"n{i}") for i, a in enumerate(arms)), *(of("y", a).alias(f"y{i}") for i, a in enumerate(arms))).filter("y > 0 AND y < n")
+    table = saved(table.withColumn("alpha", F.log((F.col("y") + 0.5) / (F.col("n") - F.col("y") + 0.5))))
+    xlogx = lambda part, whole: F.when(part > 0, part * F.log(part / whole)).otherwise(0.0)
+    full = sum((xlogx(F.col(f"y{i}"), F.col(f"n{i}")) + xlogx(F.col(f"n{i}") - F.col(f"y{i}"), F.col(f"n{i}")) for i in range(k)), F.lit(0.0))
+    whole = table.agg(F.sum(full).alias("full"), F.count(F.lit(1)).alias("levels"), F.coalesce(F.sum(sum(((F.col(f"n{i}") > 0).cast("int") for i in range(k)), F.lit(0))), F.lit(0)).alias("cells"), *(F.max(F.col(f"n{i}")).alias(f"m{i}") for i in range(k))).first()
+    kind = "lr double, df long, p double, levels long, cells long"
+    used = sum(1 for i in range(k) if whole[f"m{i}"])
+    free = whole.cells - whole.levels - used + 1
+    if whole.levels < 2 or free < 1:
+        return df.sparkSession.createDataFrame([(None, max(0, free), None, whole.levels, whole.cells)], kind)
+    beta = np.zeros(k)  # the first arm is the reference
+    for _ in range(steps):
+        eta = [F.col("alpha") + float(b) for b in beta]
+        p = [1 / (1 + F.exp(-e)) for e in eta]
+        w = [F.col(f"n{i}") * p[i] * (1 - p[i]) for i in range(k)]
+        r = [F.col(f"y{i}") - F.col(f"n{i}") * p[i] for i in range(k)]
+        seen = table.select("*", *(x.alias(f"w{i}") for i, x in enumerate(w)), *(x.alias(f"r{i}") for i, x in enumerate(r)), *(F.log1p(F.exp(-F.abs(e))).alias(f"s{i}") for i, e in enumerate(eta)), *(e.alias(f"e{i}") for i, e in enumerate(eta)))
+        like = sum((F.col(f"y{i}") * F.col(f"e{i}") - F.col(f"n{i}") * (F.greatest(F.col(f"e{i}"), F.lit(0.0)) + F.col(f"s{i}")) for i in range(k)), F.lit(0.0))
+        seen = seen.withColumn("d", sum((F.col(f"w{i}") for i in range(k)), F.lit(0.0))).withColumn("g", sum((F.col(f"r{i}") for i in range(k)), F.lit(0.0)))
+        pairs = [(i, j) for i in range(1, k) for j in range(i, k)]
+        s = seen.agg(F.sum(like).alias("like"), F.max(F.abs("g")).alias("worst"), *(F.sum(F.col(f"r{i}")).alias(f"u{i}") for i in range(1, k)), *((F.sum((F.col(f"w{i}") if i == j else F.lit(0.0)) - F.col(f"w{i}") * F.col(f"w{j}") / F.col("d"))).alias(f"h{i}_{j}") for i, j in pairs), *((F.sum(F.col(f"r{i}") - F.col(f"w{i}") * F.col("g") / F.col("d"))).alias(f"t{i}") for i in range(1, k))).first()
+        if max(s["worst"], *(abs(s[f"u{i}"]) for i in range(1, k))) < tol * max(1.0, abs(s["like"])) ** 0.5:
+            break
+        h = np.zeros((k - 1, k - 1))
+        for i, j in pairs:
+            h[i - 1, j - 1] = h[j - 1, i - 1] = s[f"h{i}_{j}"]
+        step = np.clip(np.concatenate([[0.0], np.linalg.pinv(h) @ np.array([s[f"t{i}"] for i in range(1, k)])]), -5, 5)
+        move = (F.col("g") - sum((F.col(f"w{i}") * float(step[i]) for i in range(k)), F.lit(0.0))) / F.col("d")
+        table = saved(seen.withColumn("alpha", F.col("alpha") + F.greatest(F.least(move, F.lit(5.0)), F.lit(-5.0))).select(*table.columns))
+        beta = beta + step
+    else:
+        raise ValueError("no convergence: an arm's outcomes may all be alike")
+    lr = max(0.0, 2 * (whole.full - s["like"]))
+    return df.sparkSession.createDataFrame([(lr, free, dist.chi2_sf(lr, free), whole.levels, whole.cells)], kind)
+
+
 def screen(df: DataFrame, event: str, columns: list[str]) -> DataFrame:
     """variable, n_a, n_b, t, p, cohens_d (event less non-event) of each numeric predictor of a 0/1 event, in one pass."""
     m = moments(df.filter(F.col(event).isin(0, 1)), columns, [event]).groupBy("variable").agg(*(F.max(F.when(F.col(event) == g, F.col(c))).alias(f"{c}_{k}") for k, g in (("a", 1), ("b", 0)) for c in ("n", "mean", "var")))

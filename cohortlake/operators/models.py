@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cohortlake.functions import distributions as dist
 from cohortlake.operators import regression
 from cohortlake.operators.longform import need, saved
+from cohortlake.operators.longitudinal import concordance
 from cohortlake.operators.order import Ranges
 
 
@@ -63,7 +64,8 @@ def logistic(df: DataFrame, y: str, xs: list[str], steps: int = 25, tol: float =
 
 
 def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30, tol: float = 1e-9) -> DataFrame:
-    """term, coef, hazard_ratio, se, z, p, n, events, log_likelihood, with Efron's ties; rows need a positive time.
+    """term, coef, hazard_ratio, se, z, p, low and high (of the hazard ratio, 95 %), n, events, log_likelihood, c_index, with Efron's ties; rows
+    need a positive time.
 
     Each Newton step sums weights by distinct time first; risk sets are running sums over ranges of distinct times. Tied events
     are spread over their own rows, so a step costs one pass and as many rows as events.
@@ -100,9 +102,10 @@ def cox(df: DataFrame, time: str, event: str, xs: list[str], steps: int = 30, to
         beta = beta + step
     else:
         raise ValueError("no convergence")
-    se = np.sqrt(np.diag(inverse))
-    out = [(c, float(b), math.exp(b), float(e), float(b / e), 2 * dist.normal_sf(abs(b / e)), means["n"], means["events"], s["like"]) for c, b, e in zip(xs, beta, se)]
-    return df.sparkSession.createDataFrame(out, "term string, coef double, hazard_ratio double, se double, z double, p double, n long, events long, log_likelihood double")
+    se, z = np.sqrt(np.diag(inverse)), NormalDist().inv_cdf(0.975)
+    c = concordance(rows.withColumn("_risk", _linear(xs, beta)), "_t", "_e", "_risk").first()["c_index"]
+    out = [(x, float(b), math.exp(b), float(e), float(b / e), 2 * dist.normal_sf(abs(b / e)), math.exp(b - z * e), math.exp(b + z * e), means["n"], means["events"], s["like"], c) for x, b, e in zip(xs, beta, se)]
+    return df.sparkSession.createDataFrame(out, "term string, coef double, hazard_ratio double, se double, z double, p double, low double, high double, n long, events long, log_likelihood double, c_index double")
 
 
 def ancova(df: DataFrame, outcome: str, arm: str, covariates: list[str], a, b) -> DataFrame:
