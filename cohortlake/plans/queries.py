@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import association as assoc
 from cohortlake.operators import evidence, profile, regression, survival
-from cohortlake.plans.tails import chi2_p, t_p, z_p
+from cohortlake.plans.tails import chi2_p, f_p, t_p, z_p
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -246,19 +246,21 @@ def survival_summary(spark, sf_dir):
     return rounded(survival.summary(subjects(spark, sf_dir), "time", "event", "arm", [2, 7]))
 
 
+#: The t that leaves 5 % outside, by Cornish and Fisher's expansion about the normal.
+_EDGE = "(1.959963984540054 + (pow(1.959963984540054, 3) + 1.959963984540054) / (4 * (n - 2)) + (5 * pow(1.959963984540054, 5) + 16 * pow(1.959963984540054, 3) + 3 * 1.959963984540054) / (96 * pow(n - 2, 2)))"
+
+
 @query(
     "linear_regression",
     f"""WITH b AS (SELECT regr_intercept(l_extendedprice, l_quantity) AS b0, regr_slope(l_extendedprice, l_quantity) AS b1, regr_r2(l_extendedprice, l_quantity) AS r2, avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, count(*) AS n FROM lineitem),
     e AS (SELECT l_quantity - mx AS d, (l_extendedprice - b0 - b1 * l_quantity) / (1 - 1.0 / n - pow(l_quantity - mx, 2) / sxx) AS u, l_extendedprice - b0 - b1 * l_quantity AS r, mx, sxx, n FROM lineitem, b),
     s AS (SELECT sqrt(sum(pow(1.0 / n - mx * d / sxx, 2) * u * u)) AS s0, sqrt(sum(pow(d / sxx, 2) * u * u)) AS s1, sum(r * r) AS rss FROM e),
     x AS (SELECT 'intercept' AS term, b0 AS coef, s0 AS se, n, r2, rss, syy FROM b, s UNION ALL SELECT 'l_quantity', b1, s1, n, r2, rss, syy FROM b, s)
-    SELECT term, round(coef, 4) AS coef, round(se, 6) AS se, round(coef / se, 4) AS t, round({t_p("(coef / se)", "(n - 2)")}, 6) AS p, round(coef - 1.9600 * se, 2) AS low, round(coef + 1.9600 * se, 2) AS high, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adjusted_r2, round(n * (ln(2 * pi() * rss / n) + 1) + 4, 2) AS aic, round(n * (ln(2 * pi() * rss / n) + 1) + 2 * ln(n), 2) AS bic FROM x""",
+    SELECT term, round(coef, 4) AS coef, round(se, 6) AS se, round(coef / se, 4) AS t, round({t_p("(coef / se)", "(n - 2)")}, 6) AS p, round(coef - {_EDGE} * se, 4) AS low, round(coef + {_EDGE} * se, 4) AS high, n, round(r2, 6) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) AS adjusted_r2, round(n * (ln(2 * pi() * rss / n) + 1) + 4, 2) AS aic, round(n * (ln(2 * pi() * rss / n) + 1) + 2 * ln(n), 2) AS bic, round((syy - rss) / (rss / (n - 2)), 4) AS f, round({f_p("((syy - rss) / (rss / (n - 2)))", "1", "(n - 2)")}, 6) AS f_p FROM x""",
 )
 def linear_regression(spark, sf_dir):
     out = regression.ols(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"])
-    # the limits by t and by the normal agree to so many places here, as n is in the ten thousands
-    near = [F.round(F.col("coef") + k * 1.96 * F.col("se"), 2).alias(c) for k, c in ((-1, "low"), (1, "high"))]
-    return rounded(out.select("term", F.round("coef", 4).alias("coef"), "se", F.round("t", 4).alias("t"), "p", *near, "n", "r2", "adjusted_r2", F.round("aic", 2).alias("aic"), F.round("bic", 2).alias("bic")))
+    return rounded(out.select("term", F.round("coef", 4).alias("coef"), "se", F.round("t", 4).alias("t"), "p", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n", "r2", "adjusted_r2", F.round("aic", 2).alias("aic"), F.round("bic", 2).alias("bic"), F.round("f", 4).alias("f"), "f_p"))
 
 
 @query("text_chunks", "SELECT doc_id, chunk, start, least(start + 512, length(text)) AS \"end\", text[start + 1 : start + 512] AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 448)) AS start, unnest(range(0, CAST(ceil(length(text) / 448) AS BIGINT))) AS chunk FROM documents) WHERE length(trim(text[start + 1 : start + 512])) >= 50")

@@ -107,11 +107,11 @@ def power_analysis(spark, sf_dir):
     f"""WITH t AS (SELECT CAST(count(*) FILTER (y AND x = 0) AS DOUBLE) AS a, CAST(count(*) FILTER (NOT y AND x = 0) AS DOUBLE) AS b, CAST(count(*) FILTER (y AND x = 1) AS DOUBLE) AS c, CAST(count(*) FILTER (NOT y AND x = 1) AS DOUBLE) AS d FROM (SELECT o_orderstatus = 'F' AS y, o_custkey % 2 AS x FROM orders)),
     l AS (SELECT *, a * ln(a / (a + b)) + b * ln(b / (a + b)) + c * ln(c / (c + d)) + d * ln(d / (c + d)) AS lk, (a + c) * ln((a + c) / (a + b + c + d)) + (b + d) * ln((b + d) / (a + b + c + d)) AS l0 FROM t),
     e AS (SELECT 'intercept' AS term, ln(a / b) AS coef, sqrt(1 / a + 1 / b) AS se, * FROM l UNION ALL SELECT 'x', ln(c * b / (a * d)), sqrt(1 / a + 1 / b + 1 / c + 1 / d), * FROM l)
-    SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(exp(coef), 6) AS odds_ratio, round({z_p("(coef / se)")}, 6) AS p, round(exp(coef - 1.959963984540054 * se), 6) AS low, round(exp(coef + 1.959963984540054 * se), 6) AS high, CAST(a + b + c + d AS BIGINT) AS n, round(1 - lk / l0, 6) AS mcfadden_r2, round(4 - 2 * lk, 4) AS aic, round(2 * ln(a + b + c + d) - 2 * lk, 4) AS bic FROM e""",
+    SELECT term, round(coef, 6) AS coef, round(se, 6) AS se, round(exp(coef), 6) AS odds_ratio, round(coef / se, 6) AS z, round({z_p("(coef / se)")}, 6) AS p, round(exp(coef - 1.959963984540054 * se), 6) AS low, round(exp(coef + 1.959963984540054 * se), 6) AS high, CAST(a + b + c + d AS BIGINT) AS n, round(1 - lk / l0, 6) AS mcfadden_r2, round(4 - 2 * lk, 4) AS aic, round(2 * ln(a + b + c + d) - 2 * lk, 4) AS bic FROM e""",
 )
 def logistic_regression(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("CAST(o_orderstatus = 'F' AS INT) AS y", "o_custkey % 2 AS x")
-    out = models.logistic(rows, "y", ["x"]).select("term", "coef", "se", "odds_ratio", "p", "low", "high", "n", "mcfadden_r2", F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
+    out = models.logistic(rows, "y", ["x"]).select("term", "coef", "se", "odds_ratio", "z", "p", "low", "high", "n", "mcfadden_r2", F.round("aic", 4).alias("aic"), F.round("bic", 4).alias("bic"))
     return rounded(out)
 
 
@@ -278,11 +278,11 @@ def written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("claim", said)
 
 
-@query("claim_extraction", "WITH s AS (SELECT l_suppkey, count(*) AS n, round((l_suppkey * 7 % 100) / 1000.0 + min(l_discount), 3) AS p FROM lineitem GROUP BY 1) SELECT l_suppkey, '=' AS p_operator, CASE WHEN l_suppkey % 3 = 0 THEN 0.01 ELSE p END AS p_value, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(1.2 AS DOUBLE) END AS ci_low, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(1.8 AS DOUBLE) END AS ci_high, CASE WHEN l_suppkey % 3 = 0 THEN true ELSE p < 0.05 END AS significant, CASE WHEN l_suppkey % 3 = 0 THEN 'continuous_group_difference' ELSE 'binary_categorical_association' END AS family, CASE WHEN l_suppkey % 3 = 0 THEN 'positive' WHEN p < 0.05 THEN CASE WHEN n % 2 = 0 THEN 'positive' ELSE 'negative' END END AS direction FROM s")
+@query("claim_extraction", "WITH s AS (SELECT l_suppkey, count(*) AS n, round((l_suppkey * 7 % 100) / 1000.0 + min(l_discount), 3) AS p FROM lineitem GROUP BY 1) SELECT l_suppkey, '=' AS p_operator, CASE WHEN l_suppkey % 3 = 0 THEN 0.01 ELSE p END AS p_value, CASE WHEN l_suppkey % 3 <> 0 THEN 'odds_ratio' END AS effect, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(1.5 AS DOUBLE) END AS effect_value, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(1.2 AS DOUBLE) END AS ci_low, CASE WHEN l_suppkey % 3 <> 0 THEN CAST(1.8 AS DOUBLE) END AS ci_high, CASE WHEN l_suppkey % 3 = 0 THEN true ELSE p < 0.05 END AS significant, CASE WHEN l_suppkey % 3 = 0 THEN 'continuous_group_difference' ELSE 'binary_categorical_association' END AS family, CASE WHEN l_suppkey % 3 = 0 THEN 'positive' WHEN p < 0.05 THEN CASE WHEN n % 2 = 0 THEN 'positive' ELSE 'negative' END END AS direction FROM s")
 def claim_extraction(spark, sf_dir):
     out = claims.interval(evidence.reported(written(spark, sf_dir), "claim"), "claim")
     sig = claims.significant(F.col("claim"), F.col("p_operator"), F.col("p_value"))
-    return rounded(out.select("l_suppkey", "p_operator", "p_value", "ci_low", "ci_high", sig.alias("significant"), claims.family(F.col("claim")).alias("family"), claims.direction(F.col("claim")).alias("direction")))
+    return rounded(out.select("l_suppkey", "p_operator", "p_value", "effect", "effect_value", "ci_low", "ci_high", sig.alias("significant"), claims.family(F.col("claim")).alias("family"), claims.direction(F.col("claim")).alias("direction")))
 
 
 @query("claim_verdicts", "WITH s AS (SELECT l_suppkey, count(*) AS n, round((l_suppkey * 7 % 100) / 1000.0 + min(l_discount), 3) AS p FROM lineitem GROUP BY 1), v AS (SELECT CASE WHEN l_suppkey % 3 <> 0 THEN 'verified' WHEN p >= 0.05 THEN 'contradicted' WHEN n % 2 = 1 THEN 'contradicted' WHEN abs(p - 0.01) <= 0.0025 THEN 'verified' ELSE 'partial' END AS v FROM s) SELECT count(*) AS claims, count(*) FILTER (v = 'verified') AS verified, count(*) FILTER (v = 'contradicted') AS contradicted, count(*) FILTER (v = 'partial') AS partial, 0 AS unsupported, 0 AS not_verifiable, round(count(*) FILTER (v = 'verified') / count(*), 6) AS verified_rate FROM v")

@@ -192,11 +192,11 @@ _FAR = "SELECT 'outlier', '{c}@' || subject_id, {c} FROM (SELECT subject_id, {c}
     UNION ALL SELECT 'constant', 'one', min(one) FROM t HAVING count(DISTINCT one) = 1 {"".join(f" UNION ALL SELECT * FROM ({_FAR.format(c=c)})" for c in ("price", "half", "week"))}
     UNION ALL SELECT 'top_correlations', '(price, half)', corr(price, half) FROM t UNION ALL SELECT 'top_correlations', '(price, week)', corr(price, week) FROM t UNION ALL SELECT 'top_correlations', '(half, week)', corr(half, week) FROM t
     UNION ALL SELECT 'share', 'status=' || status, count(*) / (SELECT count(*) FROM t) FROM t GROUP BY status)
-    SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY abs(value) DESC, subject) - 1 AS place, subject, round(value, 6) AS value FROM e""",
+    SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY abs(value) DESC, subject) - 1 AS place, subject, round(value, 6) AS value, kind || '[' || (row_number() OVER (PARTITION BY kind ORDER BY abs(value) DESC, subject) - 1) || ']: ' || subject || '=' || format('{{:,.4f}}', value) AS citation FROM e""",
 )
 def dataset_evidence(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS subject_id", "o_custkey AS site_id", "o_totalprice AS price", "o_totalprice / 2 + o_custkey % 50 AS half", "1D AS one", "CASE WHEN o_orderkey % 4 > 0 THEN o_custkey % 7 END AS week", "o_orderstatus AS status")
-    return rounded(dataset.evidence(rows, "subject_id").drop("citation"))
+    return rounded(dataset.evidence(rows, "subject_id"))
 
 
 _FIVE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
