@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlake.functions.columns import f_sf
 from cohortlake.operators import association as assoc
-from cohortlake.operators.longform import long, need, quantiles, saved
+from cohortlake.operators.longform import correlation, long, need, quantiles, saved
 
 
 def default_size(candidates: int) -> int:
@@ -43,6 +43,39 @@ def relevance(df: DataFrame, outcome: str, columns: list[str]) -> DataFrame:
     return cells.groupBy("variable").agg(((F.sum(F.col("s") ** 2 / F.col("n")) - F.sum("s") ** 2 / F.sum("n")) / F.nullif(total, F.lit(0.0))).alias("eta2"))
 
 
+def relevance_by_kind(df: DataFrame, outcome: str, numbers: list[str], categories: list[str], continuous: bool = False) -> DataFrame:
+    """variable, relevance, kind, scaled to a greatest one of 1. For a continuous outcome: |r| of numbers, eta squared of the outcome in the
+    classes of categories. For classes: eta squared of numbers in them, Cramer's V of categories."""
+    parts = []
+    if continuous:
+        if numbers:
+            r = df.agg(*(F.abs(correlation(F.col(f"`{c}`").cast("double"), F.col(outcome).cast("double"))).alias(f"r{i}") for i, c in enumerate(numbers)))
+            parts.append(r.select(F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"r{i}").alias("v"), F.lit("correlation").alias("kind")) for i, c in enumerate(numbers))))))
+        parts += [relevance(df, c, [outcome]).select(F.lit(c).alias("variable"), F.col("eta2").alias("v"), F.lit("eta2").alias("kind")) for c in categories]
+    else:
+        if numbers:
+            parts.append(relevance(df, outcome, numbers).select("variable", F.col("eta2").alias("v"), F.lit("eta2").alias("kind")))
+        parts += [assoc.chi_square(df, c, outcome).select(F.lit(c).alias("variable"), F.col("cramers_v").alias("v"), F.lit("cramers_v").alias("kind")) for c in categories]
+    if not parts:
+        raise ValueError("no columns")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    out = saved(out.withColumn("v", F.coalesce(F.nanvl("v", F.lit(0.0)), F.lit(0.0))))
+    return out.crossJoin(F.broadcast(out.agg(F.max("v").alias("top")))).select("variable", (F.col("v") / F.nullif("top", F.lit(0.0))).alias("relevance"), "kind")  # one row
+
+
+def univariate_regression(df: DataFrame, outcome: str, columns: list[str], top: int | None = None) -> DataFrame:
+    """variable, f, p, n, rank: F of the regression of a continuous outcome on each number by itself, from one pass; the ``top`` largest, ties by name."""
+    y = F.col(outcome).cast("double")
+    each = df.agg(*(F.struct(correlation(F.col(f"`{c}`").cast("double"), y).alias("r"), F.count_if(F.col(f"`{c}`").isNotNull() & y.isNotNull()).alias("n")).alias(f"c{i}") for i, c in enumerate(columns)))
+    rows = each.select(F.inline(F.array(*(F.struct(F.lit(c).alias("variable"), F.col(f"c{i}.r").alias("r"), F.col(f"c{i}.n").alias("n")) for i, c in enumerate(columns)))))
+    f = F.col("r") ** 2 / F.nullif(1 - F.col("r") ** 2, F.lit(0.0)) * (F.col("n") - 2)
+    rows = rows.filter("n > 2").withColumn("f", f).withColumn("p", f_sf("f", F.lit(1.0), F.col("n") - 2))
+    out = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("f"), "variable")))  # a row a column
+    return out.filter(F.col("rank") <= (top or len(columns))).select("variable", "f", "p", "n", "rank")
+
+
 def _matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
     at = {c: i for i, c in enumerate(columns)}
     out = np.eye(len(columns))

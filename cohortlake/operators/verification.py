@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import association as assoc
 from cohortlake.operators import claims as claims_
-from cohortlake.operators import inference, survival
+from cohortlake.operators import inference, models, survival
 from cohortlake.operators.guardrails import numeric_columns, tokens
 from cohortlake.operators.longform import need
+from cohortlake.operators.roles import levels
 
 
 def aliases(df: DataFrame, known: dict[str, list[str]] | None = None) -> list[tuple[str, str]]:
@@ -44,9 +45,37 @@ def event_codes(df: DataFrame, event: str, codes: list | None = None, meanings:
     return [int(found[0])] if len(found) == 1 else None
 
 
+def family_of(text, variable, numbers: list[str], flags: list[str], event: str | None, arm: str | None, time: str | None) -> F.Column:
+    """The kind of test a claim speaks of, by its words and the kinds of its columns, the first that fits; else by its words alone, or null.
+
+    Balance at baseline; correlation; Cox where hazards are named, or survival with a predictor; log-rank where it is named, or survival of
+    arms; a predictor of the event by logistic regression if it is a number, by a table of counts if it is 0/1 or a category; a number that
+    differs; a relationship."""
+    says, lower = claims_.says, F.lower(text)
+    some = variable.isNotNull() & (F.lit(event).isNull() | (variable != F.lit(event)))
+    predicts = says(text, ["predict", "associated", "association"])
+    number = variable.isin(numbers) if numbers else F.lit(False)
+    flag = variable.isin(flags) if flags else F.lit(False)
+    timed, armed = F.lit(bool(time and event)), F.lit(bool(arm and time and event))
+    return (
+        F.when(lower.contains("baseline") & says(text, ["balance", "smd"]), "baseline_balance")
+        .when(lower.contains("correlat"), "correlation")
+        .when(says(text, ["cox", "hazard"]), "cox_survival_predictor")
+        .when(says(text, ["log-rank", "log rank", "kaplan"]), "kaplan_meier_logrank")
+        .when(some & timed & predicts & lower.contains("survival"), "cox_survival_predictor")
+        .when(armed & lower.contains("survival"), "kaplan_meier_logrank")
+        .when(says(text, ["odds ratio", "logistic"]) & some & number & ~flag, "logistic_regression")
+        .when(some & F.lit(event is not None) & (predicts | lower.contains("risk")), F.when(number & ~flag, "logistic_regression").otherwise("binary_categorical_association"))
+        .when(some & number & says(text, ["difference", "differed", "higher", "lower", "increased", "decreased", "between"]), "continuous_group_difference")
+        .when(some & ~number & lower.contains("relationship"), "binary_categorical_association")
+        .otherwise(claims_.family(text))
+    )
+
+
 def tests(df: DataFrame, wanted: list[tuple[str, str]], event: str | None, arm: str | None, time: str | None) -> DataFrame:
     """family, variable, p, way (positive: higher with the event) of each distinct test that claims name, run once each: numeric variables against the
-    event in one pass, categorical ones by chi-square, arms by log-rank, correlations with the event."""
+    event, or between two arms for balance, in one pass; categorical ones by chi-square, arms by log-rank, correlations with the event, predictors
+    by logistic and Cox regression of their own. A regression that its data refuse gives no row."""
     schema, parts = "family string, variable string, p double, way string", []
     numbers = set(numeric_columns(df))
     sign = lambda c: F.when(F.col(c) > 0, "positive").when(F.col(c) < 0, "negative")
@@ -60,18 +89,40 @@ def tests(df: DataFrame, wanted: list[tuple[str, str]], event: str | None, arm:
             parts.append(assoc.chi_square(df, v, event).select(F.lit(family).alias("family"), F.lit(v).alias("variable"), "p", F.lit(None).cast("string").alias("way")))
         elif family == "kaplan_meier_logrank" and arm and event and time:
             parts.append(survival.log_rank(df, time, event, arm).select(F.lit(family).alias("family"), F.lit(v).alias("variable"), "p", F.lit(None).cast("string").alias("way")))
+        elif family == "logistic_regression" and event and v in numbers:
+            parts += _fitted(family, v, lambda v=v: models.logistic(df, event, [v]))
+        elif family == "cox_survival_predictor" and event and time and v in numbers:
+            parts += _fitted(family, v, lambda v=v: models.cox(df, time, event, [v]))
         elif family == "correlation" and event and v in numbers and v != event:
             parts.append(assoc.correlation_tests(df, [v, event]).select(F.lit(family).alias("family"), F.lit(v).alias("variable"), "p", sign("r").alias("way")))
+    balanced = sorted({v for f, v in wanted if f == "baseline_balance" and v in numbers})
+    if balanced and arm:
+        arms = [r[0] for r in df.select(arm).filter(F.col(arm).isNotNull()).distinct().limit(3).collect()]
+        if len(arms) == 2:
+            m = inference.screen(df.withColumn("_second", (F.col(arm) == max(arms)).cast("int")), "_second", balanced)
+            parts.append(m.select(F.lit("baseline_balance").alias("family"), "variable", "p", sign("cohens_d").alias("way")))
     out = df.sparkSession.createDataFrame([], schema)
     for part in parts:
         out = out.union(part)
     return out
 
 
+def _fitted(family: str, variable: str, fit) -> list[DataFrame]:
+    """The row of a regression's term, or none if the data refuse it."""
+    try:
+        out = fit().filter(F.col("term") == variable)
+    except ValueError:
+        return []
+    way = F.when(F.col("coef") > 0, "positive").when(F.col("coef") < 0, "negative")
+    return [out.select(F.lit(family).alias("family"), F.lit(variable).alias("variable"), "p", way.alias("way"))]
+
+
 def verify(claims: DataFrame, text: str, df: DataFrame, event: str | None = None, arm: str | None = None, time: str | None = None, known: dict[str, list[str]] | None = None) -> DataFrame:
     """Adds family, variable, p, way and verdict to ``claims`` (with p_operator and p_value as ``evidence.reported`` reads them). Claims collapse to
     distinct tests, at most families times columns; each runs once and is joined back."""
-    rows = resolved(claims, text, aliases(df, known), [c for c in (event, time) if c]).withColumn("family", claims_.family(F.col(text)))
+    rows = resolved(claims, text, aliases(df, known), [c for c in (event, time) if c])
+    flags = [c for c, (_, flag) in levels(df).items() if flag]
+    rows = rows.withColumn("family", family_of(F.col(text), F.col("variable"), numeric_columns(df), flags, event, arm, time))
     rows = rows.withColumn("variable", F.when(F.col("family") == "kaplan_meier_logrank", F.lit(arm)).otherwise(F.col("variable")))
     rows = rows.withColumn("significant", claims_.significant(F.col(text), F.col("p_operator"), F.col("p_value")))
     wanted = [(r.family, r.variable) for r in rows.select("family", "variable").dropna().distinct().orderBy("family", "variable").collect()]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlake.operators import evaluation, inference
+from cohortlake.operators import evaluation, features, inference
 from cohortlake.plans.queries import query, rounded, table
+from cohortlake.plans.tails import f_p
 
 _COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
@@ -42,3 +43,32 @@ def selection_comparison(spark, sf_dir):
 def binary_interaction(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("late", (F.col("l_returnflag") == "R").cast("int"))
     return rounded(inference.binary_interaction(rows, "late", "l_linestatus", "l_suppkey"), 4)
+
+
+_F = "SELECT '{c}' AS variable, pow(corr({c}, l_extendedprice), 2) AS r2, count(*) AS n FROM lineitem"
+
+
+@query(
+    "regression_selection",
+    f"""
+WITH r AS ({" UNION ALL ".join(_F.format(c=c) for c in ("l_quantity", "l_discount", "l_tax", "l_linenumber"))}), f AS (SELECT *, r2 / (1 - r2) * (n - 2) AS f FROM r)
+SELECT variable, round(f, 2) AS f, round({f_p("f", "1", "(n - 2)")}, 4) AS p, n, row_number() OVER (ORDER BY f DESC, variable) AS rank FROM f QUALIFY rank <= 3""",
+)
+def regression_selection(spark, sf_dir):
+    out = features.univariate_regression(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "l_linenumber"], 3)
+    return rounded(out.withColumn("f", F.round("f", 2)).withColumn("p", F.round("p", 4)))
+
+
+_ETA = "(SELECT sum(n * pow(m - (SELECT avg({y}) FROM lineitem), 2)) / (SELECT var_pop({y}) * count(*) FROM lineitem) FROM (SELECT count(*) AS n, avg({y}) AS m FROM lineitem GROUP BY {g}))"
+
+
+@query(
+    "relevance_by_kind",
+    f"""
+WITH v AS (
+    SELECT 'l_quantity' AS variable, abs(corr(l_quantity, l_extendedprice)) AS v, 'correlation' AS kind FROM lineitem UNION ALL SELECT 'l_tax', abs(corr(l_tax, l_extendedprice)), 'correlation' FROM lineitem
+    UNION ALL SELECT 'l_returnflag', {_ETA.format(y="l_extendedprice", g="l_returnflag")}, 'eta2')
+SELECT variable, round(v / max(v) OVER (), 6) AS relevance, kind FROM v""",
+)
+def relevance_by_kind(spark, sf_dir):
+    return rounded(features.relevance_by_kind(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity", "l_tax"], ["l_returnflag"], True))

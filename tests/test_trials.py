@@ -196,3 +196,22 @@ def test_bullets_of_lines(spark):
     text = "- one two three four\n12) five six seven eight\n*bold* nine ten eleven\n•   a b c d\n3.5 mg were given daily\n-"
     got = claims.split_claims(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t").orderBy("line").collect()
     assert [g.claim for g in got] == ["one two three four", "five six seven eight", "*bold* nine ten eleven", "a b c d", "3.5 mg were given daily"]
+
+
+def test_regressions_that_claims_name(spark):
+    import numpy as np
+
+    from cohortlake.operators import models, verification
+
+    r = np.random.default_rng(6)
+    rows = [(i, float(a := r.normal(50, 9)), int(r.random() < 1 / (1 + np.exp(-(a - 50) / 6))), float(np.ceil(r.exponential(40))), int(r.random() < 0.5), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, age double, died int, days double, smoker int, arm int")
+    said = ["Age predicts death (p < 0.001).", "Higher age was a risk in those who died, hazard ratio 1.02 (p = 0.9).", "Smoker status was associated with death.", "Age was in balance at baseline (SMD 0.01).", "Arms differed in survival (p = 0.01).", "Nothing was said."]
+    out = verification.verify(evidence.reported(spark.createDataFrame([(i, t) for i, t in enumerate(said)], "i int, claim string"), "claim"), "claim", df, event="died", arm="arm", time="days", known={"smoker": ["smoker status"]})
+    got = {x.i: x for x in out.collect()}
+    assert [got[i].family for i in range(6)] == ["logistic_regression", "cox_survival_predictor", "binary_categorical_association", "baseline_balance", "kaplan_meier_logrank", None]
+    of = lambda t: t.filter("term = 'age'").first()
+    assert got[0].p == pytest.approx(of(models.logistic(df, "died", ["age"])).p) and got[0].way == "positive" and got[0].verdict == "verified"
+    fit = of(models.cox(df, "days", "died", ["age"]))
+    assert got[1].p == pytest.approx(fit.p) and fit.low < fit.hazard_ratio < fit.high and 0 < fit.c_index < 1
+    assert all(got[i].p is not None for i in range(5)) and got[5].p is None
