@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortlake.operators.longform import need
+from cohortlake.operators import rules
+from cohortlake.operators.longform import need, saved
 from cohortlake.operators.rules import decided, low, mentions, size, words
 
 # Sentences that a report must not show, words of a report's making, claims to soften and what stands for them.
@@ -85,6 +86,64 @@ def verbalised(findings: DataFrame) -> DataFrame:
     return findings.withColumn("sentence", said)
 
 
+def compared(findings: DataFrame) -> DataFrame:
+    """Adds comparison, the plain claim of a finding (variable, endpoint, significant, direction, effect_label, effect) without its numbers: no
+    significant association; higher risk of death with more or less of the variable; or an association with the outcome."""
+    need(findings, "variable", "endpoint", "significant", "direction", "effect_label", "effect")
+    name = F.trim(F.replace(F.lower(F.coalesce("variable", F.lit(""))), F.lit("_"), F.lit(" ")))
+    subject = F.when(name != "", _begun(name)).otherwise("This variable")
+    outcome = F.lit("the outcome")
+    for key, said in ENDPOINTS.items():
+        outcome = F.when(F.col("endpoint") == key, said).otherwise(outcome)
+    ratio = F.coalesce(F.col("effect_label").isin("odds_ratio", "hazard_ratio", "risk_ratio") & F.col("effect").isNotNull(), F.lit(False))
+    way = F.when(ratio, F.when(F.col("effect") > 1, "positive").when(F.col("effect") < 1, "negative").otherwise("none")).otherwise(F.coalesce("direction", F.lit("unknown")))
+    side = F.when((name == "age") & (way == "positive"), "Older age").when((name != "") & (way == "positive"), F.concat(F.lit("Higher "), name)).when((name != "") & (way == "negative"), F.concat(F.lit("Lower "), name))
+    text = lambda *parts: F.concat(*(p if isinstance(p, F.Column) else F.lit(p) for p in parts))
+    said = F.when(~F.col("significant"), text(subject, " did not show a statistically significant association with ", outcome, "."))
+    said = said.when(F.col("significant") & side.isNotNull() & (F.col("endpoint") == "mortality"), text(side, " was associated with higher mortality risk."))
+    said = said.when(F.col("significant") & side.isNotNull(), text(side, " was associated with ", outcome, ".")).otherwise(text(subject, " was significantly associated with ", outcome, "."))
+    return findings.withColumn("comparison", said)
+
+
+TEXTS = ["comparison_text", "plain_text", "text", "raw_text"]  # in order of preference
+
+
+def comparable(findings: DataFrame, report: str, key: str) -> DataFrame:
+    """The findings of each report that can be held against another report's, each text once.
+
+    Rows have ``TEXTS``, of which the first that is not blank counts, source (grounded or corrected), category, variable, endpoint, significant, p, effect,
+    ci_low, test, strength (0 to 100), strength_label and citations, all of which may be null. A category that the text belies gives way to the text's. What stays is
+    analytical, of a type that is compared, not about an endpoint or a follow-up time itself; grounded rows must be eligible as sentences, corrected ones may
+    be bare statistics if they have a variable and a number. Of equal texts of a report grounded ones come first, then the least key.
+
+    Adds said, claim_type, evidence_score (strength by 100; 0.6 if only cited; else 0), evidence_label, extraction (how much of a test the row tells, 0 to 1).
+    """
+    need(findings, report, key, *TEXTS, "source", "category", "variable", "endpoint", "significant", "p", "effect", "ci_low", "test", "strength", "strength_label", "citations")
+    said = F.coalesce(*(F.nullif(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit("")) for c in TEXTS), F.lit(""))
+    rows = findings.withColumn("said", said).withColumn("_given", F.col("category")).drop("category")
+    rows = saved(rules.gated(rules.categorised(rows, "said", "variable", "endpoint"), "said").drop("category_rules", "category_mask", "instruction"))
+    analytical = lambda c: F.coalesce(F.col(c).isin(rules.ANALYTICAL_CATEGORIES), F.lit(False))
+    whole = F.coalesce(F.trim("variable") != "", F.lit(False)) & (F.col("p").isNotNull() | F.col("effect").isNotNull() | F.col("significant").isNotNull()) & (F.col("source") == "corrected")
+    given = F.when(whole & (F.col("_given") == "artifact_excluded"), "analytical").otherwise(F.coalesce("_given", "category"))
+    seen = F.when(whole & (F.col("category") == "artifact_excluded"), "analytical").otherwise(F.col("category"))
+    rows = rows.withColumn("_seen", seen).withColumn("_given", given)
+    rows = rows.withColumn("category", F.when(analytical("_given") & ~analytical("_seen"), F.col("_seen")).otherwise(F.col("_given")))
+    rows = saved(rules.typed(rows, "said", "variable", "significant", "p").drop("claim_type_rules", "claim_type_mask", "_given", "_seen"))
+    broken = F.col("header") | F.col("raw_statistic") | F.col("fragment")
+    itself = F.coalesce(rules.endpoint_like(F.col("variable")) | rules.follow_up_like(F.col("variable")), F.lit(False))
+    fits = analytical("category") & F.col("claim_type").isin(rules.COMPARED_TYPES) & ~itself & F.when(F.col("source") == "grounded", F.col("eligible")).otherwise(~broken | whole)
+    rows = rows.filter(fits).drop("header", "raw_statistic", "fragment", "eligible")
+    score = F.when(F.col("strength").isNotNull(), F.col("strength") / 100).when(F.coalesce("citations", F.lit(0)) > 0, 0.6).otherwise(0.0)
+    label = F.when(F.col("strength").isNotNull(), F.lower("strength_label")).when(F.coalesce("citations", F.lit(0)) > 0, "cited").otherwise("ungrounded")
+    # fixed values: what each part of a reported test is worth; 0.1 for a report of one's own
+    told = [("significant", 0.15), ("p", 0.25), ("effect", 0.25), ("ci_low", 0.15), ("test", 0.1)]
+    extraction = reduce(lambda a, b: a + b, (F.when(F.col(c).isNotNull(), v).otherwise(0.0) for c, v in told)) + 0.1
+    rows = rows.withColumn("evidence_score", score).withColumn("evidence_label", label).withColumn("extraction", F.least(extraction, F.lit(1.0)))
+    first = rows.groupBy(F.col(report).alias("_report"), F.lower("said").alias("_said")).agg(F.min(F.struct((F.col("source") != "grounded").alias("late"), F.col(key).alias("key"))).alias("_first"))
+    same = F.col(report).eqNullSafe(F.col("_report")) & (F.lower("said") == F.col("_said")) & (F.col(key) == F.col("_first.key")) & ((F.col("source") != "grounded") == F.col("_first.late"))
+    return rows.join(first, same).drop("_report", "_said", "_first")
+
+
 def checked(findings: DataFrame, sentence: str) -> DataFrame:
     """Adds violations, an array of what is wrong with a supplied sentence, and accepted, the sentence with blanks squeezed and a full stop if
     nothing is: it is one sentence of at most 220 characters, advises nothing, claims no cause, tells no direction that is unknown, names no endpoint
@@ -94,7 +153,7 @@ def checked(findings: DataFrame, sentence: str) -> DataFrame:
     lower = F.lower(clean)
     said = lambda phrases: lower.rlike(words(*phrases))
     parts = F.size(F.filter(F.split(clean, r"(?<=[.!?])\s+"), lambda x: F.trim(x) != ""))
-    rules = [
+    tests = [
         ("empty", clean == ""),
         ("too long", F.length(clean) > LONGEST),
         ("several sentences", parts > 1),
@@ -105,7 +164,7 @@ def checked(findings: DataFrame, sentence: str) -> DataFrame:
         ("claims significance", ~F.col("significant") & lower.contains("significant") & ~lower.contains("not")),
         ("denies significance", F.col("significant") & (lower.contains("did not show") | lower.contains("not significant"))),
     ]
-    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules)))
+    found = F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in tests)))
     out = findings.withColumn("violations", found)
     return out.withColumn("accepted", F.when(F.size("violations") == 0, F.when(clean.rlike(r"[.!?]$"), clean).otherwise(F.concat(clean, F.lit(".")))))
 
@@ -140,8 +199,8 @@ def curated(notes: DataFrame, report: str, key: str, text: str, most: int = 12)
     lower = lambda c: F.lower(F.col(c))
     clean = notes.withColumn("_text", told_plainly(F.col(text)))
     points = reduce(lambda a, b: a + b, [F.when(mentions_anywhere(lower("_text"), told), value).otherwise(0) for _, told, value in SUBJECTS] + [F.when(mentions_anywhere(lower("_text"), SMALL), SMALL_POINTS).otherwise(0)])
-    rules = [(name, mentions_anywhere(lower("_text"), told), name) for name, told, _ in SUBJECTS]
-    clean = decided(clean.withColumn("points", points), rules, "subject", "other").drop("subject_rules", "subject_mask")
+    subjects = [(name, mentions_anywhere(lower("_text"), told), name) for name, told, _ in SUBJECTS]
+    clean = decided(clean.withColumn("points", points), subjects, "subject", "other").drop("subject_rules", "subject_mask")
     # equal texts: a partial aggregate finds the least key before rows meet
     once = clean.filter("_text <> ''").groupBy(F.col(report).alias("_report"), low(F.col("_text")).alias("_same")).agg(F.min(key).alias("_first"))
     clean = clean.withColumn("_same", low(F.col("_text"))).join(once.withColumnRenamed("_same", "_s"), F.col(report).eqNullSafe(F.col("_report")) & (F.col("_same") == F.col("_s")), "left")
@@ -186,14 +245,14 @@ def synthesis_errors(rows: DataFrame) -> DataFrame:
     need(rows, "kind", "text", "source", "status", "citations")
     t, kind = F.trim(F.coalesce("text", F.lit(""))), F.col("kind")
     digits = t.rlike("[0-9]")
-    rules = [
+    tests = [
         ("trivial source", (kind == "question") & (size(F.trim(F.coalesce("source", F.lit("")))) < 4)),
         ("no citations", (kind == "finding") & F.col("status").isin("Supported", "Contradicted") & (F.coalesce("citations", F.lit(0)) == 0)),
         ("no number", (kind == "recommendation") & ~digits),
         ("placeholder", (kind == "hypothesis") & ((size(t) <= 10) | (t == "Further investigation required."))),
         ("no sample size", (kind == "sample_size") & ~digits & (F.length(t) <= 20)),
     ]
-    return rows.withColumn("errors", F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in rules))))
+    return rows.withColumn("errors", F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in tests))))
 
 
 def _strings(kind: T.DataType, at: F.Column, path: F.Column) -> F.Column | None:

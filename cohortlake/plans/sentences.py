@@ -232,3 +232,37 @@ def finding_warnings(spark, sf_dir):
     missing = profile.missingness(lines, ["quantity", "price"])
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "IF(p_partkey % 2 = 0, 'quantity', 'price') AS variable", "p_size AS n_a", "100 AS n_b")
     return curation.warned(rows, "variable", missing, "n_a", "n_b").select("p_partkey", F.array_join("warnings", " ").alias("warnings"))
+
+
+@query(
+    "comparison_sentences",
+    """
+WITH f AS (
+    SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN 'age' WHEN p_partkey % 11 = 1 THEN 'survival primary' ELSE 'serum marker' END AS v, p_partkey % 3 AS o, CASE WHEN p_partkey % 5 > 0 THEN p_size < 25 END AS sig,
+        CASE WHEN p_partkey % 4 < 2 THEN sign(p_size - 20) WHEN p_partkey % 7 = 0 THEN 0 WHEN p_size % 2 = 0 THEN 1 ELSE -1 END AS way FROM part),
+s AS (SELECT *, CASE WHEN way = 1 AND v = 'age' THEN 'Older age' WHEN way = 1 THEN 'Higher ' || v WHEN way = -1 THEN 'Lower ' || v END AS side, upper(v[1]) || v[2:] AS subject, CASE o WHEN 0 THEN 'mortality' WHEN 1 THEN 'the primary outcome' ELSE 'the outcome' END AS outcome FROM f)
+SELECT p_partkey, CASE WHEN NOT sig THEN subject || ' did not show a statistically significant association with ' || outcome || '.' WHEN sig AND side IS NOT NULL AND o = 0 THEN side || ' was associated with higher mortality risk.'
+    WHEN sig AND side IS NOT NULL THEN side || ' was associated with ' || outcome || '.' ELSE subject || ' was significantly associated with ' || outcome || '.' END AS comparison FROM s""",
+)
+def comparison_sentences(spark, sf_dir):
+    return curation.compared(tested(spark, sf_dir)).select("p_partkey", "comparison")
+
+
+@query(
+    "comparable_findings",
+    f"""
+WITH r AS (
+    SELECT p_brand AS report, p_partkey, p_partkey % 3 = 0 AS late, kind, p_partkey % 37 AS v, p_size AS k, CASE WHEN p_partkey % 4 = 1 THEN p_size * 2.0 / 100 WHEN p_partkey % 4 = 2 THEN 0.6 ELSE 0 END AS score,
+        CASE WHEN p_partkey % 4 = 1 THEN 'weak' WHEN p_partkey % 4 = 2 THEN 'cited' ELSE 'ungrounded' END AS label
+    FROM part JOIN (VALUES {_values(3, 8)}) w(kind, category, eligible) ON {_KIND} = kind WHERE category = 'analytical' AND eligible = 1),
+u AS (SELECT *, row_number() OVER (PARTITION BY report, kind, v, k ORDER BY late, p_partkey) AS i FROM r)
+SELECT report, p_partkey, 'analytical_association' AS claim_type, score AS evidence_score, label AS evidence_label, CAST(0.35 AS DOUBLE) AS extraction FROM u WHERE i = 1""",
+)
+def comparable_findings(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("report"), "p_size")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = sentences(spark, sf_dir).join(part, "p_partkey").select(
+        "report", "p_partkey", F.when(F.col("p_partkey") % 5 == 0, F.col("text")).otherwise(F.lit("  ")).alias("comparison_text"), F.when(F.col("p_partkey") % 5 == 1, F.col("text")).alias("plain_text"), F.when(F.col("p_partkey") % 5 > 1, F.col("text")).alias("text"), F.lit("raw words").alias("raw_text"),
+        F.when(F.col("p_partkey") % 3 == 0, "corrected").otherwise("grounded").alias("source"), F.lit("analytical").alias("category"), "variable", "endpoint", "significant", "p", none("double").alias("effect"), none("double").alias("ci_low"), none("string").alias("test"),
+        F.when(F.col("p_partkey") % 4 == 1, F.col("p_size") * 2).alias("strength"), F.lit("Weak").alias("strength_label"), F.when(F.col("p_partkey") % 4 == 2, 1).alias("citations"))
+    return rounded(curation.comparable(rows, "report", "p_partkey").select("report", "p_partkey", "claim_type", "evidence_score", "evidence_label", "extraction"))
