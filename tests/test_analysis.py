@@ -41,7 +41,7 @@ def test_continuous_with_imputation(spark, tmp_path):
 def test_three_arms(spark, tmp_path):
     df, rows = made(spark, 3)
     plan = analysis.Plan(arm="arm", subject="id", primary=["score"], outcome="continuous")
-    tables = analysis.report(df, plan, str(tmp_path / "report"))
+    tables = analysis.report(df.drop("marker"), plan, str(tmp_path / "report"))
     f = tables["findings"].collect()
     assert [(r.finding, r.test, r.n) for r in f] == [("score", "kruskal_wallis", 240)]
     assert {r.arm for r in tables["balance"].collect()} == {"b", "c"}
@@ -52,12 +52,12 @@ def test_three_arms(spark, tmp_path):
 
 def test_binary(spark):
     df, rows = made(spark)
-    work = analysis.Analysis(df, analysis.Plan(arm="arm", subject="id", primary=["cured"])).run()
+    work = analysis.Analysis(df.drop("marker"), analysis.Plan(arm="arm", subject="id", primary=["cured"])).run()
     assert work.plan.outcome == "binary"
     a1, b1 = (sum(x[4] for x in rows if x[1] == g) for g in "ba")
     r = work.tables["findings"].first()
     assert r.effect == pytest.approx(a1 * (120 - b1) / (b1 * (120 - a1))) and r.n == 240 and r.effect_label == "odds_ratio" and r.direction == "negative" and r.significant
-    c = analysis.Analysis(made(spark, 3)[0], analysis.Plan(arm="arm", subject="id", primary=["cured"])).run().tables["findings"].first()
+    c = analysis.Analysis(made(spark, 3)[0].drop("marker"), analysis.Plan(arm="arm", subject="id", primary=["cured"])).run().tables["findings"].first()
     assert (c.test, c.effect_label, c.n) == ("chi_square", "cramers_v", 240)
 
 
