@@ -3,21 +3,25 @@
 A document's set holds the hashes of its distinct 5-word shingles; equal sets are one class. Sets of similarity 3/4
 share at least 3/4 of either one's tokens, so a class of which less is found in any other class links with nothing. This
 is settled first: every token goes once to the partition of its hash (packed, and joined within a task before), which
-tells each class which of its tokens live elsewhere too. The few classes left get one global order, rare tokens first, and meet
-on the tokens of their prefixes: of n tokens, ``living`` of them shared, the first ``living - ceil(3 n / 4) + 1`` shared ones.
-
-Comparisons are walks through prefix trees of at most ``members`` sets. First every class goes to the cell of the most
-central class it meets; the tree of a cell finds the links among its members. What still meets across components is
-found by token and leaf (a part of a component, bounded by its largest remaining lengths), not by pair: the classes of
-the smaller component walk the tree of each leaf they meet. No link between different components is lost, and no group
-of copies, however large, is expanded into pairs.
-
-Tokens have 54 bits; classes are named by 64 bits of a cryptographic hash of the set.
+tells each class which of its tokens live elsewhere too. Tokens of the few classes left that the same classes hold (a
+passage that travels whole) become one element with their number as its weight. Elements get one global order, rare ones
+first, and classes meet on their prefixes: the elements from which on at least 3/4 of the class is left.
+
+Comparisons are walks through prefix trees. First every class goes to the cell of the most central class it meets; the
+tree of a cell finds the links among its members. What still meets across components is found in two ways. Large
+components are cut into leaves of at most ``members`` classes, and the classes of a smaller component walk the tree of
+each leaf they meet. Classes of small components meet at the places of their elements: a place is one tree, whatever is
+shared there, so the rows grow with the prefixes of the classes and not with the pairs that share something. A place of
+m > ``members`` classes is cut into sqrt(m / members) blocks, block against block. No link between different components
+is lost, and no group of copies, however large, is expanded into pairs.
+
+Tokens and elements have 54 bits; classes are named by 64 bits of a cryptographic hash of the set.
 """
 
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,31 +191,36 @@ def living_tokens(docs: DataFrame, total: int, buffer: int = 1 << 20, group: int
 
 
 def survivors(docs: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, n, tokens): the classes that may link, with their shared tokens in the global order: classes of frequency
-    (four to a doubling) in the upper bits, then the hash."""
+    """(node, n, tokens, weights): the classes that may link, with their shared elements in the global order: classes of
+    frequency (four to a doubling) in the upper bits, then a hash of the classes that hold the element."""
     total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = living_tokens(docs, total).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
     found = scratch.save(found.join(nodes.select("node", "n"), "node").filter("4 * size(tokens) >= 3 * n"))
     each = found.select("node", "n", F.explode("tokens").alias("token"))
-    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    code = F.shiftleft(F.least(F.floor(4 * F.log2("c")), F.lit(255)).cast("long"), BITS).bitwiseOR(F.col("token"))
-    kept = each.join(counts, "token").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(code)).alias("tokens"))
-    kept = scratch.save(kept.filter("4 * size(tokens) >= 3 * n"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("holders")).filter("c > 1")
+    often = F.shiftleft(F.least(F.floor(4 * F.log2("c")), F.lit(255)).cast("long"), BITS)
+    counts = counts.select("token", often.bitwiseOR(F.shiftrightunsigned(F.xxhash64("holders", "c"), 64 - BITS)).alias("code"))
+    # one exchange by node serves both groupings
+    kept = each.join(counts, "token").repartition("node").groupBy("node", "code").agg(F.first("n").alias("n"), F.count(F.lit(1)).cast("int").alias("w"))
+    kept = kept.groupBy("node").agg(F.first("n").alias("n"), F.sum("w").alias("living"), F.sort_array(F.collect_list(F.struct("code", "w"))).alias("s"))
+    kept = scratch.save(kept.filter("4 * living >= 3 * n").select("node", "n", F.col("s.code").alias("tokens"), F.col("s.w").alias("weights")))
     scratch.free(found)
     return kept
 
 
 class PrefixTree:
-    """Sets in one global order; a node holds the tokens its sets share beyond its parent. A set is given by its tokens
-    and its size, as tokens that no other set has may be left out."""
+    """Sets of weighted elements in one global order; a node holds the elements its sets share beyond its parent. A set is
+    given by its elements, their weights and its size, as tokens that no other set has may be left out."""
 
-    def __init__(self, sets: list[np.ndarray], sizes: list[int]):
+    def __init__(self, sets: list[np.ndarray], weights: list[np.ndarray], sizes: list[int]):
         self.sizes = sizes
+        self.sums = [np.r_[0, np.cumsum(w)] for w in weights]
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 2 * len(sets) + 1000))  # sets may each go on from the one before
         order = sorted(range(len(sets)), key=lambda k: sets[k].astype(">u8").tobytes())
         self.root = self._node([(k, sets[k]) for k in order], 0)
 
     def _node(self, members: list, depth: int) -> tuple:
-        first, last = members[0][1], members[-1][1]
+        (k, first), last = members[0], members[-1][1]
         most = min(len(first), len(last))
         differ = np.flatnonzero(first[depth:most] != last[depth:most])
         end = depth + int(differ[0]) if len(differ) else most
@@ -224,27 +233,46 @@ class PrefixTree:
                 j += 1
             below.append(self._node(rest[i:j], end))
             i = j
-        return first[depth:end], end, ended, below, max(len(s) for _, s in members), min(self.sizes[k] for k, _ in members)
+        after = max(int(self.sums[m][-1] - self.sums[m][end]) for m, _ in members)
+        return first[depth:end], np.diff(self.sums[k][depth : end + 1]), ended, below, after, min(self.sizes[m] for m, _ in members)
 
-    def linked(self, own: np.ndarray, size: int) -> Iterator[int]:
+    def linked(self, own: np.ndarray, weights: np.ndarray, size: int) -> Iterator[int]:
         """Sets that have similarity 3/4 with ``own`` of ``size``: 7 * overlap >= 3 * (sum of sizes)."""
         n = len(own)
-        todo = [(self.root, 0)]
+        if not n:
+            return
+        left = np.r_[np.cumsum(weights[::-1])[::-1], 0]
+        todo = [(self.root, 0, 0)]
         while todo:
-            (tokens, depth, ended, below, most, least), overlap = todo.pop()
-            passed = 0
+            (tokens, tree, ended, below, after, least), overlap, passed = todo.pop()
             if len(tokens):
-                overlap += int(np.count_nonzero(own[np.minimum(np.searchsorted(own, tokens), n - 1)] == tokens))
+                overlap += int(tree[own[np.minimum(np.searchsorted(own, tokens), n - 1)] == tokens].sum())
                 passed = int(np.searchsorted(own, tokens[-1], "right"))
             yield from (k for k in ended if 7 * overlap >= 3 * (size + self.sizes[k]))
-            if below and 7 * (overlap + min(most - depth, n - passed)) >= 3 * (size + least):
-                todo += [(b, overlap) for b in below]
+            if below and 7 * (overlap + min(after, int(left[passed]))) >= 3 * (size + least):
+                todo += [(b, overlap, passed) for b in below]
 
 
-def _read(table: pa.Table) -> tuple[list[int], list[np.ndarray], list[int]]:
-    lists = table["tokens"].combine_chunks()
+def _arrays(table: pa.Table | pa.RecordBatch, name: str) -> list[np.ndarray]:
+    lists = table[name]
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     at, flat = np.asarray(lists.offsets), np.asarray(lists.values)
-    return table["node"].to_pylist(), [flat[a:b] for a, b in zip(at[:-1], at[1:])], table["n"].to_pylist()
+    return [flat[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _read(table: pa.Table | pa.RecordBatch) -> tuple[list[int], list[np.ndarray], list[np.ndarray], list[int]]:
+    return table["node"].to_pylist(), _arrays(table, "tokens"), _arrays(table, "weights"), table["n"].to_pylist()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, n, token, at, pos, left) of each element of a prefix: its index, the weight before it and from it on."""
+    for batch in batches:
+        for node, tokens, weights, n in zip(*_read(batch)):
+            ends = np.cumsum(weights.astype(np.int64))
+            left = ends[-1] - ends + weights
+            m = int(np.count_nonzero(4 * left >= 3 * n))
+            columns = [np.full(m, node), np.full(m, n), tokens[:m], np.arange(m), (ends - weights)[:m], left[:m]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], ["node", "n", "token", "at", "pos", "left"])
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.Table:
@@ -252,24 +280,34 @@ def _edges(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _cell(table: pa.Table) -> pa.Table:
-    """A forest of the links among the members of a cell."""
-    node, tokens, sizes = _read(table)
-    tree, group, out = PrefixTree(tokens, sizes), list(range(len(node))), []
-    central = node.index(table["cell"][0].as_py())
+class Forest:
+    """Disjoint sets by name."""
 
-    def top(k: int) -> int:
-        while group[k] != k:
+    def __init__(self):
+        self.group: dict[int, int] = {}
+
+    def top(self, k: int) -> int:
+        group = self.group
+        while group.setdefault(k, k) != k:
             group[k] = k = group[group[k]]
         return k
 
+    def join(self, a: int, b: int) -> bool:
+        """Whether ``a`` and ``b`` were apart."""
+        a, b = self.top(a), self.top(b)
+        self.group[a] = b
+        return a != b
+
+
+def _cell(table: pa.Table) -> pa.Table:
+    """A forest of the links among the members of a cell."""
+    node, tokens, weights, sizes = _read(table)
+    tree, forest, out = PrefixTree(tokens, weights, sizes), Forest(), []
+    central = node.index(table["cell"][0].as_py())
     for k in [central, *(i for i in range(len(node)) if i != central)]:
-        if k != central and top(k) == top(central):
+        if k != central and forest.top(k) == forest.top(central):
             continue  # part of the central class's component: others come to it
-        for hit in tree.linked(tokens[k], sizes[k]):
-            if top(hit) != top(k):
-                group[top(hit)] = top(k)
-                out.append((node[k], node[hit]))
+        out += [(node[k], node[hit]) for hit in tree.linked(tokens[k], weights[k], sizes[k]) if forest.join(hit, k)]
     return _edges(out)
 
 
@@ -278,15 +316,37 @@ def _leaf(table: pa.Table) -> pa.Table:
     asks = np.asarray(table["asks"])
     if asks.all() or not asks.any():
         return _edges([])
-    members, tokens, sizes = _read(table.filter(pa.array(~asks)))
-    tree, out = PrefixTree(tokens, sizes), []
-    for node, own, size in zip(*_read(table.filter(pa.array(asks)))):
-        hit = next(tree.linked(own, size), None)
+    members, *sets = _read(table.filter(pa.array(~asks)))
+    tree, out = PrefixTree(*sets), []
+    for node, *own in zip(*_read(table.filter(pa.array(asks)))):
+        hit = next(tree.linked(*own), None)
         if hit is not None:
             out.append((node, members[hit]))
     return _edges(out)
 
 
+def _places(table: pa.Table) -> pa.Table:
+    """A forest of the links between components at the places of a bucket. Sets begin with the element of the place, so a
+    pair has its whole overlap at the first element it shares."""
+    node, tokens, weights, sizes = _read(table)
+    root = table["root"].to_pylist()
+    place = np.stack([np.asarray(table[c]).astype(np.int64) for c in ("token", "one", "other", "block")])
+    order = np.lexsort(place[::-1])
+    ends = np.flatnonzero(np.r_[(np.diff(place[:3, order]) != 0).any(0), True]) + 1
+    forest, out = Forest(), []
+    for here in np.split(order, ends[:-1]):
+        _, one, other, _ = place[:, here[0]]
+        block = place[3, here]
+        members, walkers = here[block == one], here[block == other]
+        if len({root[k] for k in here}) < 2 or not len(members) or not len(walkers):
+            continue
+        tree = PrefixTree([tokens[k] for k in members], [weights[k] for k in members], [sizes[k] for k in members])
+        for k in walkers:
+            hits = (members[h] for h in tree.linked(tokens[k], weights[k], sizes[k]))
+            out += [(node[k], node[h]) for h in hits if root[h] != root[k] and forest.join(root[h], root[k])]
+    return _edges(out)
+
+
 def in_cells(kept: DataFrame, entries: DataFrame, scratch: Scratch, members: int) -> DataFrame:
     """Links (a, b) of classes within the cell of the most central class they meet."""
     counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
@@ -305,24 +365,49 @@ def in_cells(kept: DataFrame, entries: DataFrame, scratch: Scratch, members: int
     return links
 
 
-def across(kept: DataFrame, entries: DataFrame, roots: DataFrame, scratch: Scratch, members: int) -> DataFrame:
-    """Links (a, b) between the components ``roots`` (node, root)."""
+def in_places(kept: DataFrame, met: DataFrame, scratch: Scratch, members: int) -> DataFrame:
+    """Links (a, b) between components of ``met`` (node, root, n, token, at, left), found where elements are shared. Only
+    for components of a bounded number of classes, as all of them come to a place."""
+    for _ in range(2):  # who finds nobody to link with leaves; then others do
+        there = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("n").alias("least"), F.max("left").alias("most"))
+        fits = 7 * F.least("left", "most") >= 3 * (F.col("n") + F.col("least"))
+        met = met.join(there.filter("lo < hi").drop("lo", "hi"), "token").filter(fits).drop("least", "most")
+    met = scratch.save(met)
+    there = met.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
+    come = met.join(there.select("token", F.ceil(F.sqrt(F.col("m") / members)).cast("int").alias("blocks")), "token")
+    come = come.select("token", "node", "root", "at", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
+    come = come.join(kept, "node").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = [F.slice(c, F.col("at") + 1, F.size(c)).alias(c) for c in ("tokens", "weights")]
+    come = scratch.save(come.select("token", F.least("block", "to").alias("one"), F.greatest("block", "to").alias("other"), "block", "root", "node", "n", *cut))
+    buckets = int((come.agg(F.sum(F.size("tokens"))).first()[0] or 0) >> 18) + 1
+    links = come.groupBy(F.pmod(F.xxhash64("token", "one", "other"), F.lit(buckets)).alias("bucket")).applyInArrow(_places, "a long, b long")
+    links = scratch.save(links)
+    scratch.free(met, come)
+    return links
+
+
+def across(kept: DataFrame, entries: DataFrame, roots: DataFrame, scratch: Scratch, members: int, few: int = 32) -> DataFrame:
+    """Links (a, b) between the components ``roots`` (node, root). Components of more than ``few`` classes are cut into
+    leaves; the others meet at the places of their elements."""
     entries = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     contested = entries.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("token")
     met = scratch.save(entries.join(contested, "token"))
-    of = met.select("root", "node").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("m"))
-    met = met.join(of, "root").withColumn("leaf", F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / members)).cast("int"))
-    met = scratch.save(met.withColumn("rank", F.struct("m", "root")))
-    leaves = met.groupBy("token", "rank", "leaf").agg(F.min("n").alias("least"), F.max("pos").alias("before"), F.max("left").alias("after"))
+    large = met.select("root", "node").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > few)
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))  # a large component is no one task's
+    met = met.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(16)).cast("int")).join(large, ["root", "salt"], "left").drop("salt")
+    met = scratch.save(met.withColumn("rank", F.struct(F.coalesce("m", F.lit(0)).alias("m"), "root")).drop("m"))
+    small = in_places(kept, met.filter("rank.m = 0").drop("rank", "pos"), scratch, members)
+    big = met.filter("rank.m > 0").withColumn("leaf", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("rank.m") / members)).cast("int"))
+    leaves = big.groupBy("token", "rank", "leaf").agg(F.min("n").alias("least"), F.max("pos").alias("before"), F.max("left").alias("after"))
     leaves = leaves.select("token", F.col("rank").alias("theirs"), F.col("leaf").alias("into"), "least", "before", "after")
     fits = (F.col("rank") < F.col("theirs")) & (7 * (F.least("pos", "before") + F.least("left", "after")) >= 3 * (F.col("n") + F.col("least")))
     asks = met.join(leaves, "token").filter(fits).select("node", F.col("theirs.root").alias("root"), F.col("into").alias("leaf")).distinct()
     asks = scratch.save(asks)
     deal = asks.groupBy("root", "leaf").agg(F.ceil(F.count(F.lit(1)) / members).cast("int").alias("parts"))
     come = asks.join(deal, ["root", "leaf"]).select("node", "root", "leaf", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("asks"))
-    there = met.select("node", "root", "leaf").distinct().join(deal, ["root", "leaf"])
+    there = big.select("node", "root", "leaf").distinct().join(deal, ["root", "leaf"])
     there = there.select("node", "root", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("asks"))
-    return scratch.save(come.union(there).join(kept, "node").groupBy("root", "leaf", "part").applyInArrow(_leaf, "a long, b long"))
+    return scratch.save(small.union(come.union(there).join(kept, "node").groupBy("root", "leaf", "part").applyInArrow(_leaf, "a long, b long")))
 
 
 def grouped(docs: DataFrame, mark: F.Column, scratch: Scratch, members: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -331,9 +416,7 @@ def grouped(docs: DataFrame, mark: F.Column, scratch: Scratch, members: int = 25
     rows = scratch.save(described(docs))
     nodes = scratch.save(rows.filter("n > 0").groupBy("node").agg(F.min(mark).alias("least"), F.first("n").alias("n")))
     kept = survivors(docs, nodes, scratch)
-    prefix = F.slice("tokens", 1, F.size("tokens") - F.ceil(3 * F.col("n") / 4).cast("int") + 1)
-    entries = kept.select("node", "n", F.size("tokens").alias("living"), F.posexplode(prefix).alias("pos", "token"))
-    entries = scratch.save(entries.withColumn("left", F.col("living") - F.col("pos")).drop("living"))
+    entries = scratch.save(kept.mapInArrow(_prefixes, "node long, n long, token long, at long, pos long, left long"))
     links = in_cells(kept, entries, scratch, members)
     roots = components(links, scratch)
     more = across(kept, entries, roots, scratch, members)
