@@ -62,9 +62,9 @@ def test_places_equal_brute_force(spark, monkeypatch):
 
 def test_rows_grow_with_the_documents(spark):
     rows = []
-    for n in (400, 800):
+    for n in (800, 1600):
         table = spark.createDataFrame(list(enumerate(corpus(n, random.Random(2)))), "doc_id long, text string").repartition(4)
         scratch = Counting(spark)
         jaccard.grouped(table, F.col("doc_id"), scratch)
         rows.append(scratch.rows)
-    assert 0 < rows[1] <= 2.2 * rows[0], rows
+    assert 0 < rows[1] <= 2.4 * rows[0], rows  # a class has 19 places, then 22: more of its elements are shared
