@@ -170,6 +170,13 @@ def metrics(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
     )
 
 
+def upgrades(matches: DataFrame, left: str, right: str) -> DataFrame:
+    """report, pairs, upgrades, upgrade_rate: of each report's pairs those whose left finding has the stronger evidence (``left`` above ``right``; a
+    null score is no upgrade)."""
+    out = matches.groupBy("report").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col(left) > F.col(right)).alias("upgrades"))
+    return out.withColumn("upgrade_rate", F.round(F.col("upgrades") / F.col("pairs"), 4))
+
+
 def effect_check(claims: DataFrame, kind: str, claimed: str, found: str, low: str, high: str) -> DataFrame:
     """Adds effect_verdict: contradicted if the claimed and the recomputed effect lie on opposite sides of the null; partial if ratios differ by 1.5 times
     or others by 0.2 and half the claim, or the claimed interval holds the null and the recomputed effect is away from it; else verified; null without both."""

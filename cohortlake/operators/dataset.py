@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortlake.operators import association as assoc
 from cohortlake.operators import profile
 from cohortlake.operators.guardrails import numeric_columns, tokens
+from cohortlake.operators.longform import missing
 from cohortlake.operators.roles import missingness_of
 
 
@@ -39,3 +40,14 @@ def evidence(df: DataFrame, key: str, top: int = 10, levels: int = 20) -> DataFr
     at = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc(F.abs("value")), "subject")) - 1  # few rows of each kind
     out = out.withColumn("place", at)
     return out.withColumn("citation", F.concat(F.col("kind"), F.lit("["), F.col("place").cast("string"), F.lit("]: "), F.col("subject"), F.lit("="), F.format_number("value", 4)))
+
+
+def cardinality(df: DataFrame) -> DataFrame:
+    """variable, distinct, place (from 0, most values first, equal ones by name), citation: the exact number of different values, nulls and NaN apart, of every
+    column. Values are compared as text, but for zeros of either sign, which are one value."""
+    kinds = dict(df.dtypes)
+    text = lambda c: ((F.col(f"`{c}`") + F.lit(0).cast(kinds[c])) if kinds[c] in ("double", "float") else F.col(f"`{c}`")).cast("string")
+    levels = df.select(*(F.when(~missing(c, df), text(c)).alias(c) for c in df.columns)).unpivot([], [f"`{c}`" for c in df.columns], "variable", "level").groupBy("variable", "level").agg(F.lit(1).alias("one"))
+    out = levels.groupBy("variable").agg(F.count("level").alias("distinct"))
+    out = out.withColumn("place", F.row_number().over(Window.orderBy(F.desc("distinct"), "variable")) - 1)  # one row a column
+    return out.withColumn("citation", F.concat(F.lit("cardinality["), F.col("place").cast("string"), F.lit("]: "), F.col("variable"), F.lit("="), F.col("distinct").cast("string")))

@@ -61,6 +61,38 @@ def range_violations(df: DataFrame) -> DataFrame:
     return out.withColumn("percent", percent).withColumn("severity", F.when(F.col("percent") > 10, "high").when(F.col("percent") > 2, "medium").otherwise("low"))
 
 
+def range_examples(df: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """variable, place (from 1), key, value: of every column that leaves its plausible range the first ``most`` values outside, by ``key``.
+
+    Null values and NaN are not looked at; of rows with one key the smaller values come first. A task passes on no more than ``most`` rows a column.
+    """
+    rules = [(c, float(r[1]), float(r[2])) for c in numeric_columns(df) if c != key and (r := rule_for(c, RANGES))]
+    kind = df.schema[key].dataType.simpleString()
+    if not rules:
+        return df.sparkSession.createDataFrame([], f"variable string, place int, key {kind}, value double")
+    table = df.sparkSession.createDataFrame(rules, "variable string, low double, high double")
+    rows = df.select(F.col(key).alias("_key"), *(F.col(c).cast("double").alias(c) for c, *_ in rules)).unpivot("_key", [c for c, *_ in rules], "variable", "value")
+    rows = rows.filter("NOT isnan(value)").join(F.broadcast(table), "variable").filter((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))  # one rule a column
+    place = F.row_number().over(Window.partitionBy("variable").orderBy("_key", "value"))
+    return rows.withColumn("place", place).filter(F.col("place") <= most).select("variable", "place", F.col("_key").alias("key"), "value")
+
+
+def bar(df: DataFrame, x: str, most: int = 30) -> DataFrame:
+    """place (from 1), level, n: the ``most`` most frequent values of ``x``, equal ones by name; nulls are left out."""
+    top = df.filter(~missing(x, df)).select(F.col(x).cast("string").alias("level")).groupBy("level").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "level").limit(most)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("n"), "level")).alias("place"), "level", "n")  # ``most`` rows
+
+
+def heat_map(df: DataFrame, columns: list[str]) -> DataFrame:
+    """a, b, r for every ordered pair of ``columns``: Pearson's r of the rows that have both, 1 on the diagonal; null where a column is constant."""
+    # imported here, as association imports this module
+    from cohortlake.operators.association import correlations
+
+    r = correlations(df, columns).select("a", "b", F.when(~F.isnan("r"), F.col("r")).alias("r"))
+    own = df.agg(*(F.var_samp(F.col(c).cast("double")).alias(c) for c in columns)).unpivot([], columns, "a", "v")
+    return r.union(r.select("b", "a", "r")).union(own.select("a", F.col("a").alias("b"), F.when(F.col("v") > 0, 1.0).alias("r")))
+
+
 def implausible_units(df: DataFrame) -> DataFrame:
     """variable, low, high, median of columns (3 values at least) whose median leaves the range expected of the name."""
     rules = [(c, float(r[1]), float(r[2])) for c in numeric_columns(df) if (r := rule_for(c, MEDIANS))]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from cohortlake.operators.guardrails import numeric_columns
 from cohortlake.operators.longform import long, missing, quantiles, value_counts
+from cohortlake.operators.order import Ranges
 
 
 def load(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -54,6 +55,23 @@ def logged(calls: DataFrame, run: str, text: str, length: int = 2000) -> DataFra
     return calls.select(F.lit(run).alias("run_id"), *(F.substring(text, 1, length).alias(text) if c == text else c for c in calls.columns), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
 
 
+def head(df: DataFrame, order: list[str], rows: int = 25, most: int = 30) -> DataFrame:
+    """place (from 0), variable, value (as text, null where missing) of the first ``rows`` rows by ``order`` and the first ``most`` columns. ``order``
+    should tell rows apart, as a table has no order of its own."""
+    columns = df.columns[:most]
+    top = df.orderBy(*order).limit(rows).select("*", (F.row_number().over(Window.orderBy(*order)) - 1).alias("_place"))  # ``rows`` rows
+    return top.select(F.col("_place").alias("place"), *(F.col(c).cast("string").alias(c) for c in columns)).unpivot("place", columns, "variable", "value")
+
+
+def aliased(calls: DataFrame, order: list[str], seed: int | None = None) -> DataFrame:
+    """Adds alias, ``tool_log[i]`` with the call's place by ``order`` from 0, and seed. The calls are numbered by ranges, however many there are; where
+    ``order`` does not tell them apart, equal ones are numbered in some order."""
+    ranges = Ranges(calls.withColumn("_one", F.lit(1).cast("long")), [], order)
+    numbered = ranges.running(ranges.rows, _n=("sum", "_one"))
+    alias = F.concat(F.lit("tool_log["), (F.col("_n") - 1).cast("string"), F.lit("]"))
+    return numbered.select(*calls.columns, alias.alias("alias"), F.lit(seed).cast("long").alias("seed"))
+
+
 def append(df: DataFrame, path: str) -> None:
     """Adds rows to a table of results, by run."""
     df.write.mode("append").partitionBy(*(["run_id"] if "run_id" in df.columns else [])).parquet(path)

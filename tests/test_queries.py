@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from cohortlake.plans import indexed, ordered, predictive, resolving, sentences, studies, studies_whole, texts, trials  # noqa: F401 - add their queries
+from cohortlake.plans import indexed, ordered, parts, predictive, resolving, sentences, studies, studies_whole, texts, trials  # noqa: F401 - add their queries
 from cohortlake.plans.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.01"
