@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortlake.operators import comparison, dataset, guardrails
+from cohortlake.operators import claims, comparison, dataset, guardrails
 from cohortlake.plans.queries import query, rounded, table
 from cohortlake.plans.studies import _P, patients
 from cohortlake.sources import tables
@@ -77,3 +77,21 @@ def evidence_upgrades(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
     matches = table(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     return comparison.upgrades(matches.selectExpr("o_orderpriority AS report", "l_quantity AS l_evidence", "o_custkey % 50 AS r_evidence"), "l_evidence", "r_evidence")
+
+
+# a report an order: a line for each of its items, under headings in several spellings
+_ITEM = "concat(CASE l_linenumber WHEN 2 THEN 'Results:\n' WHEN 4 THEN '- DISCUSSION\n' WHEN 6 THEN 'Data quality notes:\n\n' ELSE '' END, 'Part ', l_partkey, ' has status ', l_returnflag)"
+_HEADS = ", ".join(f"'{h}'" for h in ("summary", "results", "discussion", "data quality notes"))
+
+
+@query(
+    "claim_sections",
+    f"""WITH r AS (SELECT l_orderkey AS report, string_agg({_ITEM.replace(chr(10), "' || chr(10) || '")}, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag) AS text FROM lineitem GROUP BY 1),
+    l AS (SELECT report, unnest(range(0, len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS l FROM r), c AS (SELECT report, line, CASE WHEN starts_with(l, '- ') THEN l[3:] ELSE l END AS claim FROM l WHERE l <> ''),
+    h AS (SELECT *, CASE WHEN lower(rtrim(claim, ':')) IN ({_HEADS}) THEN lower(rtrim(claim, ':')) END AS head FROM c), s AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY report ORDER BY line) AS section FROM h)
+    SELECT report, line, 0 AS part, claim, section FROM s WHERE head IS NULL""",
+)
+def claim_sections(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS report", "l_linenumber", "l_partkey", f"{_ITEM} AS item".replace("\n", "\\n"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "item"))), lambda x: x["item"]), "\n")
+    return claims.sectioned_claims(items.groupBy("report").agg(text.alias("text")), "report", "text")

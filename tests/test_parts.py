@@ -2,7 +2,7 @@
 
 import pytest
 
-from cohortlake.operators import comparison, dataset, guardrails
+from cohortlake.operators import claims, comparison, dataset, guardrails
 from cohortlake.sources import tables
 
 NAN = float("nan")
@@ -47,3 +47,12 @@ def test_upgrades(spark):
     m = spark.createDataFrame([("x", 3, 2), ("x", 2, 2), ("x", None, 1), ("y", 1, 2)], "report string, l int, r int")
     assert {r.report: (r.pairs, r.upgrades, r.upgrade_rate) for r in comparison.upgrades(m, "l", "r").collect()} == {"x": (3, 1, 0.3333), "y": (1, 0, 0.0)}
     assert comparison.upgrades(m.limit(0), "l", "r").count() == 0
+
+
+def test_sections(spark):
+    long = "A sentence of some length was written here. " * 5
+    reports = [(1, "Before it all\n\nSUMMARY:\n1. First thing\nresults\n" + long + "\nResults were fine"), (2, None), (3, ""), (4, "Overview"), (5, "No heading")]
+    got = claims.sectioned_claims(spark.createDataFrame(reports, "id long, text string").repartition(2), "id", "text").orderBy("id", "line", "part").collect()
+    assert [(r.id, r.claim, r.section) for r in got] == [
+        (1, "Before it all", None), (1, "First thing", "summary"), *[(1, "A sentence of some length was written here.", "results")] * 5, (1, "Results were fine", "results"), (5, "No heading", None),
+    ]
