@@ -120,3 +120,29 @@ def test_sample_sizes():
     assert [dist.t_test_size(d, 0.8) for d in (0.2, 0.5, 0.8)] == [393, 64, 26] and [dist.t_test_size(d, 0.9) for d in (0.2, 0.5, 0.8)] == [526, 85, 34]
     assert [dist.t_test_size(d, 0.8, kind="paired") for d in (0.2, 0.5, 0.8)] == [198, 33, 14]
     assert dist.t_test_size(0.0, 0.8) is None and dist.t_test_size(None, 0.8) is None and dist.t_test_size(50.0, 0.8) == 2
+
+
+def test_a_copy_of_a_column_missing_by_key_is_not_filled_in(spark):
+    r = np.random.default_rng(7)
+    y, age = np.round(r.uniform(0, 5000, 3000), 2), r.integers(20, 90, 3000)
+    rows = [(i, i // 3 % 2, float(v), float(a), float(v) / 1000 if i % 3 == 0 else None) for i, (v, a) in enumerate(zip(y, age))]
+    df = spark.createDataFrame(rows, "id int, arm int, cost double, age double, albumin double")
+    plan = analysis.Plan(arm="arm", subject="id", primary=["cost"], secondary=["albumin"], outcome="continuous")
+    work = analysis.Analysis(df, plan).run()
+    assert work.tables["mcar"].first().p < 0.05 and "imputation" not in work.tables
+    assert {f.finding: f.n for f in work.tables["findings"].collect()} == {"cost": 3000, "albumin": 1000}
+
+
+def test_little_by_likelihood(spark):
+    # one column misses values: the test is Hotelling's of the complete ones between rows that have it and rows that do not
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(2, 400))
+    c = a + b + r.normal(size=400)
+    seen = r.random(400) < 1 / (1 + np.exp(-0.4 * a))
+    df = spark.createDataFrame([(float(x), float(y), float(w) if s else None, float(2 * x)) for x, y, w, s in zip(a, b, c, seen)], "a double, b double, c double, twice double")
+    ab = np.stack([a, b])
+    gap = [ab[:, k].mean(1) - ab.mean(1) for k in (seen, ~seen)]
+    want = sum(k.sum() * g @ np.linalg.inv(np.cov(ab, ddof=0)) @ g for k, g in zip((seen, ~seen), gap))
+    for columns in (["a", "b", "c"], ["a", "b", "c", "twice"]):
+        got = models.little_likelihood(df, columns).first()
+        assert (got.chi2, got.df, got.patterns) == (pytest.approx(want, rel=1e-6), 2, 2) and got.p == pytest.approx(dist.chi2_sf(want, 2), rel=1e-6)
