@@ -215,3 +215,15 @@ def test_regressions_that_claims_name(spark):
     fit = of(models.cox(df, "days", "died", ["age"]))
     assert got[1].p == pytest.approx(fit.p) and fit.low < fit.hazard_ratio < fit.high and 0 < fit.c_index < 1
     assert all(got[i].p is not None for i in range(5)) and got[5].p is None
+
+
+def test_imputation_of_one_column_writes_nothing(spark):
+    from pathlib import Path
+
+    from cohortlake.operators.longform import shared_dir
+
+    at = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(at.iterdir())
+    df = spark.createDataFrame([(i, float(i % 9), float(i % 9) if i % 3 else None) for i in range(90)], "k int, x double, y double")
+    assert longitudinal.imputed(df, "k", ["y"], ["x"]).count() == 450
+    assert set(at.iterdir()) == before
