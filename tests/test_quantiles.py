@@ -21,3 +21,15 @@ def test_quantiles(spark, monkeypatch, few):
         own = np.repeat([v for (g, v) in merged if g == x.g], [c for (g, _), c in merged.items() if g == x.g])
         assert [x.a, x.b, x.m, x.z] == pytest.approx(list(np.quantile(own, [0, 0.1, 0.5, 1])))
     assert longform.quantiles(spark.createDataFrame([], "value double, c long"), [], {"m": 0.5}).first()[0] is None if few else True
+
+
+def test_welch_takes_no_quantiles(spark, monkeypatch):
+    from cohortlake.operators import association, longform
+
+    def refused(*_):
+        raise AssertionError("no test of means needs a median")
+
+    monkeypatch.setattr(longform, "quantiles", refused)
+    df = spark.createDataFrame([(float(i % 7), "ab"[i % 2]) for i in range(80)], "v double, g string")
+    r = association.welch(df, "v", "g", "a", "b").first()
+    assert (r.n_a, r.n_b) == (40, 40)
