@@ -33,3 +33,16 @@ def test_welch_takes_no_quantiles(spark, monkeypatch):
     df = spark.createDataFrame([(float(i % 7), "ab"[i % 2]) for i in range(80)], "v double, g string")
     r = association.welch(df, "v", "g", "a", "b").first()
     assert (r.n_a, r.n_b) == (40, 40)
+
+
+def test_only_values_around_a_quantile_are_put_in_order(spark, monkeypatch):
+    ordered, whole = [], longform.ranged
+    monkeypatch.setattr(longform, "FEW", 50)
+    monkeypatch.setattr(longform, "ranged", lambda counts, by: ordered.append(counts.count()) or whole(counts, by))
+    values = [i * 0.37 for i in range(5000)] + [1e9, -1e300]
+    rows = spark.createDataFrame([(v, 1 + i % 3) for i, v in enumerate(values)], "value double, c long")
+    got = longform.quantiles(rows, [], {"low": 0.25, "m": 0.5}).first()
+    own = np.repeat(values, [1 + i % 3 for i in range(len(values))])
+    assert tuple(got) == pytest.approx(tuple(np.quantile(own, [0.25, 0.5])))
+    rows = spark.createDataFrame([(v, 1) for v in values[:5000]], "value double, c long")
+    assert longform.quantiles(rows, [], {"m": 0.5}).first().m == pytest.approx(np.median(values[:5000])) and ordered[-1] <= 50
