@@ -132,7 +132,24 @@ _END_NAMES = ["mortality", "death", "survival", "outcome", "endpoint"]
 _THIS = rf"{_ITEM}(?:this|these|that|those)\s+(?:variable|factor|covariate|predictor)s?\b"
 
 
+#: So many bytes of different texts at most are sent to every task with what they show; where there are more, rows are dealt evenly and read as they are.
+MOST_BYTES = 32 << 20
+
+
 def read(df: DataFrame, text: str) -> DataFrame:
+    """Adds to each row what ``shown`` says of its text. Reading costs much more than moving a text, and tables of findings are small files that few
+    tasks would read: so equal texts are read once, dealt to all tasks, or, if they differ too much, all rows are dealt to all tasks."""
+    need(df, text)
+    texts = df.select(F.col(text).alias("_said_text")).distinct()
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    total = texts.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("_said_text"), F.lit(0)).cast("long") + 100), F.lit(0))).first()[0]
+    if total > MOST_BYTES:
+        return shown(df.repartition(tasks), text)
+    seen = saved(shown(texts.repartition(df.sparkSession.sparkContext.defaultParallelism), "_said_text"))
+    return df.join(F.broadcast(seen), F.col(text).eqNullSafe(F.col("_said_text")), "left").drop("_said_text")
+
+
+def shown(df: DataFrame, text: str) -> DataFrame:
     """Adds ``_low`` (the text in lower case, blanks squeezed) and what it shows: ``_header``, ``_raw``, ``_fragment``, ``_instruction``,
     ``_eligible``, and ``_is_...`` for what it is about.
 

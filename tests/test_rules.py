@@ -20,6 +20,17 @@ def test_texts_at_the_edges(spark):
     assert c[6] == "artifact_excluded" and c[8] == "artifact_excluded" and c[1] == "artifact_excluded"
 
 
+def test_equal_texts_are_read_once_and_many_texts_by_all_tasks(spark, monkeypatch):
+    texts = ["Lactate was associated with mortality at entry.", "## Results", "and more", "", None, "Lactate: chi2 = 4.1, p = 0.04"]
+    df = spark.createDataFrame([(i, texts[i % 6]) for i in range(600)], "i int, t string").coalesce(1)
+    once = rules.gated(df, "t")
+    assert "RLIKE" not in once._jdf.queryExecution().executedPlan().toString()  # the rows meet what was read of their texts
+    monkeypatch.setattr(rules, "MOST_BYTES", 0)
+    each = rules.gated(df, "t")
+    assert sorted((tuple(r) for r in each.collect()), key=repr) == sorted((tuple(r) for r in once.collect()), key=repr) and once.columns == each.columns
+    assert each.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def test_every_finding_has_one_fate(spark):
     rows = [(1, "Lactate was associated with mortality at entry.", "analytical"), (2, "## Results", "analytical"), (3, "Lactate: chi2 = 4.1, p = 0.04", "negative_association"), (4, "and more", "survival_result"), (5, "Values were imputed twice here.", "preprocessing"), (6, None, "artifact_excluded"), (7, "Some words without any relation.", "analytical")]
     kept, notes, gone = rules.sanitised(spark.createDataFrame(rows, "i int, t string, category string"), "t")
