@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 
 from cohortlake.operators import features
 from cohortlake.operators.guardrails import numeric_columns
-from cohortlake.operators.longform import missing, need, ranks, saved
+from cohortlake.operators.longform import missing, need, saved
+from cohortlake.operators.order import Ranges
 
 BUCKETS = 10_000
+#: So many strata at most are sent to every task; more are joined by shuffle, on the bucket too, so that no stratum makes a task.
+MOST_STRATA = 100_000
 
 
 def split(df: DataFrame, key: str, stratum: str | None = None, share: float = 0.2) -> DataFrame:
@@ -27,8 +30,13 @@ def split(df: DataFrame, key: str, stratum: str | None = None, share: float = 0.
     counts = rows.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("c"))
     upto = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)  # buckets, not rows
     ends = counts.withColumn("u", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(Window.partitionBy("_s"))).filter(F.col("u") >= share * F.col("n"))
-    ends = ends.groupBy(F.col("_s").alias("_k")).agg(F.min("_b").alias("_end"))
-    return rows.join(ends, F.col("_s").eqNullSafe(F.col("_k"))).withColumn("held_out", F.col("_b") <= F.col("_end")).drop("_b", "_s", "_k", "_end")
+    ends = saved(ends.groupBy(F.col("_s").alias("_k")).agg(F.min("_b").alias("_end")))
+    if ends.count() <= MOST_STRATA:
+        cut = rows.join(F.broadcast(ends), F.col("_s").eqNullSafe(F.col("_k")))
+    else:
+        own = counts.join(ends, F.col("_s").eqNullSafe(F.col("_k"))).select("_k", F.col("_b").alias("_at"), "_end")
+        cut = rows.join(own, F.col("_s").eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_at"))).drop("_at")
+    return cut.withColumn("held_out", F.col("_b") <= F.col("_end")).drop("_b", "_s", "_k", "_end")
 
 
 def _designed(rows: DataFrame, outcome: str, columns: list[str]) -> DataFrame:
@@ -52,8 +60,10 @@ def _designed(rows: DataFrame, outcome: str, columns: list[str]) -> DataFrame:
 def auc(scored: DataFrame, score: str, positive: str) -> float | None:
     """The area under the curve: the share of pairs of a positive and a negative row in which the positive one scores higher, ties half, from ranks."""
     rows = scored.select(F.col(score).cast("double").alias("value"), F.col(positive).alias("p"))
-    cells = rows.groupBy("value").agg(F.count_if("p").alias("k"), F.count(F.lit(1)).alias("c"))
-    s = cells.join(ranks(rows, "value").select("value", "rank"), "value").agg(F.sum(F.col("k") * F.col("rank")).alias("r"), F.sum("k").alias("p"), F.sum(F.col("c") - F.col("k")).alias("q")).first()
+    cells = rows.filter("value IS NOT NULL").groupBy("value").agg(F.count_if("p").alias("k"), F.count(F.lit(1)).alias("c"))
+    ranges = Ranges(cells, [], ["value"])  # distinct scores, with what is summed of them beside
+    ranked = ranges.running(ranges.rows, upto=("sum", "c")).withColumn("rank", F.col("upto") - (F.col("c") - 1) / 2)
+    s = ranked.agg(F.sum(F.col("k") * F.col("rank")).alias("r"), F.sum("k").alias("p"), F.sum(F.col("c") - F.col("k")).alias("q")).first()
     return (s.r - s.p * (s.p + 1) / 2) / (s.p * s.q) if s.p and s.q else None
 
 
@@ -65,7 +75,7 @@ def evaluate(rows: DataFrame, outcome: str, columns: list[str], task: str = "cla
         raise ValueError("task is classification or regression")
     if not columns:
         raise ValueError("no columns")
-    data = saved(_designed(rows.filter(F.col(outcome).isNotNull()), outcome, columns))
+    data = _designed(rows.filter(F.col(outcome).isNotNull()), outcome, columns)  # of saved numbers; the fit keeps its own copy
     fitted, test = data.filter("NOT held_out"), data.filter("held_out")
     n = fitted.count()
     if task == "classification":
@@ -82,7 +92,8 @@ def evaluate(rows: DataFrame, outcome: str, columns: list[str], task: str = "cla
 def compare(df: DataFrame, key: str, outcome: str, columns: list[str], methods: tuple[str, ...] = ("mrmr", "lasso", "elastic_net", "univariate"), task: str = "classification", size: int | None = None) -> DataFrame:
     """method, n_features, features, redundancy (mean absolute correlation of pairs), accuracy, auc, r2, mse, n_test, seconds (of the selection):
     each method selects on the rows not held out, and all are judged on the same rows. A method that refuses the data has its reason in ``error``."""
-    rows = saved(split(df, key, outcome if task == "classification" else None))
+    used = df.select(*dict.fromkeys([key, outcome, *columns]))
+    rows = saved(split(used, key, outcome if task == "classification" else None))
     known, out = rows.filter("NOT held_out").drop("held_out"), []
     for method in methods:
         began = time.time()

@@ -45,6 +45,17 @@ def test_evaluation(spark):
         evaluation.evaluate(whole, "y", [])
 
 
+def test_no_stratum_makes_a_task(spark, monkeypatch):
+    df, rows = made(spark)
+    held = {r.id: r.held_out for r in evaluation.split(df, "id", "y").collect()}
+    plan = evaluation.split(df, "id", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(_s" not in plan  # rows stay where they are
+    monkeypatch.setattr(evaluation, "MOST_STRATA", 0)
+    assert {r.id: r.held_out for r in evaluation.split(df, "id", "y").collect()} == held
+    lost = spark.createDataFrame([(i, None if i % 2 else 1) for i in range(300)], "id int, y int")
+    assert evaluation.split(lost, "id", "y").count() == 300
+
+
 def test_auc_with_ties(spark):
     rows = [(0.1, False), (0.5, True), (0.5, False), (0.9, True), (0.9, True), (0.1, False)]
     assert evaluation.auc(spark.createDataFrame(rows, "s double, p boolean"), "s", "p") == pytest.approx((3 * 2 + 2 + 0.5) / 9)
