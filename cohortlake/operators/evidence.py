@@ -27,9 +27,13 @@ def postings(docs: DataFrame, key: str, text: str, tokens=terms) -> DataFrame:
 
 
 def search(index: DataFrame, size: DataFrame, asked: DataFrame, top: int, k1: float, b: float, boost: DataFrame | None = None, least: float | None = None) -> DataFrame:
-    """q, d, score, rank from an index, (n, avg) of the corpus and (q, term). boost (d, factor) multiplies a document's score, once."""
+    """q, d, score, rank from an index, (n, avg) of the corpus and (q, term). boost (d, factor) multiplies a document's score, once.
+
+    Postings are dealt by document before queries meet them, so what moves grows with the postings and not with the queries that share a term."""
     frequent = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hits = index.join(asked.join(frequent, "term"), "term").crossJoin(F.broadcast(size))  # one row
+    wanted = asked.join(frequent, "term")
+    few = asked.count() <= MOST_TERMS
+    hits = (index.repartition("d").join(F.broadcast(wanted), "term") if few else index.join(wanted, "term")).crossJoin(F.broadcast(size))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg")))
     scored = hits.groupBy("q", "d").agg(F.sum(part).alias("score"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlake.operators import evidence
-from cohortlake.operators.index import Index
+from cohortlake.operators.index import Index, counted
 
 
 def test_changes_equal_a_new_index(spark, tmp_path):
@@ -47,3 +47,20 @@ def test_only_own_buckets_are_read(spark, tmp_path):
     index.put(spark.range(50).select("id", F.concat_ws(" ", F.lit("w"), F.concat(F.lit("word"), F.col("id"))).alias("t")), "id", "t")
     plan = index.postings(spark.createDataFrame([("word7",)], "term string"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters", 1)[1].split("]", 1)[0]
+
+
+def test_words_are_counted_where_they_are(spark):
+    words = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["a"]), (4, ["c"] * 300 + ["d"])], "d long, w array<string>")
+    out = counted(words)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([(1, 3, None, 1), (1, 3, "a", 1), (1, 3, "b", 2), (2, 0, None, 1), (3, 1, None, 1), (3, 1, "a", 1), (4, 301, None, 1), (4, 301, "c", 300), (4, 301, "d", 1)], key=repr)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_meet_postings_dealt_by_document(spark):
+    index = spark.createDataFrame([(d, 3, t, 1) for d in range(50) for t in ("x", "y")], "d long, len int, term string, tf long")
+    asked = spark.createDataFrame([(q, t) for q in range(40) for t in ("x", "y")], "q int, term string")
+    size = spark.createDataFrame([(50, 3.0)], "n long, avg double")
+    out = evidence.search(index, size, asked, 2, 1.5, 0.75)
+    assert out.count() == 80 and {r.d for r in out.collect()} == {0, 1}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [d" in plan and "hashpartitioning(q" in out._jdf.queryExecution().executedPlan().toString()
