@@ -47,8 +47,7 @@ def sentence_chunks(spark, sf_dir):
 def reranked_search(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     hits = retrieval.boosted_search(docs.withColumn("kind", F.lit("file")), "doc_id", "text", "kind", asked, "item_id", "text", top=20)
-    hits = hits.join(docs.select("doc_id", retrieval.tokens(F.col("text")).alias("words")), "doc_id").join(asked.select("item_id", retrieval.query_tokens(F.col("text")).alias("asked")), "item_id")
-    return rounded(retrieval.rerank(hits, "item_id", "doc_id"))
+    return rounded(retrieval.rerank(retrieval.worded(hits, docs, "doc_id", "text", asked, "item_id", "text"), "item_id", "doc_id"))
 
 
 @query("corpus_statistics", f"SELECT {_KIND} AS source, count(*) AS documents, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS characters, CAST(coalesce(sum(length(text) // 4), 0) AS BIGINT) AS tokens FROM documents GROUP BY 1")

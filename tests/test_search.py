@@ -5,7 +5,7 @@ import random
 import duckdb
 import pytest
 
-from cohortlake.operators import evidence
+from cohortlake.operators import evidence, retrieval
 from cohortlake.plans import texts  # noqa: F401 - adds its queries
 from cohortlake.plans.queries import QUERIES, SQL
 
@@ -50,3 +50,12 @@ def test_search_is_its_sql(spark, made, monkeypatch, keys, way, query):
 def test_only_the_best_are_dealt_out(spark, made):
     plan = QUERIES["bm25_search"](spark, made["once"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "BroadcastExchange" not in plan
+
+
+def test_only_texts_that_were_hit_are_taken_apart(spark):
+    docs = spark.createDataFrame([(1, "Ox and hens"), (2, "cats"), (3, None)], "k long, t string")
+    asked = spark.createDataFrame([(7, "HR of hens"), (8, "cats")], "q long, t string")
+    hits = spark.createDataFrame([(7, 1, 2.0), (8, 1, 1.5), (7, 3, 1.0)], "q long, k long, score double")
+    out = retrieval.worded(hits, docs, "k", "t", asked, "q", "t")
+    assert sorted(tuple(r) for r in out.select("q", "k", "words", "asked").collect()) == [(7, 1, ["ox", "hens"], ["hr", "hens", "hazard", "ratio"]), (7, 3, None, ["hr", "hens", "hazard", "ratio"]), (8, 1, ["ox", "hens"], ["cats"])]
+    assert "LeftSemi" in out._jdf.queryExecution().executedPlan().toString()
