@@ -7,7 +7,7 @@ import pytest
 
 from cohortlake.operators import models
 from cohortlake.plans import studies_whole  # noqa: F401 - adds its queries
-from cohortlake.plans.queries import QUERIES, SQL
+from cohortlake.plans.queries import QUERIES, SQL, rounded_as_sql
 from cohortlake.plans.trials import trial
 
 
@@ -39,3 +39,12 @@ def test_report_fills_in_no_column_of_which_most_is_missing(spark, tmp_path):
         key = lambda r: tuple(str(x) for x in r[:3])
         for a, b in zip(sorted(got, key=key), sorted(wanted, key=key), strict=True):
             assert a == tuple(pytest.approx(x, abs=2e-4) if isinstance(x, float) else x for x in b)
+
+
+def test_values_printed_as_ties_are_rounded_as_in_sql(spark):
+    # medians of albumin: prices of two decimals over a thousand
+    draw = random.Random(5)
+    values = [(draw.randrange(10000, 5000000) * 10 + 5) / 1e5 * sign for sign in (1, -1) for _ in range(2000)] + [draw.random() * 500 for _ in range(1000)] + [None]
+    got = rounded_as_sql(spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i long, value double"), 4).collect()
+    wanted = duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 4)", [values]).fetchall()
+    assert [r.value for r in sorted(got, key=lambda r: r.i)] == [x for (x,) in wanted]
